@@ -40,7 +40,12 @@ def chunk_of(ts: str, every: str) -> Column:
 
 
 def _chunked(df: DataFrame, keys: list[str], ts: str, every: str) -> DataFrame:
-    return df.withColumn("_c", chunk_of(ts, every)).repartition(*keys, "_c")
+    """Rows by (key, chunk). Without key or time a row has no place in a series and is left out;
+    saying so here also keeps the two readers of this exchange on the same plan."""
+    d = df.withColumn("_c", chunk_of(ts, every))
+    for k in [*keys, ts, "_c"]:
+        d = d.where(F.col(k).isNotNull())
+    return d.repartition(*keys, "_c")
 
 
 def _per_chunk(chunked: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
@@ -122,8 +127,11 @@ def run_steps(df: DataFrame, steps: Sequence[Step], by: Keys = "ticker", ts: str
 
 
 def carry_last(df: DataFrame, values: dict[str, Column], by: Keys = "ticker", ts: str = "ts",
-               every: str = "1d", backward: bool = False) -> DataFrame:
-    """Adds, per name, the latest non-null value at or before the row (at or after if ``backward``)."""
+               every: str = "1d", backward: bool = False, strict: bool = False) -> DataFrame:
+    """Adds, per name, the latest non-null value at or before the row.
+
+    ``backward`` looks at later rows instead, ``strict`` leaves the row itself out.
+    """
     keys = key_list(by)
     order = (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
     edge = F.min_by if backward else F.max_by
@@ -136,7 +144,7 @@ def carry_last(df: DataFrame, values: dict[str, Column], by: Keys = "ticker", ts
     carried = edges.select(
         *keys, "_c", *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in values])
     here = (Window.partitionBy(*keys, "_c").orderBy(order(ts))
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            .rowsBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow))
     for n in values:
         d = d.withColumn(f"_l_{n}", F.last(f"_v_{n}", ignorenulls=True).over(here))
     d = d.join(carried, [*keys, "_c"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.core import (
-    Keys, Piece, Step, key_list, latest_n, number_rows, run_steps, running_sum,
+    Keys, Piece, Step, carry_last, key_list, latest_n, number_rows, run_steps, running_sum,
 )
 
 FORGET = 69.0    # -ln of the weight (1e-30) at which an exponential average has forgotten a value
@@ -200,18 +200,18 @@ def trade_pairs(df: DataFrame, price: str = "close", by: Keys = "ticker", ts: st
     """Long-only round trips: enter at the first BUY while flat, leave at the next SELL.
 
     Without the HOLD rows, an entry is a BUY after nothing or a SELL and an exit is a SELL after a
-    BUY, so entries and exits alternate and each exit finds its entry one row back.
+    BUY, so the latest entry before an exit is the one it closes.
     """
     keys = key_list(by)
     acts = df.where(F.col("signal").isin("BUY", "SELL")).select(
         *keys, ts, "signal", F.col(price).alias("_price"))
-    acts = run_steps(acts, [lag_step("signal", 1, "_prev")], keys, ts, every)
+    acts = carry_last(acts, {"_prev": F.col("signal")}, keys, ts, every, strict=True)
     turns = acts.where(
         F.when(F.col("signal") == "BUY", F.coalesce(F.col("_prev") == "SELL", F.lit(True)))
-        .otherwise(F.coalesce(F.col("_prev") == "BUY", F.lit(False)))
-    ).withColumn("_ts", F.col(ts))
-    paired = run_steps(
-        turns, [lag_step("_price", 1, "entry_price"), lag_step("_ts", 1, "entry_ts")], keys, ts, every)
+        .otherwise(F.coalesce(F.col("_prev") == "BUY", F.lit(False))))
+    entry = F.when(F.col("signal") == "BUY", F.struct(F.col(ts).alias("ts"), "_price"))
+    paired = carry_last(turns, {"_entry": entry}, keys, ts, every).withColumns(
+        {"entry_ts": F.col("_entry.ts"), "entry_price": F.col("_entry._price")})
     return paired.where(F.col("signal") == "SELL").select(
         *keys, "entry_ts", F.col(ts).alias("exit_ts"), "entry_price",
         F.col("_price").alias("exit_price"),

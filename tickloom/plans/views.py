@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +20,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     }) if any(f.dataType.simpleString() == "timestamp_ntz" for f in df.schema.fields) else df
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Small derived inputs that operators read more than once are computed once."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
     line = table(spark, sf, "lineitem").select(
@@ -39,16 +33,16 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars_day(spark: SparkSession, sf: str) -> DataFrame:
-    return kept(bars_from_trades(trades(spark, sf), "1d", tiebreak=TIEBREAK))
+    return bars_from_trades(trades(spark, sf), "1d", tiebreak=TIEBREAK)
 
 
 def bars_month(spark: SparkSession, sf: str) -> DataFrame:
-    return kept(bars_from_trades(trades(spark, sf), "1mo", tiebreak=TIEBREAK))
+    return bars_from_trades(trades(spark, sf), "1mo", tiebreak=TIEBREAK)
 
 
 def bars_source(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars per ticker and source."""
-    return kept(bars_from_trades(trades(spark, sf), "1d", by=("ticker", "source"), tiebreak=TIEBREAK))
+    return bars_from_trades(trades(spark, sf), "1d", by=("ticker", "source"), tiebreak=TIEBREAK)
 
 
 def gappy(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +67,7 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 def bars_hour(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks(spark, sf).withColumn("size", F.lit(1.0))
-    return kept(bars_from_trades(t, "1h", tiebreak=["event_id"]))
+    return bars_from_trades(t, "1h", tiebreak=["event_id"])
 
 
 def news(spark: SparkSession, sf: str) -> DataFrame:
