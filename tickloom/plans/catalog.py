@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tickloom.plans import series_queries  # noqa: F401
+from tickloom.plans import quality_queries, series_queries, source_queries  # noqa: F401
 from tickloom.plans.registry import ORACLE, QUERIES  # noqa: F401
