@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from tickloom.plans import quality_queries, series_queries, source_queries  # noqa: F401
+from tickloom.plans import (  # noqa: F401
+    cross_queries, quality_queries, series_queries, source_queries,
+)
 from tickloom.plans.registry import ORACLE, QUERIES  # noqa: F401
