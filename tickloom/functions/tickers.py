@@ -76,7 +76,7 @@ def strip_suffix(ticker: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """A comma list as trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def variants(entity: Column) -> Column:

@@ -218,10 +218,11 @@ def j8(spark, sf):
     return X.keep_universe(bars_day(spark, sf), u).groupBy("ticker").agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query("j8_unknown_tickers", "SELECT DISTINCT p_name AS ticker FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 5)")
+@query("j8_unknown_tickers", """SELECT DISTINCT p_brand || '/' || p_size AS ticker FROM part
+  WHERE p_brand || '/' || p_size NOT IN (SELECT p_brand || '/' || p_size FROM part WHERE p_retailprice > 1000)""")
 def j8_unknown(spark, sf):
-    p = table(spark, sf, "part")
-    return X.unknown_tickers(p.select(F.col("p_name").alias("ticker")), p.where("p_size > 5").select(F.col("p_name").alias("ticker")))
+    p = table(spark, sf, "part").withColumn("ticker", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))
+    return X.unknown_tickers(p, p.where("p_retailprice > 1000"))
 
 
 _MAPPING = "mapping AS (SELECT 'B' || p_partkey AS base_symbol, 'B' || p_partkey || '-USD' AS yfinance_ticker, 'B' || p_partkey || 'USDT' AS binance_ticker, p_name AS common_name FROM part)"
