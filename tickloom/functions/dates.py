@@ -77,6 +77,13 @@ def forecast_dates(last: Column, steps: Column) -> Column:
     return F.sequence(F.date_add(last, 1), F.date_add(last, steps))
 
 
+def bars_ahead(last: Column, bars: Column, every: str) -> Column:
+    """The start of the bar ``bars`` after ``last``; months keep the calendar."""
+    if every == "1mo":
+        return F.add_months(last, bars).cast("timestamp")
+    return F.timestamp_micros(F.unix_micros(last) + bars.cast("long") * (INTERVAL_SECONDS[every] * 1_000_000))
+
+
 def from_epoch_millis(ms: Column) -> Column:
     return F.timestamp_millis(ms.cast("long"))
 
