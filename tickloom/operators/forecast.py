@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -190,16 +191,20 @@ def tree_fit(rows: DataFrame, kind: str = "random_forest", trees: int = 100, dep
     """A forest or boosted trees over ``lag_rows``; keys with fewer than 30 rows are not trained on."""
     keys = key_list(by)
     enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_ROWS)
-    train = rows.join(enough.select(*keys), keys, "left_semi").select("features", "label")
-    if train.isEmpty():
-        raise ValueError(f"no key has {MIN_ROWS} clean rows")
     if kind == "random_forest":
         learner = RandomForestRegressor(numTrees=trees, maxDepth=depth or 10, featureSubsetStrategy="all", seed=seed)
     elif kind == "boosted_trees":
         learner = GBTRegressor(maxIter=trees, maxDepth=depth or 6, stepSize=0.3, seed=seed)
     else:
         raise ValueError(f"unknown kind of trees: {kind}")
-    return learner.fit(train)
+    train = rows.join(enough.select(*keys), keys, "left_semi").select("features", "label")
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # training passes over it many times
+    try:
+        if train.isEmpty():
+            raise ValueError(f"no key has {MIN_ROWS} clean rows")
+        return learner.fit(train)
+    finally:
+        train.unpersist()
 
 
 def tree_onestep(model, rows: DataFrame) -> DataFrame:
@@ -261,7 +266,7 @@ def compare_models(df: DataFrame, models: dict[str, Predictor] | None = None, te
     All models predict one step ahead from actual values, so their errors compare. Each row's
     ``best`` tells whether the model has the smallest RMSE of its ticker.
     """
-    rows = train_test_split(df.select("ticker", "ts", col), test_size, every=every)
+    rows = checkpointed(train_test_split(df.select("ticker", "ts", col), test_size, every=every))
     train = rows.where(F.col("part") == "train")
     scored, failed = None, {}
     for name, predict in (models or default_models(col, every)).items():
@@ -292,12 +297,16 @@ def cross_validate_ar(df: DataFrame, k: int = 5, lags: Sequence[int] = AR_LAGS,
 def cross_validate(df: DataFrame, k: int = 5, trees: dict[str, Predictor] | None = None, col: str = "close",
                    every: str = "1d") -> DataFrame:
     """Mean and deviation of the fold errors per ticker and model, with the best model marked."""
+    df = checkpointed(df.select("ticker", "ts", col))
     errors = cross_validate_ar(df, k, col=col, every=every)
-    folds = ts_folds(df.select("ticker", "ts", col), k, every=every)
+    folds = ts_folds(df, k, every=every)
     for name, predict in (trees or {}).items():
         for i in range(k):
             rows = folds.where(F.col("fold") == i)
-            p = predict(rows.where(F.col("part") == "train"), rows).where(F.col("part") == "test")
+            try:
+                p = predict(rows.where(F.col("part") == "train"), rows).where(F.col("part") == "test")
+            except ValueError:  # too few rows in this fold: it does not count
+                continue
             errors = errors.unionByName(forecast_error(
                 p.select("ticker", "fold", F.lit(name).alias("model"), F.col(col).alias("actual"), "predicted"),
                 ["ticker", "fold", "model"]))
