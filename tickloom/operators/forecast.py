@@ -15,13 +15,12 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.dates import bars_ahead
 from tickloom.operators.core import Keys, Piece, Step, key_list, latest_n, run_steps
-from tickloom.operators.cross import best_of
 from tickloom.operators.metrics import cv_summary, forecast_error, forecast_metrics
 from tickloom.operators.series import lags_step, train_test_split, ts_folds
 from tickloom.session import checkpointed
@@ -279,9 +278,13 @@ def compare_models(df: DataFrame, models: dict[str, Predictor] | None = None, te
         scored = p if scored is None else scored.unionByName(p)
     if scored is None:
         raise ValueError(f"every model failed: {failed}")
-    errors = forecast_metrics(scored, every=every)
-    best = best_of(errors, "ticker", "model", "rmse").select("ticker", F.col("best").alias("_best"))
-    return errors.join(best, "ticker").withColumn("best", F.col("model") == F.col("_best")).drop("_best"), failed
+    return _mark_best(forecast_metrics(checkpointed(scored), every=every), "rmse"), failed
+
+
+def _mark_best(errors: DataFrame, score: str) -> DataFrame:
+    """``best``: whether the model has the smallest error of its ticker (a group is one row per model)."""
+    w = Window.partitionBy("ticker").orderBy(F.col(score).asc_nulls_last(), "model")
+    return errors.withColumn("best", F.row_number().over(w) == 1)
 
 
 def cross_validate_ar(df: DataFrame, k: int = 5, lags: Sequence[int] = AR_LAGS, col: str = "close", name: str = "ar",
@@ -310,9 +313,7 @@ def cross_validate(df: DataFrame, k: int = 5, trees: dict[str, Predictor] | None
             errors = errors.unionByName(forecast_error(
                 p.select("ticker", "fold", F.lit(name).alias("model"), F.col(col).alias("actual"), "predicted"),
                 ["ticker", "fold", "model"]))
-    summary = cv_summary(errors)
-    best = best_of(summary, "ticker", "model", "mean_rmse").select("ticker", F.col("best").alias("_best"))
-    return summary.join(best, "ticker").withColumn("best", F.col("model") == F.col("_best")).drop("_best")
+    return _mark_best(cv_summary(errors), "mean_rmse")
 
 
 def horizons(forecast: DataFrame, ends: Sequence[int] = (1, 7, 30, 90)) -> DataFrame:
