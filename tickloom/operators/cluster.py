@@ -38,9 +38,12 @@ def entity_rows(cells: DataFrame, by: str = "ticker", column: Sequence[str] = ("
 def pca(df: DataFrame, k: int = 2, scale: bool = False) -> DataFrame:
     """(entity, dim1, dim2): centred principal components; the largest loading of each is positive."""
     df = checkpointed(df.select("entity", "features"))  # read once per pass of the two fits
+    first = df.select(F.size("features")).head()
+    if first is None:
+        return df.select("entity", *[F.lit(None).cast("double").alias(f"dim{i + 1}") for i in range(k)])
+    width = first[0]
     vectors = df.select("entity", array_to_vector("features").alias("v"))
     centred = StandardScaler(withMean=True, withStd=scale, inputCol="v", outputCol="c").fit(vectors).transform(vectors)
-    width = centred.select(F.size(vector_to_array("c"))).head()[0]
     model = PCA(k=min(k, width), inputCol="c", outputCol="p").fit(centred)
     loadings = model.pc.toArray()
     signs = [1.0 if col[np.argmax(np.abs(col))] >= 0 else -1.0 for col in loadings.T]

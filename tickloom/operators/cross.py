@@ -43,9 +43,13 @@ def corr_matrix(df: DataFrame, tickers: Sequence[str], col: str = "close", ts: s
     wide = align(df, names, col, ts)
     at = {t: F.col(f"`{t}`") for t in names}
     if len(names) <= PAIR_COLUMNS:
-        cells = [F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2"), F.corr(at[a], at[b]).alias("corr"))
+        def pearson(a: str, b: str) -> Column:  # null, not an error, where a series is flat
+            return F.try_divide(F.covar_pop(at[a], at[b]), F.stddev_pop(at[a]) * F.stddev_pop(at[b]))
+
+        cells = [F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2"), pearson(a, b).alias("corr"))
                  for i, a in enumerate(names) for b in names[i + 1:]]
-        found = wide.agg(F.array(*cells).alias("_pairs"), *[F.var_pop(at[t]).alias(f"_s{i}") for i, t in enumerate(names)])
+        found = wide.agg(F.array(*cells).alias("_pairs"), F.count(F.lit(1)).alias("_n"),
+                         *[F.var_pop(at[t]).alias(f"_s{i}") for i, t in enumerate(names)]).where(F.col("_n") > 0)
         own = F.array(*[F.struct(F.lit(t).alias("t1"), F.lit(t).alias("t2"), F.when(F.col(f"_s{i}") > 0, 1.0).alias("corr"))
                         for i, t in enumerate(names)])
         mirror = F.transform("_pairs", lambda p: F.struct(

@@ -215,7 +215,7 @@ def recursive_forecast(model, df: DataFrame, h: int, col: str = "close", lags: i
                        by: Keys = "ticker", ts: str = "ts", every: str = "1d") -> DataFrame:
     """Next ``h`` values, each prediction becoming the newest lag; one row per key is carried along."""
     keys = key_list(by)
-    state = _tails(df, col, lags, keys, ts).where(F.size("_tail") == lags)
+    state = _tails(df, col, lags, keys, ts).where((F.size("_tail") == lags) & (F.element_at("_tail", -1) != 0))
     for step in range(h):
         lagged = state.withColumns({f"lag_{i}": F.element_at("_tail", -i) for i in range(1, lags + 1)})
         lagged = model.transform(_scaled(lagged, lags))

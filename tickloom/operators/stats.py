@@ -63,7 +63,8 @@ def _digits(col: Column) -> Column:
     return F.when(F.col("feature") == "volume", F.round(col, 2)).otherwise(F.round(col, 4))
 
 
-def describe_series(df: DataFrame, cols: Sequence[str] = FEATURES, by: Keys = "ticker", ts: str = "ts") -> DataFrame:
+def describe_series(df: DataFrame, cols: Sequence[str] = FEATURES, by: Keys = "ticker", ts: str = "ts",
+                    rounded: bool = True) -> DataFrame:
     """Per key and feature: rows, first and last day, mean, median, sample deviation, min, max."""
     keys = key_list(by)
     cells = to_cells(df, cols, [*keys, ts]).where(F.col("value").isNotNull())
@@ -73,7 +74,8 @@ def describe_series(df: DataFrame, cols: Sequence[str] = FEATURES, by: Keys = "t
         F.min("value").alias("min"), F.max("value").alias("max"))
     medians = exact_quantiles(cells, [*keys, "feature"], "value", [0.5]).withColumnRenamed("q0", "median")
     d = plain.join(medians, [*keys, "feature"])
-    return d.withColumns({c: finite(_digits(F.col(c))) for c in ["mean", "median", "std", "min", "max"]})
+    numbers = {c: finite(F.col(c)) for c in ["mean", "median", "std", "min", "max"]}
+    return d.withColumns({c: _digits(v) if rounded else v for c, v in numbers.items()})
 
 
 def return_stats(df: DataFrame, col: str = "close", by: Keys = "ticker", ts: str = "ts", every: str = "1d",

@@ -84,4 +84,6 @@ def m6(spark, sf):
 @query("m7_pick_reduction")
 def m7(spark, sf):
     best, report = C.pick_reduction(ticker_matrix(spark, sf))
+    if best is None:
+        return spark.createDataFrame([], "entity string, dim1 double, dim2 double, cluster string, method string")
     return best.select("entity", rnd("dim1").alias("dim1"), rnd("dim2").alias("dim2"), "cluster", F.lit(report["chosen"]).alias("method"))

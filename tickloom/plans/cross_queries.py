@@ -25,10 +25,11 @@ CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT ticker, ts, '{c}' AS feature,
         ("mean", "avg(value)"), ("median", "quantile_cont(value, 0.5)"), ("std", "stddev_samp(value)"),
         ("min", "min(value)"), ("max", "max(value)"))) + " FROM cells GROUP BY ticker, feature", CELLS))
 def a1(spark, sf):
-    d = A.describe_series(bars_day(spark, sf))
+    d = A.describe_series(bars_day(spark, sf), rounded=False)
     return d.select("ticker", "feature", "n", F.date_format("first_ts", "yyyy-MM-dd").alias("first_day"),
                     F.date_format("last_ts", "yyyy-MM-dd").alias("last_day"),
-                    *rounded(["mean", "median", "std", "min", "max"]))
+                    *[F.when(F.col("feature") == "volume", rnd(c, 2)).otherwise(rnd(c, 4)).alias(c)
+                      for c in ["mean", "median", "std", "min", "max"]])
 
 
 @query("a2_return_stats", using("bars_day", f"""SELECT ticker, count(ret) AS returns, {r('avg(ret) * 100')} AS daily_return_mean,
