@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.labels import market_mood
@@ -13,17 +13,21 @@ from tickloom.functions.text import (
 )
 
 
-def full_text() -> Column:
-    return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+def _with_text(news: DataFrame) -> DataFrame:
+    """Adds the lower-case text as a column, which all the word conditions read."""
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+    return news.withColumn("_text", F.lower(text))
 
 
 def tagged(news: DataFrame, lexicon: Mapping[str, Sequence[str]] = TICKER_KEYWORDS, mode: str = "substring") -> DataFrame:
-    return news.withColumn("tags", tag_entities(full_text(), lexicon, mode))
+    tags = tag_entities(F.col("_text"), lexicon, mode, lowered=True)
+    return _with_text(news).withColumn("tags", tags).drop("_text")
 
 
 def scored(news: DataFrame, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS,
            mode: str = "substring") -> DataFrame:
-    return news.withColumn("score", sentiment(full_text(), positive, negative, mode))
+    score = sentiment(F.col("_text"), positive, negative, mode, lowered=True)
+    return _with_text(news).withColumn("score", score).drop("_text")
 
 
 def ticker_news(news: DataFrame, ticker: str, n: int = 20) -> DataFrame:

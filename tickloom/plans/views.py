@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.bars import bars_from_trades
 
-TIEBREAK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+def _digits(col, n: int):
+    return col.cast(f"decimal({n},0)")
+
+
+def trade_rank():
+    """One number that orders trades by time, order, line, amount and quantity.
+
+    (order, line) is not unique in the given table, so the amount in cents and the quantity follow;
+    trades equal in all of these have the same price. Digits: 11, 12, 1, 9 and 3 of them.
+    """
+    rest = (F.col("l_linenumber") * F.lit(10 ** 12) + F.round(F.col("l_extendedprice") * 100).cast("long") * 1000
+            + F.col("l_quantity").cast("long"))
+    head = _digits(F.unix_seconds("ts"), 11) * _digits(F.lit(10 ** 12), 13) + _digits(F.col("l_orderkey"), 12)
+    return _digits(_digits(head, 24) * _digits(F.lit(10 ** 13), 14) + _digits(rest, 13), 38)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,22 +40,22 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("size"),
         F.when(F.col("l_linestatus") == "O", "yfinance").otherwise("binance").alias("source"),
-        *TIEBREAK,
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
     )
     return line.join(part, line.l_partkey == part.p_partkey).drop("p_partkey")
 
 
 def bars_day(spark: SparkSession, sf: str) -> DataFrame:
-    return bars_from_trades(trades(spark, sf), "1d", tiebreak=TIEBREAK)
+    return bars_from_trades(trades(spark, sf), "1d", order=trade_rank())
 
 
 def bars_month(spark: SparkSession, sf: str) -> DataFrame:
-    return bars_from_trades(trades(spark, sf), "1mo", tiebreak=TIEBREAK)
+    return bars_from_trades(trades(spark, sf), "1mo", order=trade_rank())
 
 
 def bars_source(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars per ticker and source."""
-    return bars_from_trades(trades(spark, sf), "1d", by=("ticker", "source"), tiebreak=TIEBREAK)
+    return bars_from_trades(trades(spark, sf), "1d", by=("ticker", "source"), order=trade_rank())
 
 
 def gappy(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +80,7 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 def bars_hour(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks(spark, sf).withColumn("size", F.lit(1.0))
-    return bars_from_trades(t, "1h", tiebreak=["event_id"])
+    return bars_from_trades(t, "1h", order=F.col("event_id"))  # numbered in time order
 
 
 def news(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,14 +120,14 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- the same views in SQL ---------------------------------------------------------------------
 
-_MOMENT = "row(ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
+_MOMENT = "row(ts, l_orderkey, l_linenumber, l_extendedprice, l_quantity)"
 _OHLC = f"""arg_min(price, {_MOMENT}) AS open, max(price) AS high, min(price) AS low,
   arg_max(price, {_MOMENT}) AS close, sum(size) AS volume, count(*) AS trades"""
 
 _SQL = {
     "trades": ([], """SELECT p_brand AS ticker, l_shipdate AS ts, l_extendedprice / l_quantity AS price,
   l_quantity AS size, CASE WHEN l_linestatus = 'O' THEN 'yfinance' ELSE 'binance' END AS source,
-  l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity
+  l_orderkey, l_linenumber, l_extendedprice, l_quantity
   FROM lineitem JOIN part ON l_partkey = p_partkey"""),
     "bars_day": (["trades"], f"""SELECT ticker, bar AS ts, * EXCLUDE (ticker, bar) FROM (
   SELECT ticker, date_trunc('day', ts) AS bar, {_OHLC} FROM trades GROUP BY ALL)"""),
