@@ -78,7 +78,7 @@ def z3(spark, sf):
     kept, out = scratch_path(spark, "kept"), scratch_path(spark, "indicators")
     live.run_batches(live.live_bars(tick_files(spark, sf)), live.live_indicators(spark, kept, out))
     inside = live.Snapshots(spark, kept).latest().select("ticker", "ts")
-    d = live.Snapshots(spark, out).latest().join(inside, ["ticker", "ts"], "left_semi")
+    d = live.read_log(spark, out, ["ticker", "ts"]).join(inside, ["ticker", "ts"], "left_semi")
     return d.select("ticker", hour(), *rounded(["rsi", "ma_50", "ma_200"]))
 
 
@@ -111,7 +111,7 @@ def z6(spark, sf):
     e = steps(spark, sf).select("trace_id", F.col("start_time").alias("ts"), F.lit(10).alias("total_steps"))
     e.repartitionByRange(3, "ts").write.parquet(source)
     events = live.read_stream(spark, source, "trace_id bigint, ts timestamp, total_steps int", files_per_batch=1)
-    live.run_batches(ingest.run_progress(events), ingest.keep_progress(spark, path), mode="update")
-    d = ingest.progress_numbers(live.Snapshots(spark, path).latest())
+    live.run_batches(ingest.run_progress(events), ingest.keep_progress(path), mode="update")
+    d = ingest.progress_numbers(live.read_log(spark, path, ["trace_id"]))
     return d.select("trace_id", "steps_done", rnd("progress").alias("progress"), rnd("rate", 8).alias("rate"),
                     rnd("seconds_left", 2).alias("seconds_left"))

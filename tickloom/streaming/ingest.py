@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, TICKER_KEYWORDS
-from tickloom.operators.core import newest_by
 from tickloom.operators.news import scored, tagged
 from tickloom.sources.store import write_upsert
-from tickloom.streaming.live import Snapshots
+from tickloom.streaming.live import log_batch
 
 
 def upsert_into(path: str, keys: Sequence[str], order: Sequence[str] = (), partitions: Sequence[str] = ()) -> Callable:
@@ -50,12 +49,8 @@ def progress_numbers(progress: DataFrame) -> DataFrame:
     return d.withColumn("seconds_left", F.coalesce(left, F.lit(0.0)))
 
 
-def keep_progress(spark: SparkSession, path: str) -> Callable:
-    """A batch handler for update mode: the newest counts of every run."""
-    table = Snapshots(spark, path)
-
+def keep_progress(path: str) -> Callable:
+    """A batch handler for update mode: logs the runs that changed, see ``read_log`` by trace_id."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        old = table.latest(below=batch_id)
-        both = batch if old is None else old.unionByName(batch)
-        table.write(newest_by(both, "trace_id", [F.col("steps_done")]), batch_id)
+        log_batch(batch, path, batch_id)
     return handle

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.dates import interval_seconds
-from tickloom.operators.core import latest_n, run_steps
+from tickloom.operators.core import latest_n, newest_by, run_steps
 from tickloom.operators.series import macd_step, rsi_step, sma_step
 from tickloom.session import scratch_path
 from tickloom.sources.store import exists, upsert
@@ -55,26 +55,48 @@ class Snapshots:
     """A small keyed table as one folder per batch.
 
     Batch n is written from the newest complete folder below n, so replaying a batch rewrites the
-    same folder with the same rows, and a failed write leaves the folder before it in place.
+    same folder with the same rows, and a failed write leaves the folder before it in place. Folders
+    more than ``KEPT_FOLDERS`` batches old are removed.
     """
 
+    KEPT_FOLDERS = 10
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _folder(self, batch: int) -> str:
         return f"{self.path}/batch={batch}"
 
-    def latest(self, below: int | None = None) -> DataFrame | None:
+    def _file_system(self):
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), fs_path
+
+    def _batches(self) -> list[int]:
+        fs, fs_path = self._file_system()
         if not fs.exists(fs_path):
-            return None
-        ids = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path)]
-        done = [i for i in ids if (below is None or i < below) and exists(self.spark, f"{self._folder(i)}/_SUCCESS")]
+            return []
+        return [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path)]
+
+    def latest(self, below: int | None = None) -> DataFrame | None:
+        done = [i for i in self._batches() if (below is None or i < below) and exists(self.spark, f"{self._folder(i)}/_SUCCESS")]
         return self.spark.read.parquet(self._folder(max(done))) if done else None
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(self._folder(batch))
+        fs, _ = self._file_system()
+        for old in self._batches():
+            if old <= batch - self.KEPT_FOLDERS:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(old)), True)
+
+
+def log_batch(df: DataFrame, path: str, batch: int) -> None:
+    """The changed rows of a batch in a folder of their own; a replay overwrites it with the same rows."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_log(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row per key over all logged batches."""
+    return newest_by(spark.read.parquet(path), keys, [F.col("batch")]).drop("batch")
 
 
 def keep_last(spark: SparkSession, path: str, n: int = KEPT_BARS, by: Sequence[str] = ("ticker",), ts: str = "ts") -> Callable:
@@ -94,14 +116,15 @@ def indicators(bars: DataFrame, every: str = "1h") -> DataFrame:
                             sma_step("close", 50, "ma_50"), sma_step("close", 200, "ma_200")], every=every)
 
 
-def live_indicators(spark: SparkSession, kept_path: str, out_path: str, every: str = "1h", n: int = KEPT_BARS) -> Callable:
-    """A batch handler that updates the kept bars, then the indicators of the tickers in the batch."""
-    keep, kept, out = keep_last(spark, kept_path, n), Snapshots(spark, kept_path), Snapshots(spark, out_path)
+def live_indicators(spark: SparkSession, kept_path: str, log_path: str, every: str = "1h", n: int = KEPT_BARS) -> Callable:
+    """A batch handler that updates the kept bars, then logs the indicators of the tickers in the batch.
+
+    ``read_log(spark, log_path, ["ticker", "ts"])`` gives the newest value of every bar.
+    """
+    keep, kept = keep_last(spark, kept_path, n), Snapshots(spark, kept_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         keep(batch, batch_id)
         touched = kept.latest(below=batch_id + 1).join(batch.select("ticker").distinct(), "ticker", "left_semi")
-        fresh = indicators(touched, every)
-        old = out.latest(below=batch_id)
-        out.write(fresh if old is None else upsert(old, fresh, ["ticker", "ts"]), batch_id)
+        log_batch(indicators(touched, every), log_path, batch_id)
     return handle
