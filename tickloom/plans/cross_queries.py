@@ -8,11 +8,12 @@ from tickloom.functions import labels
 from tickloom.operators import cross as X
 from tickloom.operators import series as S
 from tickloom.operators import stats as A
-from tickloom.plans.quality_queries import r_all, rounded
+from tickloom.operators.runs import recent_activity
+from tickloom.plans.quality_queries import rounded
 from tickloom.plans.registry import DAY, day, query, r, rnd
 from tickloom.plans.series_queries import RETURNS, SIGNALS
 from tickloom.plans.views import (
-    bars_day, bars_month, bars_source, news, runs, steps, table, ticks, trades, using,
+    bars_day, bars_month, bars_source, news, table, ticks, using,
 )
 
 FE = ["open", "high", "low", "close", "volume"]
@@ -183,7 +184,6 @@ def a17(spark, sf):
 @query("a17_recent_activity", using("ticks", """SELECT ticker, count(*) AS recent FROM ticks
   WHERE ts > (SELECT max(ts) FROM ticks) - INTERVAL 24 HOUR GROUP BY ticker"""))
 def a17_recent(spark, sf):
-    from tickloom.operators.runs import recent_activity
     t = ticks(spark, sf)
     return recent_activity(t, "ts", t.agg(F.max("ts")).scalar(), hours=24, by="ticker")
 

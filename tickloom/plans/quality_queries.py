@@ -8,7 +8,7 @@ from tickloom.functions.dates import day_text
 from tickloom.functions.numeric import INF, sanitize, to_number
 from tickloom.operators import quality as Q
 from tickloom.plans.registry import DAY, day, query, r, rnd
-from tickloom.plans.views import bars_day, bars_month, gappy, ticks, using
+from tickloom.plans.views import bars_day, bars_month, gappy, ticks, trades, using
 
 FE = Q.FEATURES
 W = "OVER (PARTITION BY ticker ORDER BY ts)"
@@ -231,7 +231,6 @@ def p16(spark, sf):
 @query("p17_valid_ticker", using("trades", """SELECT ticker, count(*) AS n FROM trades
   WHERE l_linenumber NOT IN (1, 2) GROUP BY ticker"""))
 def p17(spark, sf):
-    from tickloom.plans.views import trades
     k = F.col("l_linenumber")
     messy = F.when(k == 1, F.lit("  ")).when(k == 2, F.lit("NaN")).otherwise(F.concat(F.lit(" "), F.col("ticker"), F.lit("  ")))
     return Q.valid_ticker(trades(spark, sf).withColumn("ticker", messy)).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.plans.function_queries import _SCORED, _TAGGED, _TXT, BAD, GOOD
 from tickloom.plans.quality_queries import r_all, rounded
 from tickloom.plans.registry import query, r, rnd
-from tickloom.plans.views import news, steps, table, ticks, using
+from tickloom.plans.views import news, steps, ticks, using
 from tickloom.session import scratch_path
 from tickloom.streaming import ingest, live
 

@@ -1,8 +1,4 @@
-"""Fixed schemas of stored and exchanged tables, as DDL."""
-
-BARS = (
-    "ticker string, base_symbol string, source string, ts timestamp, open double, high double, "
-    "low double, close double, volume double, interval string")
+"""Fixed schemas of the files that are read, as DDL."""
 
 # The twelve columns of a kline row, in file order.
 KLINES = (
@@ -11,7 +7,3 @@ KLINES = (
     "`Taker Buy Base Asset Volume` string, `Taker Buy Quote Asset Volume` string, Ignore string")
 
 EXCHANGE = "exchange string, symbols array<struct<symbol:string,status:string>>"
-
-SIGNALS = (
-    "ticker string, model string, signal_date date, signal_type string, price double, "
-    "predicted_price double, expected_profit double, confidence double, indicators string")

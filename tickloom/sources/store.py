@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.tickers import base_symbol
@@ -60,6 +60,8 @@ def write_upsert(new: DataFrame, path: str, keys: Keys, order: Sequence[str] = (
                  partitions: Sequence[str] = ()) -> None:
     """Upserts into a Parquet table; with ``partitions`` only those that receive rows are rewritten.
 
+    The partition columns must follow from the keys, so that a key never changes its partition.
+
     The merged rows go to a scratch table first, since a table cannot be overwritten while it is
     read. Running the same batch again gives the same table.
     """
@@ -94,7 +96,7 @@ def read_result(df: DataFrame, filters: Mapping[str, object] | None = None, newe
     return d.orderBy(F.col(newest).desc()) if newest else d
 
 
-def migrate_add_base_symbol(df: DataFrame, known: Column | None = None) -> DataFrame:
+def migrate_add_base_symbol(df: DataFrame) -> DataFrame:
     """Adds ``base_symbol`` where it is missing, from the ticker."""
     from_ticker = base_symbol(F.col("ticker"))
     if "base_symbol" not in df.columns:
