@@ -10,16 +10,18 @@ How it is laid out:
 1. Every task hashes the shingles of a block of documents. Tokens seen once in the block go to their hash
    shard with the place of their document; tokens seen several times go as one entry with a count, and
    their places stay with the block. A token of a third of all documents thus is one entry per block.
+   Equal sets of a block post their tokens once, and each set posts itself as well, by count and a sum over its tokens.
 2. A shard adds up the counts and answers each block with those of its tokens that occur elsewhere, too.
-   Most tokens of a corpus occur in one document only; they are never looked at again.
-3. A block picks the prefixes of its documents. Unique tokens come first in every order, so they fill a
-   prefix without making candidates. Documents whose shared tokens cannot reach the threshold are done.
-   Equal sets become one class, by count and a 128-bit sum over the tokens.
+   Most tokens of a corpus occur in one document only; they are never looked at again. For equal sets of several
+   blocks it says how many post, and which one of them goes on.
+3. A block picks the prefixes of its documents. Tokens of one set (and its copies) only come first in every order,
+   so they fill a prefix without making candidates. Documents whose shared tokens cannot reach the threshold are
+   done. Equal sets become one class, by count and a 128-bit sum over the tokens.
 4. Classes meet in the buckets of their prefix tokens. First each bucket's most central class is compared
-   with the others and links are turned into components; then all pairs of a bucket that lie in different
-   components are compared. Pairs inside a component need no comparison to know the component. Before
-   each step, members that cannot reach the threshold with anyone in the bucket leave it, and so do
-   buckets of one component; star steps go on while they merge components and many pairs are left.
+   with the others, and linked classes take one label; then all pairs of a bucket with different labels are
+   compared. Pairs under one label need no comparison to know the component. Before each step, members
+   that cannot reach the threshold with anyone in the bucket leave it, and so do buckets of one label; star
+   steps go on while they find links and many pairs are left. Components of all links come last.
 
 Rows: a null text is empty; a text without words has no shingles, is linked with nothing and is its own
 component; with fewer words than a shingle the whole sequence is the one shingle. Rows that repeat an
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,9 +45,10 @@ from tickloom.llm.arrays import mix, slices, windows, word_hashes
 from tickloom.session import checkpointed
 
 ORDERS = 3
-BLOCK_CHARS = 6 << 20
-SHARD_TOKENS = 1 << 20
+BLOCK_CHARS = 4 << 20
+SHARD_TOKENS = 1 << 19
 REPEATED = np.uint32(0xFFFFFFFF)
+OF_SET = np.uint32(0x80000000)  # marks the entry of a whole set
 _SALT = [np.uint64(x) for x in (0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 BLOCK_ROWS = "block long, shard int, size int, payload binary"
@@ -152,6 +156,13 @@ def _blocks(words: int, shards: int):
             np.array(head, np.int64).tobytes(), ids.tobytes(), null.tobytes(), posts.tobytes(), n.tobytes(),
             sums[0].tobytes(), sums[1].tobytes(), s[twice].tobytes(), owner[twice].tobytes()])
         out = [(name, int(mix(np.uint64([name]))[0]) % shards, -1, payload)]
+        whole = np.flatnonzero(posts & (n > 0))
+        own = mix(sums[0][whole] + n[whole].astype(np.uint64))
+        token = np.concatenate((token, own))
+        place = np.concatenate((place, whole.astype(np.uint32) | OF_SET))
+        count = np.concatenate((count, (sums[1][whole] >> np.uint64(32)).astype(np.int64)))
+        order = np.argsort(token, kind="stable")
+        token, place, count = token[order], place[order], count[order]
         shard = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
         edges = np.searchsorted(shard, np.arange(shards + 1))
         for k in range(shards):
@@ -173,14 +184,25 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(p, n, np.uint64, np.uint32, np.uint32) for p, n in zip(rest["payload"], sizes)]
         token, place, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
         who = np.repeat(np.arange(len(rest)), sizes)
+        sets = (place >= OF_SET) & (place != REPEATED)
+        order = np.flatnonzero(sets)
+        order = order[np.lexsort((rest["block"].to_numpy()[who[order]], count[order], token[order]))]
+        t, c = token[order], count[order]
+        run = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]) if len(t) else np.empty(0, np.int64)
+        size = np.diff(np.r_[run, len(t)])
+        copies = np.repeat(size, size) * 2
+        copies[run] += 1  # the first one goes on
+        several = np.repeat(size, size) > 1
+        set_part = (t[several], place[order][several], who[order][several], copies[several].astype(np.int64))
+        token, place, count, who = token[~sets], place[~sets], count[~sets], who[~sets]
         order = np.argsort(token, kind="stable")
         token, place, count, who = token[order], place[order], count[order], who[order]
-        run = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        df = np.add.reduceat(count.astype(np.int64), run)
+        run = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+        df = np.add.reduceat(count.astype(np.int64), run) if len(run) else np.empty(0, np.int64)
         each = np.repeat(df, np.diff(np.r_[run, len(token)]))
         many = each > 1
-        token, place, who, each = token[many], place[many], who[many], each[many]
-        order = np.argsort(who, kind="stable")
+        token, place, who, each = (np.concatenate((a[many], b)) for a, b in zip((token, place, who, each), set_part))
+        order = np.lexsort((token, who))
         token, place, who, each = token[order], place[order], who[order], each[order].astype(np.int64)
         edges = np.searchsorted(who, np.arange(len(rest) + 1))
         names, shards = rest["block"].to_numpy(), rest["shard"].to_numpy()
@@ -211,14 +233,21 @@ def _prefixes(percent: int):
         token = np.concatenate([p[0] for p in parts] or [np.empty(0, np.uint64)])
         place = np.concatenate([p[1] for p in parts] or [np.empty(0, np.uint32)])
         df = np.concatenate([p[2] for p in parts] or [np.empty(0, np.int64)])
+        of_set = (place >= OF_SET) & (place != REPEATED)
+        copies, first = np.ones(size, np.int64), np.ones(size, bool)
+        at_set = (place[of_set] & ~OF_SET).astype(np.int64)
+        copies[at_set], first[at_set] = df[of_set] >> 1, (df[of_set] & 1) == 1
+        token, place, df = token[~of_set], place[~of_set], df[~of_set]
         single = place != REPEATED
         known = np.argsort(token[~single])
         found = known[np.searchsorted(token[~single][known], own_token)] if repeats else np.empty(0, np.int64)
         token = np.concatenate((token[single], own_token))
         df = np.concatenate((df[single], df[~single][found]))
         place = np.concatenate((place[single], own_place)).astype(np.int64)
+        elsewhere = df > copies[place]  # in other sets than this one
+        token, df, place = token[elsewhere], df[elsewhere], place[elsewhere]
         shared = np.bincount(place, minlength=size)
-        active = posts & (n > 0) & (100 * shared >= percent * n)
+        active = posts & first & (n > 0) & (100 * shared >= percent * n)
         use = active[place]
         token, df, place = token[use], df[use], place[use]
         quota = np.maximum(prefix_length(n, percent) - (n - shared), 0)
@@ -278,19 +307,18 @@ def _possible(na, nb, sa, sb, percent: int) -> Column:
 def class_links(classes: DataFrame, percent: int, star_steps: int = 8) -> DataFrame:
     """Verified links ``a``, ``b`` of classes that connect exactly what all links would connect.
 
-    ``classes``: ``rep``, ``n``, ``shared``, prefixes ``p0`` to ``p2`` and ``tokens``.
+    ``classes``: ``rep``, ``n``, ``shared``, prefixes ``p0`` to ``p2`` and ``tokens``. Rows of a bucket carry ``comp``:
+    equal values are known to be connected, different ones may be or not.
     """
-    light = classes.select("rep", "n", "shared", "p1", "p2")
-    buckets = checkpointed(classes.select("rep", "n", "shared", F.explode("p0").alias("token")))
-    links, label, tested = None, None, None
+    light = classes.select("rep", "p1", "p2")
+    rows = classes.select("rep", "n", "shared", F.explode("p0").alias("token"), F.col("rep").alias("comp"))
+    links, tested = [], None
 
     def living(rows: DataFrame) -> DataFrame:
         """Members that could still be linked with one of another component in their bucket."""
-        for _ in range(2):
-            about = rows.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("c1"),
-                                              F.max("comp").alias("c2"))
-            rows = (rows.join(about, "token").where("c1 <> c2")
-                    .where(f"{100 + percent} * shared >= {percent} * (n + least)").drop("least", "c1", "c2"))
+        about = rows.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        rows = (rows.join(about, "token").where("c1 <> c2")
+                .where(f"{100 + percent} * shared >= {percent} * (n + least)").drop("least", "c1", "c2"))
         about = rows.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
         return rows.join(about, "token").where("c1 <> c2").drop("c1", "c2")
 
@@ -299,21 +327,18 @@ def class_links(classes: DataFrame, percent: int, star_steps: int = 8) -> DataFr
         a, b = light.alias("x"), light.alias("y")
         passed = (pairs.join(a, F.col("a") == F.col("x.rep")).join(b, F.col("b") == F.col("y.rep"))
                   .where(F.arrays_overlap("x.p1", "y.p1") & F.arrays_overlap("x.p2", "y.p2"))
-                  .select("a", "b"))
+                  .select(*pairs.columns))
         x = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
         y = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb"))
         return (passed.join(x, "a").join(y, "b").withColumn("both", both)
-                .where((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
+                .where((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb"))).select(*pairs.columns))
 
-    def labelled() -> DataFrame:
-        if label is None:
-            return buckets.withColumn("comp", F.col("rep"))
-        return (buckets.join(label, buckets.rep == label.id, "left")
-                .withColumn("comp", F.coalesce("label", "rep")).drop("id", "label"))
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
+    rows = checkpointed(living(rows))
     for step in range(star_steps):
-        rows = checkpointed(living(labelled()))
         sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(
             F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"))
         left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
@@ -324,26 +349,24 @@ def class_links(classes: DataFrame, percent: int, star_steps: int = 8) -> DataFr
             F.min(F.struct(turn.alias("turn"), "rep", "n", "shared", "comp")).alias("c"))
         star = (rows.join(centre, "token").where("comp <> c.comp")
                 .where(_possible(F.col("n"), F.col("c.n"), F.col("shared"), F.col("c.shared"), percent))
-                .select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct())
-        if tested is not None:
-            star = star.join(tested, ["a", "b"], "left_anti")
-        star = checkpointed(star)
-        tested = star if tested is None else tested.union(star)
+                .groupBy(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
+                .agg(F.min(F.least("comp", "c.comp")).alias("comp")))
+        star = checkpointed(untested(star))
+        tested = star.select("a", "b") if tested is None else tested.union(star.select("a", "b"))
         found = checkpointed(verified(star))
         if not found.take(1):
             break
-        links = found if links is None else links.union(found)
-        label = components(links)
-    rows = checkpointed(living(labelled()))
+        links.append(found.select("a", "b"))
+        # linked classes take the smaller component of the two; whole components follow at the end
+        moved = (found.select(F.explode(F.array("a", "b")).alias("rep"), F.col("comp").alias("to"))
+                 .groupBy("rep").agg(F.min("to").alias("to")))
+        rows = checkpointed(living(rows.join(moved, "rep", "left").withColumn("comp", F.least("comp", "to")).drop("to")))
     x, y = rows.alias("x"), rows.alias("y")
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep"))
                     & (F.col("x.comp") != F.col("y.comp"))
                     & _possible(F.col("x.n"), F.col("y.n"), F.col("x.shared"), F.col("y.shared"), percent))
              .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    found = verified(pairs)
-    return found if links is None else links.union(found)
+    return reduce(DataFrame.union, links, verified(checkpointed(untested(pairs))))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
@@ -363,9 +386,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = checkpointed(found.where("n > 0").groupBy(*same).agg(
         F.min("doc_id").alias("rep"), F.min(F.when(F.col("p0").isNotNull(), F.col("key"))).alias("key")))
     # classes are told apart by number, since identifiers may be null or repeat
-    classes = found.where("p0 is not null").join(reps.select(F.col("key")), "key", "left_semi").select(
+    classes = found.where("p0 is not null").select(
         F.col("key").alias("rep"), "n", "shared", "p0", "p1", "p2", "tokens")
-    label = components(class_links(checkpointed(classes), percent))
+    label = components(class_links(classes, percent))
     joined = reps.join(label, reps.key == label.id, "left")
     least = joined.where("label is not null").groupBy("label").agg(F.min("rep").alias("low"))
     names = joined.join(least, "label", "left").select(*same, F.coalesce("low", "rep").alias("component"))
