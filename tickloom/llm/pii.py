@@ -44,7 +44,8 @@ FORMATS = {
               r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\3\d{4})" + _END),
     "account": _EDGE + r"\d(?:[ -]?\d){12,18}" + _END,
 }
-ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
+#: One pattern for all; places at which no number can begin are left at the first character.
+ANY = f"{FORMATS['mail']}|(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in FORMATS.items() if k != "mail") + ")"
 
 
 def _prf(key: str, kind: str, turn: Column, half: Column) -> Column:
@@ -205,7 +206,7 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
     """All columns, with personal values of ``text_col`` replaced, and how many were replaced."""
     text = F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     new = F.transform("_found", lambda m: pseudonym(m, key))
     between = F.split(text, ANY, -1)
     joined = F.concat(F.element_at(between, 1), F.array_join(F.zip_with(
