@@ -280,11 +280,11 @@ def test_leaks_given(spark):
 
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 1000), ("b", "z", 1000)], "d string, s string, supply long")
-    got = {r.s: r.amount for r in mixture.budgets(leaves, ["d", "s"], [{}, {}], F.lit(600).cast("long"), 1).collect()}
+    got = {r.s: r.amount for r in mixture.budgets(leaves, ["d", "s"], [{}, {}], 600, 1).collect()}
     assert got == {"x": 10, "y": 290, "z": 300}
-    got = {r.s: r.amount for r in mixture.budgets(leaves, ["d", "s"], [{"a": 3, "b": 1}, {}], F.lit(1600).cast("long"), 1).collect()}
+    got = {r.s: r.amount for r in mixture.budgets(leaves, ["d", "s"], [{"a": 3, "b": 1}, {}], 1600, 1).collect()}
     assert got == {"x": 10, "y": 1000, "z": 590}  # a cannot give its 1200
-    got = {r.s: r.amount for r in mixture.budgets(leaves, ["d", "s"], [{}, {"y": 0}], F.lit(10 ** 6).cast("long"), 2).collect()}
+    got = {r.s: r.amount for r in mixture.budgets(leaves, ["d", "s"], [{}, {"y": 0}], 10 ** 6, 2).collect()}
     assert got == {"x": 20, "z": 2000}
 
 

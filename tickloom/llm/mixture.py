@@ -76,7 +76,7 @@ def share_out(children: DataFrame, parents: list[str], name: str, weights: dict[
         "w", "fill", "left_w", "left_b", "full", "rest_b", "rest_w")
 
 
-def budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, float]], budget: Column,
+def budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, float]], budget: int,
             max_epochs: int) -> DataFrame:
     """``amount`` of every leaf (``levels``, ``supply``): tokens to read from it."""
     rows = leaves.withColumn("cap", F.col("supply") * max_epochs)
@@ -85,7 +85,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, float]
         keys = levels[:k + 1]
         nodes = rows.groupBy(*keys).agg(F.sum("cap").alias("cap"))
         if out is None:
-            nodes = nodes.crossJoin(rows.agg(budget.alias("budget")))  # one row
+            nodes = nodes.withColumn("budget", F.lit(budget).cast("long"))
         else:
             nodes = nodes.join(out.withColumnRenamed("amount", "budget").drop("cap"), keys[:-1])
         out = share_out(nodes, keys[:-1], name, w).select(*keys, "cap", "amount")
@@ -126,7 +126,8 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: list[dict[s
         F.col(id_col).alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
         tokens_of(F.col(text_col)).alias("tokens")))
     supply = light.groupBy(*names).agg(F.sum("tokens").cast("long").alias("supply")).where("supply > 0")
-    whole = (F.lit(budget).cast("long") if budget is not None
-             else F.floor(F.sum("supply") * F.lit(int(round(budget_share * 1000))) / 1000).cast("long"))
-    leaves = checkpointed(budgets(checkpointed(supply), names, weights, whole, max_epochs))
+    supply = checkpointed(supply)
+    if budget is None:
+        budget = (supply.agg(F.sum("supply")).first()[0] or 0) * round(budget_share * 1000) // 1000
+    leaves = checkpointed(budgets(supply, names, weights, budget, max_epochs))
     return select_prefixes(light, leaves, names, seed)
