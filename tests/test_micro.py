@@ -1,7 +1,9 @@
 """Hand-made tables with results worked out by hand."""
 
+import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -178,18 +180,22 @@ def test_corr_of_flat_series_is_null(spark):
     assert X.pairs(m).count() == 0
 
 
-def test_corr_paths_agree(spark, monkeypatch):
-    import numpy as np
+@pytest.mark.parametrize("k", [4, 25])
+def test_corr_of_any_number(spark, k):
     rng = np.random.default_rng(3)
-    d = None
-    for k in range(5):
-        part = closes(spark, rng.normal(size=30), f"T{k}")
-        d = part if d is None else d.unionByName(part)
-    names = [f"T{k}" for k in range(5)]
-    one = {(r.t1, r.t2): r["corr"] for r in X.corr_matrix(d, names).collect()}
-    monkeypatch.setattr(X, "PAIR_COLUMNS", 2)
-    two = {(r.t1, r.t2): r["corr"] for r in X.corr_matrix(d, names).collect()}
-    assert one == two and len(one) == 25
+    names = [f"T.{i}" for i in range(k)]  # a dot in the name
+    x = rng.normal(size=(12, k)) + 10_000
+    x[:, 1] = 7
+    rows = [(n, dt.datetime(2024, 1, 1) + dt.timedelta(d), float(x[d, i])) for i, n in enumerate(names) for d in range(12)]
+    d = spark.createDataFrame(rows, "ticker string, ts timestamp, close double")
+    got = {(r.t1, r.t2): r["corr"] for r in X.corr_matrix(d, names).collect()}
+    want = np.corrcoef(np.delete(x, 1, axis=1).T)
+    rest = [n for n in names if n != "T.1"]
+    assert len(got) == k * k and all(got[a, "T.1"] is None for a in names)
+    assert all(got[a, b] == pytest.approx(want[i, j], abs=6e-5) for i, a in enumerate(rest) for j, b in enumerate(rest))
+    one = X.corr_matrix(d.where("ts < '2024-01-02'"), names).collect()
+    assert len(one) == k * k and all(r["corr"] is None for r in one)
+    assert X.corr_matrix(d.limit(0), names).collect() == [] and X.align(d, names).columns == ["ts", *names]
 
 
 def test_metrics_undefined_is_zero_or_null(spark):
@@ -220,6 +226,27 @@ def test_dca_against_a_loop(spark):
     assert P.dca(closes(spark, prices), 100, every_n=5, periods=3).count() == 0  # too few bars
 
 
+def test_backtest_of_many_trades_stays_in_range(spark):
+    d = spark.createDataFrame([("up", 9.0)] * 500 + [("down", -0.9)] * 500 + [("flip", -3.0)] * 3 + [("lost", -1.0), ("lost", 4.0)] + [("both", 9.0), ("both", -0.9)] * 400,
+                              "ticker string, trade_return double")
+    got = {r.ticker: r for r in S.backtest_summary(d).collect()}
+    assert got["up"].total_return is None and got["up"].out_of_range and got["up"].log_growth == pytest.approx(500 * math.log(10))
+    assert got["down"].total_return == -1.0 and got["lost"].total_return == -1.0 and got["flip"].total_return == pytest.approx(-9.0)
+    assert got["both"].total_return == pytest.approx(0.0, abs=1e-9) and not got["both"].out_of_range
+
+
+def test_flatten_keeps_the_bars_of_a_day(spark):
+    rows = [("A", dt.datetime(2024, 1, 1 + h // 24, h % 24), float(h)) for h in range(48)]
+    d = spark.createDataFrame(rows, "ticker string, ts timestamp, close double")
+    back = Q.unflatten(Q.flatten(d, ["close"])).where("value is not null").orderBy("ts").collect()
+    assert [r.value for r in back] == [float(h) for h in range(48)] and [r.ts for r in back] == [t for _, t, _ in rows]
+
+
+def test_map_columns_are_carried(spark):
+    d = closes(spark, range(30)).withColumn("m", F.create_map(F.lit("k"), F.col("close")))
+    assert S.pct_change(d).where("m['k'] = close and ret is not null").count() == 28  # the first two have none
+
+
 def test_backtest_counts_tickers_without_trades(spark):
     d = closes(spark, [10.0, 10.0, 10.0])
     r = G.backtest_report(d, d.withColumnRenamed("close", "forecast")).head()

@@ -153,12 +153,12 @@ def test_dbscan_against_brute_force(spark, monkeypatch, m, eps, pack):
             assert got[i] == got[int(d.argmin())]
 
 
-@pytest.mark.parametrize("pack", [2048, 20])
-def test_silhouette_against_brute_force(spark, monkeypatch, pack):
-    monkeypatch.setattr(C, "PACK", pack)
+@pytest.mark.parametrize("block", [None, 1 << 20, 2])
+def test_silhouette_against_brute_force(spark, block):
     x = blobs(3, 90)
     labels = np.array([*(np.arange(90) % 3), 9])  # the last cluster has one member
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    d = np.sqrt(d) if block is None else d
     scores = []
     for i, own in enumerate(labels):
         mine = labels == own
@@ -168,7 +168,8 @@ def test_silhouette_against_brute_force(spark, monkeypatch, pack):
         a = d[i, mine].sum() / (mine.sum() - 1)
         b = min(d[i, labels == o].mean() for o in set(labels) if o != own)
         scores.append((b - a) / max(a, b))
-    assert C.silhouette(frame(spark, x, labels)).head()[0] == pytest.approx(np.mean(scores))
+    each = C.euclidean_silhouette_of(frame(spark, x, labels)) if block is None else C.silhouette_of(frame(spark, x, labels), block)
+    np.testing.assert_allclose([r.silhouette for r in each.orderBy("entity").collect()], scores, atol=1e-9)
     assert C.silhouette(frame(spark, x, np.zeros(len(x)))).head()[0] == 0.0
 
 

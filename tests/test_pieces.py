@@ -92,6 +92,26 @@ def test_ema(df, pdf, span):
     same(got(S.ema(df, span=span), f"ema_{span}"), want(pdf, lambda s: s.ewm(span=span, adjust=False).mean()))
 
 
+@pytest.mark.parametrize("span", [2, 5, 26])
+def test_ema_with_gaps(df, pdf, span):
+    same(got(S.ema(df, "gappy", span=span), f"ema_{span}"), want(pdf, lambda s: s.ewm(span=span, adjust=False).mean(), "gappy"))
+
+
+def test_macd_with_long_gaps(spark):
+    pdf = series(9000, seed=9)
+    r = np.random.default_rng(1)
+    hole = r.random(len(pdf)) < 0.6
+    hole[:50] = hole[4000:4300] = True
+    pdf["close"] = pdf["close"].where(~hole)
+    df = spark.createDataFrame(pdf.drop(columns="gappy")).withColumn("ts", F.col("ts").cast("timestamp"))
+    df = df.withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    d = S.run_steps(df, [S.macd_step("close")])
+    def line(s):
+        return s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
+    same(got(d, "macd"), want(pdf, line), 1e-9)
+    same(got(d, "signal_line"), want(pdf, lambda s: line(s).ewm(span=9, adjust=False).mean()), 1e-9)
+
+
 def test_ema_over_many_blocks_and_segments(spark, monkeypatch):
     monkeypatch.setattr(S, "SEGMENT", 8.0)  # short segments: their ends must be carried on exactly
     monkeypatch.setattr(S, "FORGET", 60.0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Bar-interval labels and their length in seconds (a month counts 31 days,
-# which is only used to size chunks, never to place a bar).
+# which sizes chunks and the time a live month stays open, but never places a bar).
 INTERVAL_SECONDS = {
     "1m": 60, "5m": 300, "15m": 900, "30m": 1800,
     "1h": 3600, "1d": 86400, "1wk": 604800, "1mo": 2678400,

@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +119,59 @@ def _cluster_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "n": np.tile(member.sum(axis=0).astype("int64"), len(r.ids))})
 
 
-def silhouette_of(df: DataFrame) -> DataFrame:
-    """The silhouette of every entity of (entity, cluster, features), with Euclidean distances.
+def _fold_block(block: Broadcast) -> Callable:
+    """Mean squared distances of points to the clusters of one block, from the clusters' counts and sums."""
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, n, sums, squares = block.value
+        at = {c: i for i, c in enumerate(names)}
+        for pdf in frames:
+            x = np.stack(pdf["features"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, sums.shape[1]))
+            far = np.maximum(((x ** 2).sum(1)[:, None] - 2 * x @ (sums / n[:, None]).T + (squares / n)[None, :]), 0)
+            own = pdf["cluster"].map(at).to_numpy(float)
+            mine = np.flatnonzero(~np.isnan(own))
+            k = own[mine].astype(int)
+            a, size = pdf["a"].to_numpy(float).copy(), pdf["size"].to_numpy(float).copy()
+            a[mine] = far[mine, k] * n[k] / np.maximum(n[k] - 1, 1)  # the point itself is no neighbour
+            size[mine] = n[k]
+            far[mine, k] = np.inf
+            yield pdf.assign(a=a, size=size, b=np.fmin(pdf["b"].to_numpy(float), far.min(axis=1)))
+    return fold
+
+
+def silhouette_of(df: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """The silhouette of every entity of (entity, cluster, features), with squared Euclidean distances.
+
+    The mean squared distance of a point to a cluster follows from the cluster's count, sum and sum of squares, so the work
+    is linear. These sums are broadcast in blocks of at most ``block`` numbers, and the points pass one block after the
+    other in place. 0 for a cluster of one point, and where there is one cluster only.
+    """
+    pts = df.select("entity", F.col("cluster").cast("string").alias("cluster"), "features").where("cluster is not null")
+    stats = pts.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(array_to_vector("features"))).alias("s"),
+        F.sum(F.aggregate("features", F.lit(0.0), lambda t, v: t + v * v)).alias("q"))
+    kind = df.schema["entity"].dataType.simpleString()
+    out = pts.withColumns({"a": F.lit(0.0), "size": F.lit(0.0), "b": F.lit(float("inf"))})
+    held: list = []
+
+    def folded(rows: list, d: DataFrame) -> DataFrame:
+        share = df.sparkSession.sparkContext.broadcast((
+            [r["cluster"] for r in rows], np.array([r["n"] for r in rows], float), np.array([r["s"] for r in rows]),
+            np.array([r["q"] for r in rows])))
+        return d.mapInPandas(_fold_block(share), f"entity {kind}, cluster string, features array<double>, a double, size double, b double")
+
+    for r in stats.toLocalIterator():
+        held.append(r)
+        if len(held) * len(r["s"]) >= block:
+            out, held = folded(held, out), []
+    if held:
+        out = folded(held, out)
+    far = F.greatest("a", "b")
+    score = F.when((F.col("size") > 1) & (F.col("b") < float("inf")) & (far > 0), (F.col("b") - F.col("a")) / far).otherwise(0.0)
+    return out.select("entity", "cluster", score.alias("silhouette"))
+
+
+def euclidean_silhouette_of(df: DataFrame) -> DataFrame:
+    """The silhouette of every entity of (entity, cluster, features), with Euclidean distances; for small tables.
 
     Every pack of points meets every other pack, as the definition asks for all distances, but what
     leaves a task is one sum per point and cluster.
@@ -144,7 +197,7 @@ def silhouette_of(df: DataFrame) -> DataFrame:
 
 
 def silhouette(df: DataFrame) -> DataFrame:
-    """One row: the mean silhouette, 0 for a single cluster."""
+    """One row: the mean silhouette (squared Euclidean), 0 for a single cluster."""
     return silhouette_of(df).agg(F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("silhouette"))
 
 
@@ -190,7 +243,7 @@ def _nearest(eps: float) -> Callable:
     return nearest
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph with edges (a, b): every node points to the least node it reaches.
 
     Alternates two steps that hang neighbours onto smaller nodes; the number of rounds grows with
@@ -198,7 +251,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     hung = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct()
     seen = None
-    for _ in range(rounds):
+    while True:
         both = hung.unionByName(hung.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("m"))
         wide = both.join(least, "node").where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("m").alias("root"))
@@ -210,7 +263,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen:
             return hung
         seen = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def dbscan(df: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:

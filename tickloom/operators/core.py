@@ -51,10 +51,11 @@ def _chunked(df: DataFrame, keys: list[str], ts: str, every: str) -> DataFrame:
 def _per_chunk(chunked: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     """One row per (key, chunk).
 
-    The hash over all columns keeps column pruning away, so this reader and the one of the rows need
-    the same exchange and Spark computes what lies below it once.
+    The hash over the columns keeps column pruning away, so this reader and the one of the rows need
+    the same exchange and Spark computes what lies below it once. Maps cannot be hashed and are left out.
     """
-    out = chunked.groupBy(*keys, "_c").agg(*aggs, F.max(F.hash(*chunked.columns)).alias("_h"))
+    hashed = [f.name for f in chunked.schema.fields if "map<" not in f.dataType.simpleString()]
+    out = chunked.groupBy(*keys, "_c").agg(*aggs, F.max(F.hash(*hashed)).alias("_h"))
     return out.where(F.col("_h").isNotNull()).drop("_h")
 
 
@@ -153,6 +154,44 @@ def carry_last(df: DataFrame, values: dict[str, Column], by: Keys = "ticker", ts
     return d.drop("_c", *[f"_{t}_{n}" for n in values for t in "vlp"])
 
 
+def known_around(df: DataFrame, cols: Sequence[str], by: Keys = "ticker", ts: str = "ts", every: str = "1d") -> DataFrame:
+    """Adds ``_i`` (position by time) and, per column, the known values around a row as (i, v): ``_a_<col>`` the last one
+    at or before it, ``_z_<col>`` the first one at or after it.
+
+    One exchange of the rows: counts and both edges of a chunk come out of one aggregate over it.
+    """
+    keys = key_list(by)
+    d = _chunked(df, keys, ts, every)
+    inside = Window.partitionBy(*keys, "_c").orderBy(ts)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*keys, "_c").orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_r", F.row_number().over(inside) - 1)
+    at = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_r").alias("i"), F.col(c).alias("v"))) for c in cols}
+    edges = d.groupBy(*keys, "_c").agg(
+        F.count(F.lit(1)).alias("_k"),
+        *[F.max_by(at[c], F.when(F.col(c).isNotNull(), F.col("_r"))).alias(f"_b_{c}") for c in cols],
+        *[F.min_by(at[c], F.when(F.col(c).isNotNull(), F.col("_r"))).alias(f"_y_{c}") for c in cols])
+    chunks = Window.partitionBy(*keys).orderBy("_c")
+    edges = edges.withColumn("_o", F.sum("_k").over(chunks) - F.col("_k"))
+
+    def moved(p: str, offset: str = "_o") -> Column:
+        return F.when(F.col(p).isNotNull(), F.struct((F.col(p)["i"] + F.col(offset)).alias("i"), F.col(p)["v"].alias("v")))
+
+    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col("_c").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(
+        *keys, "_c", "_o", *[F.last(moved(f"_b_{c}"), ignorenulls=True).over(before).alias(f"_p_{c}") for c in cols],
+        *[F.last(moved(f"_y_{c}"), ignorenulls=True).over(later).alias(f"_q_{c}") for c in cols])
+    d = d.withColumns({f"_l_{c}": F.last(at[c], ignorenulls=True).over(upto) for c in cols})
+    d = d.withColumns({f"_f_{c}": F.last(at[c], ignorenulls=True).over(after) for c in cols})
+    d = d.join(edges, [*keys, "_c"])
+    d = d.withColumns({
+        "_i": F.col("_o") + F.col("_r"),
+        **{f"_a_{c}": F.coalesce(moved(f"_l_{c}"), F.col(f"_p_{c}")) for c in cols},
+        **{f"_z_{c}": F.coalesce(moved(f"_f_{c}"), F.col(f"_q_{c}")) for c in cols}})
+    return d.drop("_c", "_r", "_o", *[f"_{x}_{c}" for c in cols for x in "lfpq"])
+
+
 def running_sum(df: DataFrame, values: dict[str, Column], by: Keys = "ticker", ts: str = "ts",
                 every: str = "1d") -> DataFrame:
     """Adds, per name, the sum of the expression over all rows up to and including this one."""

@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +13,6 @@ from tickloom.functions.tickers import variants
 from tickloom.operators.core import Keys, key_list, newest_by, spread_lists
 from tickloom.operators.series import pct_change
 
-PAIR_COLUMNS = 10       # up to here all pairs are columns of one aggregate
-VECTOR_COLUMNS = 4000   # beyond this the matrix itself is too big for one driver
-
-
 def common_range(df: DataFrame, tickers: Sequence[str], ts: str = "ts") -> DataFrame:
     """One row: the time from which and until which all the tickers have bars."""
     each = df.where(F.col("ticker").isin(*tickers)).groupBy("ticker").agg(
@@ -26,49 +20,62 @@ def common_range(df: DataFrame, tickers: Sequence[str], ts: str = "ts") -> DataF
     return each.agg(F.max("_a").alias("start"), F.min("_z").alias("end"), F.count(F.lit(1)).alias("tickers"))
 
 
+def _complete(df: DataFrame, tickers: Sequence[str], col: str, ts: str) -> DataFrame:
+    """(ts, values): the values of the tickers, in order, at times at which every one has a value."""
+    names = list(dict.fromkeys(tickers))
+    place = F.array_position(F.array(*[F.lit(t) for t in names]), F.col("ticker"))
+    known = df.where(F.col("ticker").isin(*names) & F.col(col).isNotNull()).select(ts, place.alias("_k"), F.col(col).cast("double").alias("_v"))
+    one = known.groupBy(ts, "_k").agg(F.first("_v").alias("_v"))
+    rows = one.groupBy(ts).agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_r"))  # one entry per ticker at most
+    return rows.where(F.size("_r") == len(names)).select(ts, F.transform("_r", lambda x: x["_v"]).alias("values"))
+
+
 def align(df: DataFrame, tickers: Sequence[str], col: str = "close", ts: str = "ts") -> DataFrame:
     """One row per time at which every ticker has a value, one column per ticker."""
-    chosen = df.where(F.col("ticker").isin(*tickers))
-    return chosen.groupBy(ts).pivot("ticker", list(tickers)).agg(F.first(col)).na.drop(subset=list(tickers))
+    names = list(dict.fromkeys(tickers))
+    return _complete(df, names, col, ts).select(ts, *[F.col("values")[i].alias(t) for i, t in enumerate(names)])
 
 
-def corr_matrix(df: DataFrame, tickers: Sequence[str], col: str = "close", ts: str = "ts",
-                digits: int = 4) -> DataFrame:
-    """Pearson correlation over complete rows as (t1, t2, corr), both directions and the diagonal.
+def correlations(df: DataFrame, tickers: Sequence[str], col: str = "close", ts: str = "ts", digits: int = 4) -> DataFrame:
+    """Pearson correlation of each pair once, t1 before t2 in the order given, and of each ticker with itself.
 
-    The aligned rows carry one column per ticker, so no row pairs are formed: a few tickers are one
-    aggregate over all pairs of columns, many are one pass over vectors.
+    Sums of products over complete rows: every row gives its products per ticker as one array, and the arrays are added up
+    where the rows are. Values are taken relative to the ticker's mean, so large levels lose no digits. A flat series has
+    no correlation, with itself neither; without complete rows there are no cells. The cells stay distributed.
     """
     names = list(dict.fromkeys(tickers))
-    wide = align(df, names, col, ts)
-    at = {t: F.col(f"`{t}`") for t in names}
-    if len(names) <= PAIR_COLUMNS:
-        def pearson(a: str, b: str) -> Column:  # null, not an error, where a series is flat
-            return F.try_divide(F.covar_pop(at[a], at[b]), F.stddev_pop(at[a]) * F.stddev_pop(at[b]))
-
-        cells = [F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2"), pearson(a, b).alias("corr"))
-                 for i, a in enumerate(names) for b in names[i + 1:]]
-        found = wide.agg(F.array(*cells).alias("_pairs"), F.count(F.lit(1)).alias("_n"),
-                         *[F.var_pop(at[t]).alias(f"_s{i}") for i, t in enumerate(names)]).where(F.col("_n") > 0)
-        own = F.array(*[F.struct(F.lit(t).alias("t1"), F.lit(t).alias("t2"), F.when(F.col(f"_s{i}") > 0, 1.0).alias("corr"))
-                        for i, t in enumerate(names)])
-        mirror = F.transform("_pairs", lambda p: F.struct(
-            p["t2"].alias("t1"), p["t1"].alias("t2"), p["corr"].alias("corr")))
-        out = found.select(F.inline(F.concat("_pairs", mirror, own)))
-    else:
-        if len(names) > VECTOR_COLUMNS:
-            raise ValueError(f"more than {VECTOR_COLUMNS} tickers: choose fewer")
-        vectors = VectorAssembler(inputCols=names, outputCol="v").transform(wide)
-        m = Correlation.corr(vectors, "v").head()[0].toArray()
-        out = df.sparkSession.createDataFrame(
-            [(a, b, float(m[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)],
-            "t1 string, t2 string, corr double")
-    return out.withColumn("corr", F.round(finite(F.col("corr")), digits))
+    rows = _complete(df, names, col, ts)
+    means = {r["k"]: r["m"] for r in rows.select(F.posexplode("values").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m")).collect()}
+    centre = F.array(*[F.lit(means.get(i, 0.0)) for i in range(len(names))])  # one number per ticker asked for
+    dev = rows.select(F.zip_with("values", centre, lambda v, m: v - m).alias("x"))
+    cells = dev.select(F.posexplode("x").alias("i", "a"), "x").select(
+        "i", F.posexplode(F.slice("x", F.col("i") + 1, len(names))).alias("j", "b"), "a").select(
+        "i", (F.col("i") + F.col("j")).alias("j"), (F.col("a") * F.col("b")).alias("ab"))
+    sums = cells.groupBy("i", "j").agg(F.sum("ab").alias("s"))
+    own = sums.where("i = j").select(F.col("i").alias("k"), "s")
+    x, y = own.select(F.col("k").alias("i"), F.col("s").alias("si")), own.select(F.col("k").alias("j"), F.col("s").alias("sj"))
+    name = F.array(*[F.lit(t) for t in names])
+    corr = F.when(F.col("i") == F.col("j"), F.when(F.col("si") > 0, 1.0)).otherwise(
+        F.try_divide(F.col("s"), F.sqrt("si") * F.sqrt("sj")))
+    return sums.join(x, "i").join(y, "j").select(
+        F.element_at(name, F.col("i") + 1).alias("t1"), F.element_at(name, F.col("j") + 1).alias("t2"),
+        F.round(finite(corr), digits).alias("corr"))
+
+
+def corr_matrix(df: DataFrame, tickers: Sequence[str], col: str = "close", ts: str = "ts",
+                digits: int = 4) -> DataFrame:
+    """Pearson correlation over complete rows as (t1, t2, corr), both directions and the diagonal."""
+    half = correlations(df, tickers, col, ts, digits)
+    both = F.when(F.col("t1") == F.col("t2"), F.array(F.struct("t1", "t2", "corr"))).otherwise(F.array(
+        F.struct("t1", "t2", "corr"), F.struct(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "corr")))
+    return half.select(F.inline(both))
 
 
 def pairs(matrix: DataFrame) -> DataFrame:
-    """The upper triangle: each pair once, undefined correlations left out."""
-    return matrix.where((F.col("t1") < F.col("t2")) & F.col("corr").isNotNull())
+    """Each pair once, in name order, undefined correlations left out; a matrix or its half will do."""
+    ordered = matrix.where((F.col("t1") != F.col("t2")) & F.col("corr").isNotNull()).select(
+        F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"), "corr")
+    return ordered.dropDuplicates(["t1", "t2"])
 
 
 def corr_stats(matrix: DataFrame) -> DataFrame:
@@ -87,10 +94,11 @@ def corr_heatmap(known: DataFrame, tickers: Sequence[str]) -> DataFrame:
     """Square table from known pairs: mirrored, 1 on the diagonal, 0 where unknown."""
     both = known.select("t1", "t2", "corr").unionByName(
         known.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "corr"))
-    spark = known.sparkSession
-    own = spark.createDataFrame([(t, t, 1.0) for t in tickers], "t1 string, t2 string, corr double")
+    names = list(tickers)
+    own = known.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in names])).alias("t1")).select(
+        "t1", F.col("t1").alias("t2"), F.lit(1.0).alias("corr"))
     every = both.where(F.col("t1") != F.col("t2")).unionByName(own)
-    return every.groupBy("t1").pivot("t2", list(tickers)).agg(F.first("corr")).na.fill(0.0)
+    return every.groupBy("t1").pivot("t2", names).agg(F.first("corr")).na.fill(0.0)
 
 
 def resolve_tickers(requests: DataFrame, known: DataFrame, entity: str = "entity") -> DataFrame:

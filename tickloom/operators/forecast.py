@@ -270,15 +270,15 @@ def compare_models(df: DataFrame, models: dict[str, Predictor] | None = None, te
     scored, failed = None, {}
     for name, predict in (models or default_models(col, every)).items():
         try:
-            p = predict(train, rows).where(F.col("part") == "test").select(
-                "ticker", F.lit(name).alias("model"), "ts", F.col(col).alias("actual"), "predicted")
+            p = checkpointed(predict(train, rows).where(F.col("part") == "test").select(
+                "ticker", F.lit(name).alias("model"), "ts", F.col(col).alias("actual"), "predicted"))
         except Exception as e:  # a failing model is reported, the others still count
             failed[name] = f"{type(e).__name__}: {e}"
             continue
         scored = p if scored is None else scored.unionByName(p)
     if scored is None:
         raise ValueError(f"every model failed: {failed}")
-    return _mark_best(forecast_metrics(checkpointed(scored), every=every), "rmse"), failed
+    return _mark_best(forecast_metrics(scored, every=every), "rmse"), failed
 
 
 def _mark_best(errors: DataFrame, score: str) -> DataFrame:
@@ -298,22 +298,25 @@ def cross_validate_ar(df: DataFrame, k: int = 5, lags: Sequence[int] = AR_LAGS,
 
 
 def cross_validate(df: DataFrame, k: int = 5, trees: dict[str, Predictor] | None = None, col: str = "close",
-                   every: str = "1d") -> DataFrame:
-    """Mean and deviation of the fold errors per ticker and model, with the best model marked."""
+                   every: str = "1d") -> tuple[DataFrame, dict[str, str]]:
+    """Mean and deviation of the fold errors per ticker and model, with the best model marked, and the messages of
+    folds that could not be fitted. ``folds`` tells how many folds the numbers rest on."""
     df = checkpointed(df.select("ticker", "ts", col))
     errors = cross_validate_ar(df, k, col=col, every=every)
-    folds = ts_folds(df, k, every=every)
+    folds, failed = checkpointed(ts_folds(df, k, every=every)), {}
     for name, predict in (trees or {}).items():
         for i in range(k):
             rows = folds.where(F.col("fold") == i)
             try:
                 p = predict(rows.where(F.col("part") == "train"), rows).where(F.col("part") == "test")
-            except ValueError:  # too few rows in this fold: it does not count
+            except ValueError as e:  # too few rows in this fold: it is reported and does not count
+                failed[f"{name}, fold {i}"] = str(e)
                 continue
             errors = errors.unionByName(forecast_error(
                 p.select("ticker", "fold", F.lit(name).alias("model"), F.col(col).alias("actual"), "predicted"),
                 ["ticker", "fold", "model"]))
-    return _mark_best(cv_summary(errors), "mean_rmse")
+    counts = errors.groupBy("ticker", "model").agg(F.count(F.lit(1)).alias("folds"))
+    return _mark_best(cv_summary(errors).join(counts, ["ticker", "model"]), "mean_rmse"), failed
 
 
 def horizons(forecast: DataFrame, ends: Sequence[int] = (1, 7, 30, 90)) -> DataFrame:

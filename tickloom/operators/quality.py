@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import to_number
-from tickloom.operators.core import Keys, carry_last, key_list, latest_n, number_rows, run_steps
+from tickloom.operators.core import Keys, carry_last, key_list, known_around, latest_n, run_steps
 from tickloom.operators.series import rolling_vol_step, sma_step
 
 FEATURES = ["open", "high", "low", "close", "volume"]
@@ -22,8 +22,6 @@ FEATURE_ALIASES = {
     "volume": ["Volume", "volume"],
 }
 
-MAX_PIVOT_COLUMNS = 10_000
-
 
 # --- filling -----------------------------------------------------------------------------------
 
@@ -48,16 +46,13 @@ def _put_back(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
 def interpolate(df: DataFrame, cols: Sequence[str], by: Keys = "ticker", ts: str = "ts",
                 every: str = "1d") -> DataFrame:
     """Straight line over row positions between known neighbours; the ends take the nearest value."""
-    d = number_rows(df, by, ts, every)
-    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v"))) for c in cols}
-    d = carry_last(d, {f"_a_{c}": e for c, e in known.items()}, by, ts, every)
-    d = carry_last(d, {f"_z_{c}": e for c, e in known.items()}, by, ts, every, backward=True)
+    d = known_around(df, cols, by, ts, every)
     fixed = {}
     for c in cols:
         a, z = F.col(f"_a_{c}"), F.col(f"_z_{c}")
         share = (F.col("_i") - a["i"]) / F.when(z["i"] > a["i"], z["i"] - a["i"])
         fixed[c] = F.coalesce(F.col(c), a["v"] + (z["v"] - a["v"]) * share, a["v"], z["v"])
-    return d.withColumns(fixed).drop("_i", "_n", *[p + c for c in cols for p in ("_a_", "_z_")])
+    return d.withColumns(fixed).drop("_i", *[p + c for c in cols for p in ("_a_", "_z_")])
 
 
 def to_cells(df: DataFrame, cols: Sequence[str] = FEATURES, keys: Sequence[str] = ("ticker", "ts")) -> DataFrame:
@@ -88,7 +83,9 @@ def unify_schema(df: DataFrame, by: Keys = "ticker", ts: str = "ts", every: str
         return to_number(found[0].cast("string")) if found else F.lit(0.0)
 
     d = df.select(*key_list(by), ts, *[feature(f).alias(f) for f in FEATURES]).na.drop("all", subset=FEATURES)
-    return bfill(ffill(d, FEATURES, by, ts, every), FEATURES, by, ts, every)
+    near = known_around(d, FEATURES, by, ts, every)
+    filled = {f: F.coalesce(F.col(f"_a_{f}")["v"], F.col(f"_z_{f}")["v"]) for f in FEATURES}
+    return near.withColumns(filled).drop("_i", *[p + f for f in FEATURES for p in ("_a_", "_z_")])
 
 
 # --- dropping ----------------------------------------------------------------------------------
@@ -214,22 +211,28 @@ def missing_ranges(df: DataFrame, start: str, end: str, by: Keys = "ticker", ts:
 # --- shape -------------------------------------------------------------------------------------
 
 def flatten(df: DataFrame, cols: Sequence[str] = FEATURES, by: str = "ticker", ts: str = "ts") -> DataFrame:
-    """One row per key with columns ``YYYY-MM-DD_feature``."""
-    names = [r[0] for r in df.select(F.date_format(ts, "yyyy-MM-dd")).distinct()
-             .orderBy(F.lit(1)).limit(MAX_PIVOT_COLUMNS + 1).collect()]
-    if len(names) * len(cols) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"more than {MAX_PIVOT_COLUMNS} columns: restrict the days or stay in cell form")
-    cells = to_cells(df, cols, [by, ts]).select(
-        by, F.concat_ws("_", F.date_format(ts, "yyyy-MM-dd"), "feature").alias("_col"), "value")
+    """One row per key with columns ``YYYY-MM-DD_feature``; a bar that starts within a day has its time in the name.
+
+    The columns of the result are the bar starts of the table, so their names pass the driver as any
+    schema does; ``to_cells`` is the long form for tables that are too wide to be one.
+    """
+    label = _bar_label(F.col(ts))
+    names = [r[0] for r in df.select(label.alias("_l")).distinct().collect()]
+    cells = to_cells(df, cols, [by, ts]).select(by, F.concat_ws("_", label, "feature").alias("_col"), "value")
     return cells.groupBy(by).pivot("_col", [f"{n}_{c}" for n in sorted(names) for c in cols]).agg(F.first("value"))
 
 
+def _bar_label(ts: Column) -> Column:
+    whole_day = ts == F.date_trunc("day", ts)
+    return F.when(whole_day, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+
+
 def unflatten(wide: DataFrame, by: str = "ticker") -> DataFrame:
-    """Back to cells (key, d, feature, value); the feature is what follows the last underscore."""
+    """Back to cells (key, d, ts, feature, value); the feature is what follows the last underscore."""
     cells = wide.unpivot([by], [c for c in wide.columns if c != by], "_col", "value")
+    start = F.regexp_extract("_col", r"^(.*)_([^_]*)$", 1)
     return cells.select(
-        by,
-        F.to_date(F.regexp_extract("_col", r"^(.*)_([^_]*)$", 1)).alias("d"),
+        by, F.to_date(start).alias("d"), F.to_timestamp(start).alias("ts"),
         F.regexp_extract("_col", r"^(.*)_([^_]*)$", 2).alias("feature"),
         "value",
     )

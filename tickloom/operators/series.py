@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.core import (
     Keys, Piece, Step, carry_last, key_list, latest_n, number_rows, run_steps, running_sum,
 )
 
-FORGET = 69.0    # -ln of the weight (1e-30) at which an exponential average has forgotten a value
-SEGMENT = 230.0  # -ln of the smallest weight (1e-100) used inside one summing segment
+FORGET = 41.0    # -ln of the weight (1e-18) at which an exponential average has forgotten a value
+SEGMENT = 200.0  # -ln of the decay after which a new summing segment begins
+JUMP = 230.0     # -ln of the weight (1e-100) below which a value does not count any more
 
 
 def _full(value: Column, col: Column, p: Piece, n: int) -> Column:
@@ -93,35 +94,60 @@ def _keep(span: int) -> float:
     return 1 - 2 / (span + 1)
 
 
+def _step_decay(keep: float, gap: int) -> float:
+    """-ln of the weight that the average before keeps when a known value follows ``gap`` rows later."""
+    w = keep ** gap
+    return -math.log(w / (w + 1 - keep)) if w > 0 else JUMP
+
+
 def ema_memory(span: int) -> int:
-    """Rows after which the weight of an older value is below 1e-30."""
-    return 1 if _keep(span) <= 0 else math.ceil(FORGET / -math.log(_keep(span)))
+    """Rows after which an older value has lost its weight, whatever the gaps between known values."""
+    keep = _keep(span)
+    if keep <= 0:
+        return 1
+    return max(math.ceil(FORGET / _step_decay(keep, gap)) * gap for gap in range(1, 2 + math.ceil(FORGET / -math.log(keep))))
 
 
 def ema_step(col: str, span: int, out: str | None = None) -> Step:
-    """Exponential average started at the first value, as running sums of weighted values.
+    """Exponential average over the known values, started at the first one.
 
-    Within a segment e_s = keep^s * sum(u_k * keep^-k); the end of the segment before is added with
-    its decay. Segments are short enough for keep^-k to stay in range, and the halo is long enough
-    for the weight of anything before it to fall below double precision.
+    A value ``g`` rows after the known one before gets the share a / (keep^g + a) with a = 1 - keep, so missing
+    rows age the average and leave no hole in its weights; on rows without a value the average stays, for as long as
+    it is remembered. The average is the sum of share * value * decay since then, built in segments whose decay
+    stays in the range of doubles; the end of the segment before is added with its decay.
     """
     name = out or f"ema_{span}"
-    keep = _keep(span)
+    keep, memory = _keep(span), ema_memory(span)
     if keep <= 0:
         return Step(0, lambda d, p: d.withColumn(name, F.col(col)))
-    length = max(1, math.ceil(SEGMENT / -math.log(keep)))
 
     def apply(d: DataFrame, p: Piece) -> DataFrame:
-        d = d.withColumn("_j", F.row_number().over(p.order) - 1)
-        d = d.withColumns({"_s": F.col("_j") % length, "_q": F.floor(F.col("_j") / length)})
-        fresh = F.when(F.col("_j") == 0, F.col(col)).otherwise((1 - keep) * F.col(col))
-        d = d.withColumn("_u", fresh * F.pow(F.lit(keep), -F.col("_s")))
-        d = d.withColumn("_e", F.sum("_u").over(p.within("_q")) * F.pow(F.lit(keep), F.col("_s")))
-        ended = F.when(F.col("_s") == length - 1, F.col("_e"))
-        d = d.withColumn("_z", F.last(ended, ignorenulls=True).over(p.before()))
-        decayed = F.coalesce(F.col("_z") * F.pow(F.lit(keep), F.col("_s") + 1), F.lit(0.0))
-        return d.withColumn(name, F.col("_e") + decayed).drop("_j", "_s", "_q", "_u", "_e", "_z")
-    return Step(ema_memory(span), apply)
+        x, upto = F.col(col), p.order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        known = F.when(x.isNotNull(), F.col("_j"))
+        d = d.withColumn("_j", F.row_number().over(p.order))
+        d = d.withColumns({"_g": F.col("_j") - F.last(known, ignorenulls=True).over(p.before()),
+                           "_age": F.col("_j") - F.last(known, ignorenulls=True).over(upto)})
+        weight = F.pow(F.lit(keep), F.col("_g"))
+        share = F.when(F.col("_g").isNull(), 1.0).when(F.col("_g") == 1, 1 - keep).otherwise((1 - keep) / (weight + (1 - keep)))
+        decay = F.when(weight < 1e-99, JUMP).otherwise(-F.log(weight / (weight + (1 - keep))))
+        follows = x.isNotNull() & F.col("_g").isNotNull()
+        # single steps decay by ``keep`` each and are counted, so that only gaps are sums of logarithms
+        d = d.withColumns({
+            "_x": x * share, "_m": F.sum(F.when(follows & (F.col("_g") == 1), 1).otherwise(0)).over(upto),
+            "_c": F.sum(F.when(follows & (F.col("_g") > 1), decay).otherwise(0.0)).over(upto)})
+        d = d.withColumn("_q", F.floor((F.col("_m") * -math.log(keep) + F.col("_c")) / SEGMENT))
+        d = d.withColumns({"_dm": F.col("_m") - F.first("_m").over(p.within("_q")), "_dc": F.col("_c") - F.first("_c").over(p.within("_q"))})
+
+        def kept(steps: Column, log: Column) -> Column:
+            return F.pow(F.lit(keep), steps) * F.exp(-log)
+
+        d = d.withColumn("_e", F.sum(F.col("_x") / kept(F.col("_dm"), F.col("_dc"))).over(p.within("_q")) * kept(F.col("_dm"), F.col("_dc")))
+        ended = F.when(F.lead("_q").over(p.order) != F.col("_q"), F.struct(F.col("_e").alias("e"), "_m", "_c"))
+        d = d.withColumn("_end", ended).withColumn("_z", F.last("_end", ignorenulls=True).over(p.before()))
+        before = F.coalesce(F.col("_z.e") * kept(F.col("_m") - F.col("_z._m"), F.col("_c") - F.col("_z._c")), F.lit(0.0))
+        return d.withColumn(name, F.when(F.col("_age") <= memory, F.col("_e") + before)).drop(
+            "_j", "_g", "_age", "_x", "_m", "_c", "_q", "_dm", "_dc", "_e", "_end", "_z")
+    return Step(memory, apply)
 
 
 def macd_step(col: str, fast: int = 12, slow: int = 26, signal: int = 9) -> Step:
@@ -223,14 +249,24 @@ def trade_pairs(df: DataFrame, price: str = "close", by: Keys = "ticker", ts: st
 
 
 def backtest_summary(trades: DataFrame, by: Keys = "ticker") -> DataFrame:
-    """Compound return, number of trades and mean/deviation * sqrt(n) (null below two trades)."""
+    """Compound return, number of trades and mean/deviation * sqrt(n) (null below two trades).
+
+    ``log_growth`` is the logarithm of the size of the compounded factor. The product itself is built from it
+    and from the sign of its factors, so no partial product leaves the range of doubles; ``total_return`` is null,
+    and ``out_of_range`` true, where the result itself does. A factor of 0 loses everything, for good.
+    """
     r = F.col("trade_return")
+    factor = 1 + r
     n, dev = F.count(F.lit(1)), F.stddev_pop(r)
-    return trades.groupBy(*key_list(by)).agg(
-        (F.product(1 + r) - 1).alias("total_return"),
-        n.alias("trades"),
-        F.when((n > 1) & (dev > 0), F.avg(r) / dev * F.sqrt(n)).alias("sharpe"),
-    )
+    d = trades.groupBy(*key_list(by)).agg(
+        F.sum(F.when(factor != 0, F.log(F.abs(factor)))).alias("log_growth"),
+        F.count_if(factor == 0).alias("_zero"), F.count_if(factor < 0).alias("_minus"), F.count(r).alias("_k"),
+        n.alias("trades"), F.when((n > 1) & (dev > 0), F.avg(r) / dev * F.sqrt(n)).alias("sharpe"))
+    size = F.when(F.col("_zero") > 0, 0.0).when(F.col("log_growth") <= 709, F.exp("log_growth"))
+    signed = F.when(F.col("_minus") % 2 == 1, -size).otherwise(size)
+    return d.withColumns({
+        "total_return": F.when(F.col("_k") > 0, signed - 1),
+        "out_of_range": (F.col("_zero") == 0) & (F.col("log_growth") > 709)}).drop("_zero", "_minus", "_k")
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, by: Keys = "ticker", ts: str = "ts",

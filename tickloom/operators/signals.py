@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import labels
-from tickloom.operators.core import latest_n
+from tickloom.operators.core import Piece, latest_n
 from tickloom.operators.cross import price_at
 from tickloom.operators.series import (
-    backtest_summary, ma_trend, macd_step, rsi_step, run_steps, threshold_signal, trade_pairs,
+    backtest_summary, macd_step, rsi_step, run_steps, signal_of, threshold_signal, trade_pairs,
 )
 
 
@@ -28,20 +28,30 @@ def signal_rows(forecast: DataFrame, bars: DataFrame, model: str, threshold: flo
 def signal_report(bars: DataFrame, forecast: DataFrame, threshold: float = 0.01, every: str = "1d") -> DataFrame:
     """One row per ticker: latest signal, indicators over the last 50 closes, confidence, targets, risk.
 
-    ``forecast`` is (ticker, ts, forecast). All windows run over at most 50 bars per ticker.
+    ``forecast`` is (ticker, ts, forecast). All windows run over at most 50 bars and two forecasts per ticker.
     """
-    recent = latest_n(bars, 50).drop("age")
-    d = run_steps(recent, [rsi_step("close"), macd_step("close")], every=every)
-    prev = F.lag("close").over(Window.partitionBy("ticker").orderBy("ts"))
+    recent = latest_n(bars, 50)
+    by_time = Window.partitionBy("ticker").orderBy("ts")  # at most 50 rows
+    d = recent.withColumn("_i", F.row_number().over(by_time) - 1).withColumn("_b", F.lit(0))
+    piece = Piece(["ticker"])
+    for step in (rsi_step("close"), macd_step("close")):
+        d = step.apply(d, piece)
+    prev = F.lag("close").over(piece.order)
     d = d.withColumn("_r", F.col("close") / F.when(prev != 0, prev) - 1)
+    newest20 = F.col("age") <= 20
     now = d.groupBy("ticker").agg(
         F.max_by("close", "ts").alias("current_price"), F.max_by("rsi", "ts").alias("_rsi"),
-        F.max_by("macd", "ts").alias("macd"), F.stddev_samp("_r").alias("_vol"))
-    signals = threshold_signal(forecast, "forecast", threshold, every=every)
-    last = signals.groupBy("ticker").agg(F.max_by("signal", "ts").alias("current_signal"))
-    trend = ma_trend(bars).select("ticker", F.col("ma").alias("ma20"), F.col("trend").alias("ma_trend"))
-    d = now.join(last, "ticker", "left").join(trend, "ticker")
-    signal, price = F.col("current_signal"), F.col("current_price")
+        F.max_by("macd", "ts").alias("macd"), F.stddev_samp("_r").alias("_vol"),
+        F.avg(F.when(newest20, F.col("close"))).alias("_avg"), F.count(F.when(newest20, F.col("close"))).alias("_k"))
+    price = F.col("current_price")
+    now = now.withColumn("ma20", F.when(F.col("_k") >= 20, F.col("_avg")).otherwise(price)).drop("_avg", "_k")
+    now = now.withColumn("ma_trend", F.when(price > F.col("ma20"), "Bullish").otherwise("Bearish"))
+    two = latest_n(forecast.select("ticker", "ts", "forecast"), 2).groupBy("ticker").agg(
+        F.max_by("forecast", "ts").alias("_z"), F.min_by("forecast", "ts").alias("_a"), F.count(F.lit(1)).alias("_m"))
+    change = F.col("_z") / F.when((F.col("_m") == 2) & (F.col("_a") != 0), F.col("_a")) - 1
+    last = two.select("ticker", signal_of(change, threshold).alias("current_signal"))
+    d = now.join(last, "ticker", "left")
+    signal = F.col("current_signal")
     d = d.withColumns({"current_signal": F.coalesce(signal, F.lit("HOLD")), "rsi": F.coalesce("_rsi", F.lit(50.0))})
     d = d.withColumns({
         "confidence": labels.confidence(signal, F.col("rsi")), "expected_return": labels.expected_return(signal),
@@ -51,6 +61,12 @@ def signal_report(bars: DataFrame, forecast: DataFrame, threshold: float = 0.01,
         "risk_level": labels.risk_level(F.col("risk_score"))}).drop("_rsi", "_vol")
 
 
+def signal_pnl(bars: DataFrame, forecast: DataFrame, threshold: float = 0.01, every: str = "1d") -> DataFrame:
+    """The closed signals that go with a report: entry and exit, their prices and the profit of each, per ticker."""
+    s = threshold_signal(forecast, "forecast", threshold, every=every).select("ticker", "ts", "signal")
+    return trade_pairs(price_at(s, bars), "actual_price", every=every)
+
+
 def report_history(bars: DataFrame, periods: int = 7) -> DataFrame:
     """The bars to show next to a report: at least 30, twice the forecast length if that is more."""
     return latest_n(bars, max(30, 2 * periods))
@@ -65,6 +81,13 @@ def backtest_report(prices: DataFrame, forecast: DataFrame, threshold: float = 0
         0, ["total_return", "trades"])
 
 
+def backtest_series(prices: DataFrame, forecast: DataFrame, threshold: float = 0.01, every: str = "1d") -> DataFrame:
+    """What goes with a backtest at every time: price, signal, RSI and MACD of the prices."""
+    shown = run_steps(prices.select("ticker", "ts", "close"), [rsi_step("close"), macd_step("close")], every=every)
+    s = threshold_signal(forecast, "forecast", threshold, every=every).select("ticker", "ts", "signal")
+    return shown.join(s, ["ticker", "ts"], "left")
+
+
 def projection(last_price: DataFrame, signals: DataFrame, periods: int = 7) -> DataFrame:
     """Simple outlook from a stored signal: the price grows 1 % per step, the confidence shrinks.
 

@@ -51,8 +51,8 @@ def exact_quantiles(df: DataFrame, by: Keys, value: str, probs: Sequence[float])
         F.min(F.when(F.col("_upto") > high, F.col("w"))).alias("_z"),
         F.first("_pos").alias("_pos"), below.alias("_below"))
     share = F.col("_pos") - low
-    exact = F.when(F.coalesce("_below", F.lit(0)) > low, F.raise_error(F.lit("quantile outside its bracket"))
-                   .cast("double")).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * share)
+    missed = (F.coalesce("_below", F.lit(0)) > low) | F.col("_a").isNull() | F.col("_z").isNull()
+    exact = F.when(missed, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * share)
     picked = picked.withColumn("_q", exact)
     return picked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("p") == k, F.col("_q"))).alias(f"q{k}") for k in range(len(probs))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tickloom.functions.dates import day_text
@@ -17,10 +19,17 @@ def features(spark, sf):
                                     F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
+def _directions(turns: int) -> list[float]:
+    """A fixed direction over all 64 components, spread so that the default radius separates some of the points."""
+    return [round(20 * math.sqrt(2 / 64) * math.cos(2 * math.pi * turns * i / 64 + turns), 6) for i in range(64)]
+
+
 def plane(spark, sf):
-    """Two dimensions of the points, spread so that the default radius separates some of them."""
-    e = F.col("features")
-    return features(spark, sf).select("entity", F.array(e[0] * 20, e[1] * 20).alias("features"))
+    """All components of the points, projected onto two fixed directions."""
+    def along(turns: int):
+        weights = F.array(*[F.lit(w) for w in _directions(turns)])
+        return F.round(F.aggregate(F.zip_with("features", weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), 9)
+    return features(spark, sf).select("entity", F.array(along(1), along(3)).alias("features"))
 
 
 def ticker_matrix(spark, sf):
@@ -45,7 +54,7 @@ def m2(spark, sf):
 
 
 _DIST = """pts AS (SELECT entity, cluster, CAST(embedding AS DOUBLE[]) AS e FROM points),
-  d AS (SELECT a.entity, a.cluster AS own, b.cluster, sum(list_distance(a.e, b.e)) AS total, count(*) AS n FROM pts a, pts b GROUP BY ALL),
+  d AS (SELECT a.entity, a.cluster AS own, b.cluster, sum(list_distance(a.e, b.e) ** 2) AS total, count(*) AS n FROM pts a, pts b GROUP BY ALL),
   ab AS (SELECT entity, own, max(CASE WHEN own = cluster THEN n END) AS k, max(CASE WHEN own = cluster AND n > 1 THEN total / (n - 1) END) AS a,
   min(CASE WHEN own <> cluster THEN total / n END) AS b FROM d GROUP BY ALL),
   s AS (SELECT entity, CAST(own AS VARCHAR) AS cluster, CASE WHEN k > 1 THEN (b - a) / greatest(a, b) ELSE 0 END AS s FROM ab)"""
@@ -63,7 +72,7 @@ def m3_each(spark, sf):
 
 @query("m4_dbscan", using("points", """SELECT p.entity, CASE WHEN c.root IS NOT NULL AND EXISTS (SELECT 1 FROM near n WHERE n.a = p.entity AND n.b <> p.entity) THEN CAST(c.root AS VARCHAR) END AS cluster
   FROM pt p LEFT JOIN (SELECT a, min(b) AS root FROM reach GROUP BY a) c ON c.a = p.entity""",
-  "pt AS (SELECT entity, CAST(embedding[1] AS DOUBLE) * 20 AS x, CAST(embedding[2] AS DOUBLE) * 20 AS y FROM points)",
+  "pt AS (SELECT entity, " + ", ".join(f"round(list_inner_product(CAST(embedding AS DOUBLE[]), {_directions(k)}::DOUBLE[]), 9) AS {n}" for n, k in (("x", 1), ("y", 3))) + " FROM points)",
   "near AS (SELECT a.entity AS a, b.entity AS b FROM pt a JOIN pt b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.5)",
   "reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)", recursive=True))
 def m4(spark, sf):

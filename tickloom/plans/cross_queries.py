@@ -109,20 +109,20 @@ def a7_all(spark, sf):
 
 @query("j6_pairs", using("bars_month", "SELECT *, CASE WHEN abs(corr) >= 0.7 THEN 'Strong' WHEN abs(corr) >= 0.4 THEN 'Moderate' ELSE 'Weak' END AS strength FROM pairs", *_corr_ctes(ALL, "bars_month")))
 def j6(spark, sf):
-    p = X.pairs(X.corr_matrix(bars_month(spark, sf), ALL))
+    p = X.pairs(X.correlations(bars_month(spark, sf), ALL))
     return p.select("t1", "t2", rnd("corr").alias("corr"), labels.correlation_strength(F.col("corr")).alias("strength"))
 
 
 @query("a8_corr_stats", using("bars_month", f"""SELECT {r('avg(corr)')} AS avg_corr, {r('max(corr)')} AS max_corr, {r('min(corr)')} AS min_corr,
   {r('stddev_pop(corr)')} AS std_corr FROM pairs""", *_corr_ctes(ALL, "bars_month")))
 def a8(spark, sf):
-    return X.corr_stats(X.corr_matrix(bars_month(spark, sf), ALL)).select(*rounded(["avg_corr", "max_corr", "min_corr", "std_corr"]))
+    return X.corr_stats(X.correlations(bars_month(spark, sf), ALL)).select(*rounded(["avg_corr", "max_corr", "min_corr", "std_corr"]))
 
 
 @query("t1_top_pairs", using("bars_month", """SELECT 'positive' AS side, * FROM (SELECT * FROM pairs ORDER BY corr DESC, t1, t2 LIMIT 4)
   UNION ALL SELECT 'negative', * FROM (SELECT * FROM pairs ORDER BY corr, t1, t2 LIMIT 4)""", *_corr_ctes(ALL, "bars_month")))
 def t1(spark, sf):
-    m = X.corr_matrix(bars_month(spark, sf), ALL)
+    m = X.correlations(bars_month(spark, sf), ALL)
     return X.top_pairs(m, 4).withColumn("side", F.lit("positive")).unionByName(
         X.top_pairs(m, 4, positive=False).withColumn("side", F.lit("negative"))
     ).select("side", "t1", "t2", rnd("corr").alias("corr"))
@@ -132,7 +132,7 @@ def t1(spark, sf):
     f"""CASE WHEN t1 = '{t}' THEN 1.0 ELSE coalesce(max(corr) FILTER (t2 = '{t}' AND abs(corr) >= 0.1), 0.0) END AS c{i}""" for i, t in enumerate(ALL))
     + " FROM matrix GROUP BY t1", *_corr_ctes(ALL, "bars_month")))
 def a22(spark, sf):
-    known = X.pairs(X.corr_matrix(bars_month(spark, sf), ALL)).where(F.abs("corr") >= 0.1)
+    known = X.pairs(X.correlations(bars_month(spark, sf), ALL)).where(F.abs("corr") >= 0.1)
     return X.corr_heatmap(known, ALL).select("t1", *[rnd(F.col(f"`{t}`")).alias(f"c{i}") for i, t in enumerate(ALL)])
 
 
@@ -244,9 +244,9 @@ def j9(spark, sf):
         F.count(F.lit(1)).alias("n"), F.min("common_name").alias("common_name"))
 
 
-@query("t2_newest", using("news", "SELECT link, title FROM news ORDER BY published DESC LIMIT 20"))
+@query("t2_newest", using("news", "SELECT link, description FROM news ORDER BY published DESC LIMIT 20"))
 def t2(spark, sf):
-    return X.newest(news(spark, sf), 20, "published").select("link", "title")
+    return X.newest(news(spark, sf), 20, "published").select("link", "description")
 
 
 @query("t3_best_of", """SELECT trace_id, best, best_score FROM (SELECT l_orderkey AS trace_id, 's' || l_linenumber AS best, l_extendedprice AS best_score,
@@ -274,9 +274,9 @@ def t5(spark, sf):
 @query("f12_labels", using("ticks", """SELECT event_id, CASE WHEN x > 0.3 THEN 'Positive' WHEN x < -0.3 THEN 'Negative' ELSE 'Neutral' END AS sentiment,
   CASE WHEN abs(x) >= 0.7 THEN 'Strong' WHEN abs(x) >= 0.4 THEN 'Moderate' ELSE 'Weak' END AS strength,
   CASE WHEN least(abs(x), 1) > 0.7 THEN 'High' WHEN least(abs(x), 1) > 0.4 THEN 'Medium' ELSE 'Low' END AS risk
-  FROM (SELECT event_id, (event_id % 201 - 100) / 100.0 AS x FROM ticks)"""))
+  FROM (SELECT event_id, price / 100 - 1 AS x FROM ticks)"""))
 def f12(spark, sf):
-    x = (F.col("event_id") % 201 - 100) / 100
+    x = F.col("price") / 100 - 1
     return ticks(spark, sf).select(
         "event_id", labels.sentiment_label(x).alias("sentiment"), labels.correlation_strength(x).alias("strength"),
         labels.risk_level(labels.risk_score(F.abs(x) / 10)).alias("risk"))

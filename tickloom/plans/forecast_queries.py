@@ -8,6 +8,7 @@ from tickloom.operators import forecast as M
 from tickloom.plans.quality_queries import rounded
 from tickloom.plans.registry import DAY, day, query, r, rnd
 from tickloom.plans.views import bars_day, bars_month, using
+from tickloom.session import checkpointed
 
 W = "OVER (PARTITION BY ticker ORDER BY ts)"
 
@@ -94,28 +95,22 @@ def m17(spark, sf):
 
 @query("m10_random_forest")
 def m10(spark, sf):
-    rows = M.lag_rows(bars_month(spark, sf), every="1mo").persist()
-    try:
-        model = M.tree_fit(rows, "random_forest", trees=20, depth=5)
-        return M.tree_onestep(model, rows).select("ticker", day(), *rounded(["close", "predicted"], 2))
-    finally:
-        rows.unpersist()
+    rows = checkpointed(M.lag_rows(bars_month(spark, sf), every="1mo"))
+    model = M.tree_fit(rows, "random_forest")
+    return M.tree_onestep(model, rows).select("ticker", day(), *rounded(["close", "predicted"], 2))
 
 
 @query("m11_boosted_trees")
 def m11(spark, sf):
-    rows = M.lag_rows(bars_month(spark, sf), every="1mo").persist()
-    try:
-        model = M.tree_fit(rows, "boosted_trees", trees=10, depth=4)
-        return M.tree_onestep(model, rows).select("ticker", day(), *rounded(["close", "predicted"], 2))
-    finally:
-        rows.unpersist()
+    rows = checkpointed(M.lag_rows(bars_month(spark, sf), every="1mo"))
+    model = M.tree_fit(rows, "boosted_trees")
+    return M.tree_onestep(model, rows).select("ticker", day(), *rounded(["close", "predicted"], 2))
 
 
 @query("m12_recursive_forecast")
 def m12(spark, sf):
-    b = bars_month(spark, sf)
-    model = M.tree_fit(M.lag_rows(b, every="1mo"), "random_forest", trees=10, depth=4)
+    b = checkpointed(bars_month(spark, sf))
+    model = M.tree_fit(M.lag_rows(b, every="1mo"), "random_forest")
     f = M.recursive_forecast(model, b, 12, name="random_forest", every="1mo")
     return f.select("ticker", "model", "step", rnd("forecast", 2).alias("forecast"))
 
@@ -126,15 +121,17 @@ def m14(spark, sf):
     models = {
         "ar": M.ar_model(every="1mo"),
         "seasonal_ar": M.ar_model(lags=M.SEASONAL_LAGS, season=M.SEASON, every="1mo"),
-        "random_forest": M.tree_model("random_forest", trees=10, depth=4, every="1mo"),
-        "boosted_trees": M.tree_model("boosted_trees", trees=5, depth=3, every="1mo"),
+        "random_forest": M.tree_model("random_forest", every="1mo"),
+        "boosted_trees": M.tree_model("boosted_trees", every="1mo"),
     }
-    d, _ = M.compare_models(b, models, every="1mo")
-    return d.select("ticker", "model", "best", *rounded(["rmse", "mae", "mape", "r2", "direction_accuracy"], 3))
+    d, failed = M.compare_models(b, models, every="1mo")
+    return d.withColumn("failed", F.lit("; ".join(f"{k}: {v}" for k, v in sorted(failed.items())))).select(
+        "failed", "ticker", "model", "best", *rounded(["rmse", "mae", "mape", "r2", "direction_accuracy"], 3))
 
 
 @query("m15_cross_validate")
 def m15(spark, sf):
-    trees = {"random_forest": M.tree_model("random_forest", trees=5, depth=3, every="1mo")}
-    d = M.cross_validate(bars_month(spark, sf), 2, trees, every="1mo")
-    return d.select("ticker", "model", "best", *rounded(["mean_rmse", "std_rmse", "mean_mae", "mean_mape"], 3))
+    trees = {"random_forest": M.tree_model("random_forest", every="1mo")}
+    d, failed = M.cross_validate(bars_month(spark, sf), 5, trees, every="1mo")
+    return d.withColumn("failed", F.lit("; ".join(f"{k}: {v}" for k, v in sorted(failed.items())))).select(
+        "ticker", "model", "best", "folds", "failed", *rounded(["mean_rmse", "std_rmse", "mean_mae", "mean_mape"], 3))

@@ -8,7 +8,7 @@ from tickloom.functions.dates import day_text
 from tickloom.functions.numeric import INF, sanitize, to_number
 from tickloom.operators import quality as Q
 from tickloom.plans.registry import DAY, day, query, r, rnd
-from tickloom.plans.views import bars_day, bars_month, gappy, ticks, trades, using
+from tickloom.plans.views import bars_day, bars_hour, bars_month, gappy, ticks, trades, using
 
 FE = Q.FEATURES
 W = "OVER (PARTITION BY ticker ORDER BY ts)"
@@ -173,12 +173,22 @@ def p11(spark, sf):
                        F.date_format("last_day", "yyyy-MM-dd").alias("last_day"))
 
 
-@query("p12_flatten", using("bars_month", """SELECT * FROM (PIVOT (SELECT ticker, strftime(ts, '%Y-%m-%d') || '_' || f AS col, v FROM (
-  SELECT ticker, ts, 'close' AS f, """ + r("close") + """ AS v FROM bars_month UNION ALL
-  SELECT ticker, ts, 'volume', """ + r("volume") + """ FROM bars_month)) ON col USING first(v) GROUP BY ticker)"""))
+_MONTHS = [f"{y}-{m:02d}-01" for y in range(1992, 1999) for m in range(1, 13)]  # the months of the given trades
+
+
+@query("p12_flatten", using("bars_month", "SELECT ticker, " + ", ".join(
+    f"""max(CASE WHEN ts = TIMESTAMP '{d}' THEN {r(c)} END) AS "{d}_{c}" """ for d in _MONTHS for c in ("close", "volume")) + " FROM bars_month GROUP BY ticker"))
 def p12(spark, sf):
     b = bars_month(spark, sf).select("ticker", "ts", *rounded(["close", "volume"]))
-    return Q.flatten(b, ["close", "volume"])
+    wide = Q.flatten(b, ["close", "volume"])
+    names = [f"{d}_{c}" for d in _MONTHS for c in ("close", "volume")]
+    return wide.select("ticker", *[F.col(f"`{n}`") if n in wide.columns else F.lit(None).cast("double").alias(n) for n in names])
+
+
+@query("p12_flatten_hours", using("bars_hour", f"SELECT ticker, strftime(ts, '%Y-%m-%d %H') AS h, {r('close')} AS value FROM bars_hour"))
+def p12_hours(spark, sf):
+    cells = Q.unflatten(Q.flatten(bars_hour(spark, sf), ["close"])).where(F.col("value").isNotNull())
+    return cells.select("ticker", F.date_format("ts", "yyyy-MM-dd HH").alias("h"), rnd("value").alias("value"))
 
 
 @query("p12_unflatten", using("bars_month", " UNION ALL ".join(

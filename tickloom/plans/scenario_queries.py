@@ -11,7 +11,7 @@ from tickloom.operators import signals as G
 from tickloom.operators.core import run_steps
 from tickloom.plans.quality_queries import rounded
 from tickloom.plans.registry import DAY, day, query, r, rnd
-from tickloom.plans.series_queries import PAIRS, RETURNS
+from tickloom.plans.series_queries import _DELTA, _GAIN, _MACD, PAIRS, RETURNS, SIGNALS
 from tickloom.plans.views import bars_day, bars_month, using
 
 W = "OVER (PARTITION BY ticker ORDER BY ts)"
@@ -161,16 +161,23 @@ def a14(spark, sf):
     return d.select("ticker", "model", *rounded([c for c in d.columns if c not in ("ticker", "model")]))
 
 
-_PERF = """perf AS (SELECT ticker, product(1 + trade_return) - 1 AS total_return, count(*) AS trades,
-  CASE WHEN count(*) > 1 AND stddev_pop(trade_return) > 0 THEN avg(trade_return) / stddev_pop(trade_return) * sqrt(count(*)) END AS sharpe FROM round_trips GROUP BY ticker)"""
+_PERF = """perf AS (SELECT *, CASE WHEN zeros > 0 THEN -1.0 WHEN log_growth <= 709 THEN CASE WHEN minus % 2 = 1 THEN -1.0 ELSE 1.0 END * exp(log_growth) - 1 END AS total_return
+  FROM (SELECT ticker, count(*) AS trades, sum(CASE WHEN trade_return <> -1 THEN ln(abs(1 + trade_return)) END) AS log_growth,
+  count(*) FILTER (trade_return = -1) AS zeros, count(*) FILTER (trade_return < -1) AS minus,
+  CASE WHEN count(*) > 1 AND stddev_pop(trade_return) > 0 THEN avg(trade_return) / stddev_pop(trade_return) * sqrt(count(*)) END AS sharpe FROM round_trips GROUP BY ticker))"""
+_GROWTH = f"{r('CASE WHEN abs(total_return) < 1e12 THEN total_return END', 6)} AS total_return, {r('log_growth', 6)} AS log_growth"
 
 
-# monthly bars: the compound return of thousands of daily trades leaves the range of doubles
-@query("a13_backtest_summary", using("bars_month", f"SELECT ticker, {r('total_return', 6)} AS total_return, trades, {r('sharpe')} AS sharpe FROM perf",
-       *[p.replace("bars_day", "bars_month") for p in PAIRS], _PERF))
+def _growth():
+    """The return where decimals can hold it, and the logarithm of the growth, which they always can."""
+    total = F.col("total_return")
+    return rnd(F.when(F.abs(total) < 1e12, total), 6).alias("total_return"), rnd("log_growth", 6).alias("log_growth")
+
+
+@query("a13_backtest_summary", using("bars_day", f"SELECT ticker, {_GROWTH}, trades, {r('sharpe')} AS sharpe FROM perf", *PAIRS, _PERF))
 def a13(spark, sf):
-    t = S.trade_pairs(S.threshold_signal(bars_month(spark, sf), every="1mo"), every="1mo")
-    return S.backtest_summary(t).select("ticker", rnd("total_return", 6).alias("total_return"), "trades", rnd("sharpe").alias("sharpe"))
+    t = S.trade_pairs(S.threshold_signal(bars_day(spark, sf)))
+    return S.backtest_summary(t).select("ticker", *_growth(), "trades", rnd("sharpe").alias("sharpe"))
 
 
 @query("u3_history_forecast", using("bars_month", f"""SELECT ticker, {DAY}, {r('value')} AS value, kind FROM (
@@ -227,10 +234,32 @@ def m18_history(spark, sf):
     return G.report_history(bars_day(spark, sf), 30).select("ticker", day(), rnd("close").alias("close"))
 
 
-@query("m19_backtest_report", using("bars_month", f"SELECT ticker, {r('total_return', 6)} AS total_return, trades, {r('sharpe')} AS sharpe FROM perf",
-       *[p.replace("bars_day", "bars_month").replace("0.01", "0.05") for p in PAIRS], _PERF))
+_AT5 = [p.replace("0.01", "0.05") for p in PAIRS]
+
+
+@query("m18_signal_pnl", using("bars_day", f"""SELECT ticker, strftime(entry_ts, '%Y-%m-%d') AS entry_day, strftime(exit_ts, '%Y-%m-%d') AS exit_day,
+  {r('pnl')} AS pnl, {r('trade_return', 6)} AS trade_return FROM round_trips""", *_AT5))
+def m18_pnl(spark, sf):
+    b = bars_day(spark, sf)
+    t = G.signal_pnl(b, b.select("ticker", "ts", F.col("close").alias("forecast")), 0.05)
+    return t.select("ticker", F.date_format("entry_ts", "yyyy-MM-dd").alias("entry_day"), F.date_format("exit_ts", "yyyy-MM-dd").alias("exit_day"),
+                    rnd("pnl").alias("pnl"), rnd("trade_return", 6).alias("trade_return"))
+
+
+@query("m19_backtest_report", using("bars_day", f"SELECT ticker, {_GROWTH}, trades, {r('sharpe')} AS sharpe FROM perf", *_AT5, _PERF))
 def m19(spark, sf):
-    b = bars_month(spark, sf)
+    b = bars_day(spark, sf)
     f = b.select("ticker", "ts", F.col("close").alias("forecast"))
-    return G.backtest_report(b, f, 0.05, every="1mo").select(
-        "ticker", rnd("total_return", 6).alias("total_return"), "trades", rnd("sharpe").alias("sharpe"))
+    return G.backtest_report(b, f, 0.05).select("ticker", *_growth(), "trades", rnd("sharpe").alias("sharpe"))
+
+
+_SERIES = [RETURNS, SIGNALS.replace("0.01", "0.05"), *_MACD, _DELTA, _GAIN]
+
+
+@query("m19_backtest_series", using("bars_month", f"""SELECT v.ticker, strftime(v.ts, '%Y-%m-%d') AS d, {r('signals.close')} AS price, signal,
+  {r('CASE WHEN k = 14 THEN CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) WHEN g > 0 THEN 100 END END')} AS rsi, {r('macd')} AS macd, {r('s')} AS signal_line
+  FROM gain v JOIN signals USING (ticker, ts) JOIN sig USING (ticker, ts)""", *[c.replace("bars_day", "bars_month") for c in _SERIES], recursive=True))
+def m19_series(spark, sf):
+    b = bars_month(spark, sf)
+    d = G.backtest_series(b, b.select("ticker", "ts", F.col("close").alias("forecast")), 0.05, every="1mo")
+    return d.select("ticker", day(), rnd("close").alias("price"), "signal", *rounded(["rsi", "macd", "signal_line"]))

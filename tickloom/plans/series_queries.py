@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import series as S
 from tickloom.plans.registry import DAY, day, query, r, rnd
-from tickloom.plans.views import bars_day, bars_month, using
+from tickloom.plans.views import bars_day, bars_month, gappy, using
 
 W = "OVER (PARTITION BY ticker ORDER BY ts)"
 
@@ -121,6 +121,36 @@ def w10(spark, sf):
             .select("ticker", day(), rnd("macd").alias("macd"), rnd("signal_line").alias("signal_line")))
 
 
+def _gap_ema(spans: dict[str, int], source: str, value: str, to: str) -> list[str]:
+    """Exponential averages with missing values: a known value after g rows weighs a / (keep^g + a)."""
+    def nxt(n: str, span: int) -> str:
+        a, w = repr(2 / (span + 1)), f"pow({1 - 2 / (span + 1)!r}, e.gap + 1)"
+        return f"CASE WHEN b.{value} IS NULL THEN e.{n} WHEN e.{n} IS NULL THEN b.{value} ELSE ({w} * e.{n} + {a} * b.{value}) / ({w} + {a}) END"
+    first = ", ".join(f"{value} AS {n}" for n in spans)
+    steps = ", ".join(nxt(n, k) for n, k in spans.items())
+    return [f"""{to} AS (SELECT ticker, ts, i, {first}, 0 AS gap FROM {source} WHERE i = 1 UNION ALL
+        SELECT b.ticker, b.ts, b.i, {steps}, CASE WHEN b.{value} IS NULL THEN e.gap + 1 ELSE 0 END
+        FROM {to} e JOIN {source} b ON b.ticker = e.ticker AND b.i = e.i + 1)"""]
+
+
+_GAPS = [f"holes AS (SELECT ticker, ts, close, row_number() {W} AS i FROM gappy)",
+         *_gap_ema({"e12": 12, "e26": 26}, "holes", "close", "gema")]
+
+
+@query("w8_ema_gaps", using("gappy", f"SELECT ticker, {DAY}, {r('e12')} AS ema_12, {r('e26')} AS ema_26 FROM gema", *_GAPS, recursive=True))
+def w8_gaps(spark, sf):
+    d = S.run_steps(gappy(spark, sf), [S.ema_step("close", 12), S.ema_step("close", 26)])
+    return d.select("ticker", day(), rnd("ema_12").alias("ema_12"), rnd("ema_26").alias("ema_26"))
+
+
+@query("w9_macd_gaps", using("gappy", f"""SELECT ticker, {DAY}, {r('macd')} AS macd, {r('s')} AS signal_line, {r('macd - s')} AS hist
+  FROM gsig JOIN gline USING (ticker, ts)""", *_GAPS, "gline AS (SELECT ticker, ts, i, e12 - e26 AS macd FROM gema)",
+  *_gap_ema({"s": 9}, "gline", "macd", "gsig"), recursive=True))
+def w9_gaps(spark, sf):
+    return S.macd(gappy(spark, sf)).select(
+        "ticker", day(), rnd("macd").alias("macd"), rnd("signal_line").alias("signal_line"), rnd("hist").alias("hist"))
+
+
 _LAGS = ", ".join(f"{r(f'l{i}')} AS lag_{i}" for i in range(1, 6))
 
 

@@ -120,13 +120,13 @@ def s9(spark, sf):
     return spark.read.parquet(path).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("volume"), 2).alias("volume"))
 
 
-@query("s10_insert_ignore", using("news", """SELECT link, title_size FROM (
-  SELECT link, length(title) AS title_size FROM news WHERE link % 3 = 0 UNION ALL
-  SELECT link, length(title) + 1000 FROM news WHERE link % 3 <> 0)"""))
+@query("s10_insert_ignore", using("news", """SELECT link, size, digest FROM (
+  SELECT link, length(description) AS size, md5(description) AS digest FROM news WHERE link % 3 = 0 UNION ALL
+  SELECT link, length(description) + 1000, md5(description) FROM news WHERE link % 3 <> 0)"""))
 def s10(spark, sf):
-    n = news(spark, sf).select("link", F.length("title").cast("long").alias("title_size"), "published")
-    arrivals = n.withColumn("title_size", F.col("title_size") + 1000)
-    later = n.withColumns({"title_size": F.col("title_size") + 5000, "published": F.col("published") + F.expr("INTERVAL 1 DAY")})
+    n = news(spark, sf).select("link", F.length("description").cast("long").alias("size"), F.md5("description").alias("digest"), "published")
+    arrivals = n.withColumn("size", F.col("size") + 1000)
+    later = n.withColumns({"size": F.col("size") + 5000, "published": F.col("published") + F.expr("INTERVAL 1 DAY")})
     return store.insert_ignore(n.where("link % 3 = 0"), arrivals.unionByName(later), "link", ["published"]).drop("published")
 
 

@@ -26,18 +26,19 @@ def tick_stream(spark, sf):
                       F.col("value").alias("price"), "event_id")
 
 
-def tick_files(spark, sf, copies=1):
-    """The ticks as a folder of files in time order, read one file per micro-batch.
+def tick_batches(spark, sf, of_stream, each, copies=1):
+    """Feeds the ticks of a month in quarters: each one is written by all tasks and read as one micro-batch.
 
-    A file stream goes by modification time, so the quarters of the month are written one by one.
+    The query goes on from its offsets, as after a restart. The ticks are split by quarter in one pass.
     """
-    path = scratch_path(spark, "ticks")
-    t = ticks(spark, sf).select("ticker", "ts", "price", "event_id").withColumn(
-        "_q", F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)))
+    staged, path, offsets = (scratch_path(spark, n) for n in ("quarters", "ticks", "offsets"))
+    ticks(spark, sf).select("ticker", "ts", "price", "event_id").withColumn(
+        "q", F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))).write.partitionBy("q").parquet(staged)
     for _ in range(copies):
         for q in range(4):
-            t.where(F.col("_q") == q).drop("_q").coalesce(1).write.mode("append").parquet(path)
-    return live.read_stream(spark, path, "ticker string, ts timestamp, price double, event_id bigint", files_per_batch=1)
+            spark.read.parquet(staged).where(F.col("q") == q).drop("q").write.mode("append").parquet(path)
+            stream = live.read_stream(spark, path, "ticker string, ts timestamp, price double, event_id bigint")
+            live.run_batches(of_stream(stream), each, offsets=offsets)
 
 
 CLOSED = "closed AS (SELECT * FROM bars_hour WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE)"
@@ -50,13 +51,22 @@ def z1(spark, sf):
     return spark.read.parquet(path).select("ticker", hour(), *rounded(OHLC), "trades")
 
 
+@query("z1_live_bars_week", using("ticks", f"""SELECT ticker, strftime(w, '%Y-%m-%d') AS week, {r('arg_min(price, row(ts, event_id))')} AS open, {r('max(price)')} AS high,
+  {r('min(price)')} AS low, {r('arg_max(price, row(ts, event_id))')} AS close, count(*) AS trades FROM (SELECT *, date_trunc('week', ts) AS w FROM ticks)
+  WHERE w + INTERVAL 7 DAY <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE GROUP BY ticker, w"""))
+def z1_week(spark, sf):
+    path = scratch_path(spark, "weeks")
+    live.run_to_end(live.live_bars(tick_stream(spark, sf), "1wk"), path)
+    return spark.read.parquet(path).select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("week"), *rounded(OHLC), "trades")
+
+
 _KEPT = "kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS age FROM closed) WHERE age <= 200)"
 
 
 @query("z2_keep_last", using("bars_hour", f"SELECT ticker, strftime(ts, '%Y-%m-%d %H') AS h, {r('close')} AS close FROM kept", CLOSED, _KEPT))
 def z2(spark, sf):
     path = scratch_path(spark, "kept")
-    live.run_batches(live.live_bars(tick_files(spark, sf)), live.keep_last(spark, path))
+    tick_batches(spark, sf, live.live_bars, live.keep_last(spark, path))
     return live.Snapshots(spark, path).latest().select("ticker", hour(), rnd("close").alias("close"))
 
 
@@ -76,7 +86,7 @@ _LIVE = [CLOSED, _KEPT, f"dx AS (SELECT *, close - lag(close) {W} AS dx FROM kep
   {r('ma_50')} AS ma_50, {r('ma_200')} AS ma_200 FROM ind""", *_LIVE))
 def z3(spark, sf):
     kept, out = scratch_path(spark, "kept"), scratch_path(spark, "indicators")
-    live.run_batches(live.live_bars(tick_files(spark, sf)), live.live_indicators(spark, kept, out))
+    tick_batches(spark, sf, live.live_bars, live.live_indicators(spark, kept, out))
     inside = live.Snapshots(spark, kept).latest().select("ticker", "ts")
     d = live.read_log(spark, out, ["ticker", "ts"]).join(inside, ["ticker", "ts"], "left_semi")
     return d.select("ticker", hour(), *rounded(["rsi", "ma_50", "ma_200"]))
@@ -85,9 +95,8 @@ def z3(spark, sf):
 @query("z4_incremental_load", using("ticks", f"SELECT ticker, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, {r('sum(price)', 2)} AS total FROM ticks GROUP BY ALL"))
 def z4(spark, sf):
     path = scratch_path(spark, "loaded")
-    once = ingest.first_seen(tick_files(spark, sf, copies=2), ["event_id"], "ts", "60 days")
-    live.run_batches(once.withColumn("day", F.date_format("ts", "yyyy-MM-dd")),
-                     ingest.upsert_into(path, ["event_id"], partitions=["day"]))
+    tick_batches(spark, sf, lambda t: ingest.first_seen(t, ["event_id"], "ts", "60 days").withColumn(
+        "day", F.date_format("ts", "yyyy-MM-dd")), ingest.upsert_into(path, ["event_id"], partitions=["day"]), copies=2)
     return spark.read.schema("ticker string, price double, event_id bigint, day string").parquet(path).groupBy("ticker", "day").agg(
         F.count(F.lit(1)).alias("n"), rnd(F.sum("price"), 2).alias("total"))
 
@@ -99,7 +108,7 @@ def z5(spark, sf):
     for _ in range(2):
         n.write.mode("append").parquet(source)
     items = live.read_stream(spark, source, "link bigint, title string, description string, published timestamp")
-    live.run_to_end(ingest.news_stream(items, "36500 days", positive=GOOD, negative=BAD), path)
+    live.run_to_end(ingest.news_stream(items, "7 days", positive=GOOD, negative=BAD), path)
     return spark.read.parquet(path).select("link", F.array_join("tags", ",").alias("tags"), rnd("score").alias("score"))
 
 

@@ -19,6 +19,8 @@ def trade_rank():
     """
     rest = (F.col("l_linenumber") * F.lit(10 ** 12) + F.round(F.col("l_extendedprice") * 100).cast("long") * 1000
             + F.col("l_quantity").cast("long"))
+    fits = (F.col("l_orderkey") < 10 ** 12) & (F.col("l_extendedprice") < 10 ** 7) & (F.col("l_quantity") < 1000) & (F.col("l_linenumber") < 10)
+    rest = F.when(fits, rest).otherwise(F.raise_error(F.lit("a trade does not fit the rank: order by a struct")).cast("long"))
     head = _digits(F.unix_seconds("ts"), 11) * _digits(F.lit(10 ** 12), 13) + _digits(F.col("l_orderkey"), 12)
     return _digits(_digits(head, 24) * _digits(F.lit(10 ** 13), 14) + _digits(rest, 13), 38)
 

@@ -68,6 +68,9 @@ def usd_universe(listed: DataFrame, top_n: int, ticker: str = "ticker", rank: st
 
 
 def write_bars(df: DataFrame, path: str, partitions: Sequence[str] = ("source", "interval")) -> None:
-    """Bars as Parquet, partitioned for pruning and sorted by ticker and time for row-group skipping."""
-    (df.repartition(*partitions, "ticker").sortWithinPartitions(*partitions, "ticker", "ts")
+    """Bars as Parquet, partitioned for pruning and sorted by ticker and time for row-group skipping.
+
+    A ticker is split by quarters, so a hot one is written by many tasks.
+    """
+    (df.repartition(*partitions, "ticker", F.date_trunc("quarter", "ts")).sortWithinPartitions(*partitions, "ticker", "ts")
      .write.mode("overwrite").partitionBy(*partitions).parquet(path))

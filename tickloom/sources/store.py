@@ -56,17 +56,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library has staged."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_upsert(new: DataFrame, path: str, keys: Keys, order: Sequence[str] = (),
-                 partitions: Sequence[str] = ()) -> None:
+                 partitions: Sequence[str] = (), files: int = 8) -> None:
     """Upserts into a Parquet table; with ``partitions`` only those that receive rows are rewritten.
 
     The partition columns must follow from the keys, so that a key never changes its partition.
 
     The merged rows go to a scratch table first, since a table cannot be overwritten while it is
-    read. Running the same batch again gives the same table.
+    read, and is removed when it has been read. The new rows are computed once. Running the same batch
+    again gives the same table. A partition is written by up to ``files`` tasks, split by the key.
     """
     spark = new.sparkSession
     names = key_list(keys)
+    arrived = scratch_path(spark, "arrived")
+    new.write.parquet(arrived)
+    new = spark.read.schema(new.schema).parquet(arrived)
     empty = new.limit(0)
     if exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path)
@@ -79,9 +89,12 @@ def write_upsert(new: DataFrame, path: str, keys: Keys, order: Sequence[str] = (
     staged = scratch_path(spark, "upsert")
     upsert(old, new, names, order).write.parquet(staged)
     merged = spark.read.schema(new.schema).parquet(staged)
-    w = merged.repartition(*partitions).write if partitions else merged.write
+    split = F.pmod(F.xxhash64(*names), F.lit(files))
+    w = merged.repartition(*partitions, split).write if partitions else merged.write
     w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (w.partitionBy(*partitions) if partitions else w).parquet(path)
+    remove(spark, staged)
+    remove(spark, arrived)
 
 
 def read_result(df: DataFrame, filters: Mapping[str, object] | None = None, newest: str | None = None,

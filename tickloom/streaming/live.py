@@ -7,13 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.dates import interval_seconds
+from tickloom.functions.dates import bar_start, interval_seconds
 from tickloom.operators.core import latest_n, newest_by, run_steps
 from tickloom.operators.series import macd_step, rsi_step, sma_step
 from tickloom.session import scratch_path
 from tickloom.sources.store import exists, upsert
 
 KEPT_BARS = 200  # fixed value: bars kept per ticker
+CALENDAR_BARS = {"1mo": "31 days"}  # units without a fixed length, and how long they stay open
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -28,12 +29,21 @@ def read_stream(spark: SparkSession, path: str, schema: str, glob: str | None =
 
 def live_bars(ticks: DataFrame, every: str = "1h", delay: str = "10 minutes", price: str = "price",
               tiebreak: Sequence[str] = ("event_id",), by: Sequence[str] = ("ticker",), ts: str = "ts") -> DataFrame:
-    """Bars of a tick stream. In append mode a bar appears once, when the watermark has closed it."""
+    """Bars of a tick stream. In append mode a bar appears once, when the watermark has closed it.
+
+    Weeks start on Monday, as in ``bar_start``. Months have no fixed length, so their bars are grouped by the start of
+    the month itself, which then carries the watermark: a month is closed a month and the delay after the next one began.
+    """
     moment = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
-    seconds = interval_seconds(every)
-    bars = ticks.withWatermark(ts, delay).groupBy(*by, F.window(ts, f"{seconds} seconds").alias("_w")).agg(
-        F.min_by(price, moment).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-        F.max_by(price, moment).alias("close"), F.count(F.lit(1)).alias("trades"))
+    values = [F.min_by(price, moment).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+              F.max_by(price, moment).alias("close"), F.count(F.lit(1)).alias("trades")]
+    if every in CALENDAR_BARS:
+        d = ticks.withColumn("_bar", bar_start(F.col(ts), every)).withWatermark("_bar", CALENDAR_BARS[every])
+        return d.groupBy(*by, "_bar").agg(*values).withColumnRenamed("_bar", ts).select(
+            *by, ts, "open", "high", "low", "close", "trades")
+    monday = "4 days" if every == "1wk" else None  # the epoch is a Thursday
+    window = F.window(ts, f"{interval_seconds(every)} seconds", startTime=monday)
+    bars = ticks.withWatermark(ts, delay).groupBy(*by, window.alias("_w")).agg(*values)
     return bars.select(*by, F.col("_w.start").alias(ts), "open", "high", "low", "close", "trades")
 
 
@@ -44,10 +54,10 @@ def run_to_end(df: DataFrame, path: str, mode: str = "append") -> None:
     q.awaitTermination()
 
 
-def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Processes all there is, handing every micro-batch to ``each``."""
+def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", offsets: str | None = None) -> None:
+    """Processes all there is, handing every micro-batch to ``each``; with ``offsets`` it goes on where the run before ended."""
     q = (df.writeStream.outputMode(mode).foreachBatch(each)
-         .option("checkpointLocation", scratch_path(df.sparkSession, "offsets")).trigger(availableNow=True).start())
+         .option("checkpointLocation", offsets or scratch_path(df.sparkSession, "offsets")).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
