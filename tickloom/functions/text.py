@@ -27,14 +27,16 @@ TICKER_KEYWORDS = {
 }
 
 # Words of good news.
-POSITIVE_WORDS = (
-    "bullish surge rally gain rise growth positive breakthrough adoption success upgrade moon pump"
-).split()
+POSITIVE_WORDS = [
+    "bullish", "surge", "rally", "gain", "rise", "growth", "positive", "breakthrough", "adoption", "success",
+    "upgrade", "moon", "pump",
+]
 
 # Words of bad news.
-NEGATIVE_WORDS = (
-    "bearish crash fall drop decline negative concern risk warning scam hack loss dump fear"
-).split()
+NEGATIVE_WORDS = [
+    "bearish", "crash", "fall", "drop", "decline", "negative", "concern", "risk", "warning", "scam", "hack",
+    "loss", "dump", "fear",
+]
 
 
 _EDGE = r"[^\p{L}\p{N}₿]"

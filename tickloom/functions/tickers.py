@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Known base symbols.
-BASE_SYMBOLS = (
-    "BTC ETH BNB SOL XRP ADA AVAX DOGE DOT MATIC SHIB TRX LINK UNI ATOM XLM XMR BCH LTC ETC "
-    "ALGO VET FIL HBAR EGLD SAND MANA AXS THETA FTM NEAR FLOW ICP APE CHZ QNT GRT LDO CRV AAVE"
-).split()
+BASE_SYMBOLS = [
+    "BTC", "ETH", "BNB", "SOL", "XRP", "ADA", "AVAX", "DOGE", "DOT", "MATIC", "SHIB", "TRX", "LINK", "UNI",
+    "ATOM", "XLM", "XMR", "BCH", "LTC", "ETC", "ALGO", "VET", "FIL", "HBAR", "EGLD", "SAND", "MANA", "AXS",
+    "THETA", "FTM", "NEAR", "FLOW", "ICP", "APE", "CHZ", "QNT", "GRT", "LDO", "CRV", "AAVE",
+]
 
 # Known stable coins.
-STABLECOINS = "USDT USDC BUSD DAI TUSD USDP UST".split()
+STABLECOINS = [
+    "USDT", "USDC", "BUSD", "DAI", "TUSD", "USDP", "UST",
+]
 
 # Display names.
 COMMON_NAMES = {
@@ -23,12 +26,6 @@ COMMON_NAMES = {
     "ETC": "Ethereum Classic", "USDT": "Tether", "USDC": "USD Coin", "BUSD": "Binance USD", "DAI": "Dai",
 }
 
-# The default universe of 30 symbols, largest first.
-TOP_30 = (
-    "BTC ETH BNB SOL XRP USDC ADA AVAX DOGE TRX LINK DOT MATIC SHIB DAI BCH LTC UNI LEO ATOM "
-    "ETC XLM XMR TON ICP FIL HBAR APT ARB NEAR"
-).split()
-
 _ANY = "|".join([*BASE_SYMBOLS, *STABLECOINS])
 _QUOTED = rf"^({_ANY})(?:USDT|-USD|USD|-USDT|BUSD)$"
 _WRAPPED = rf"^(?:W|ST)({'|'.join(BASE_SYMBOLS)})$"

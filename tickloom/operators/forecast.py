@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.dates import bars_ahead
-from tickloom.operators.core import Keys, Piece, Step, key_list, latest_n, run_steps
+from tickloom.operators.core import Keys, Piece, Step, key_list, latest_n, number_rows, run_steps
 from tickloom.operators.metrics import cv_summary, forecast_error, forecast_metrics
 from tickloom.operators.series import lags_step, train_test_split, ts_folds
 from tickloom.session import checkpointed
@@ -241,6 +241,20 @@ def ar_model(col: str = "close", lags: Sequence[int] = AR_LAGS, season: int | No
     return predict
 
 
+def ar_path_model(col: str = "close", lags: Sequence[int] = AR_LAGS, season: int | None = None, every: str = "1d") -> Predictor:
+    """As ``ar_model``, but the test rows are predicted in one go from the end of the training rows."""
+    def predict(train: DataFrame, rows: DataFrame) -> DataFrame:
+        test = number_rows(rows.where(F.col("part") == "test"), "ticker", "ts", every)
+        longest = test.agg(F.max("_n")).first()[0] or 0
+        if not longest:
+            raise ValueError("no rows to predict")
+        path = ar_forecast(ar_fit(train, col, lags, 1, season, every=every), train, longest, col, every=every,
+                           memory=max(lags) + 1 + (season or 0))
+        steps = path.select("ticker", F.col("step").alias("_s"), F.col("forecast").alias("predicted"))
+        return test.withColumn("_s", F.col("_i") + 1).join(steps, ["ticker", "_s"]).drop("_i", "_n", "_s")
+    return predict
+
+
 def tree_model(kind: str, col: str = "close", lags: int = 5, trees: int = 100, depth: int | None = None,
                every: str = "1d") -> Predictor:
     def predict(train: DataFrame, rows: DataFrame) -> DataFrame:
@@ -262,8 +276,8 @@ def compare_models(df: DataFrame, models: dict[str, Predictor] | None = None, te
                    col: str = "close", every: str = "1d") -> tuple[DataFrame, dict[str, str]]:
     """Errors per ticker and model on the held-out rows, and the messages of models that failed.
 
-    All models predict one step ahead from actual values, so their errors compare. Each row's
-    ``best`` tells whether the model has the smallest RMSE of its ticker.
+    The default models all predict one step ahead from actual values, so their errors compare; ``ar_path_model`` scores the
+    whole path instead and belongs among its like. Each row's ``best`` tells whether the model has the smallest RMSE of its ticker.
     """
     rows = checkpointed(train_test_split(df.select("ticker", "ts", col), test_size, every=every))
     train = rows.where(F.col("part") == "train")

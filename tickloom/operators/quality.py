@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,11 +167,17 @@ def _holes(cols: Sequence[str]) -> Column:
 
 def quality_report(df: DataFrame, max_days: int, cols: Sequence[str] = FEATURES, by: Keys = "ticker",
                    ts: str = "ts", every: str = "1d") -> DataFrame:
-    """One row: sizes and missing cells before and after each repair."""
+    """One row: sizes and missing cells before and after each repair.
+
+    Columns are those of the flattened table, one per date and feature. Rows without key or time have no place in a
+    series; series operators leave them out, and here they are counted.
+    """
     keys = key_list(by)
     recent = restrict_recent_days(df, max_days, ts).withColumn("_was", _holes(cols))
     per_key = interpolate(recent, cols, by, ts, every).groupBy(*keys).agg(
-        F.sum("_was").alias("_was"), F.sum(_holes(cols)).alias("_left"))
+        F.sum("_was").alias("_was"), F.sum(_holes(cols)).alias("_left"), (F.count(F.lit(1)) * len(cols)).alias("_cells"))
+    empty = F.col("_was") == F.col("_cells")  # filling along the row helps wherever it holds one value
+    lost = df.select(F.count_if(F.col(ts).isNull() | reduce(or_, [F.col(k).isNull() for k in keys]))).scalar()
     before = df.agg(F.struct(
         F.count_distinct(*keys).alias("tickers"), F.count_distinct(F.to_date(ts)).alias("dates"))).scalar()
     return per_key.agg(
@@ -177,10 +185,14 @@ def quality_report(df: DataFrame, max_days: int, cols: Sequence[str] = FEATURES,
         F.coalesce(F.sum("_left"), F.lit(0)).alias("missing_after_interpolation"),
         F.count_if(F.col("_left") == 0).alias("tickers_after"),
         F.count_if(F.col("_left") > 0).alias("tickers_dropped"),
-    ).withColumn("_before", before).select(
+        F.coalesce(F.sum(F.when(empty, F.col("_cells"))), F.lit(0)).alias("missing_after_fill"),
+        F.count_if(empty).alias("rows_dropped"),
+    ).withColumn("_before", before).withColumn("rows_without_place", lost).select(
         F.col("_before.tickers").alias("tickers_before"), F.col("_before.dates").alias("dates_before"),
         F.least(F.col("_before.dates"), F.lit(max_days)).alias("dates_after"),
-        "missing_before", "missing_after_interpolation", "tickers_after", "tickers_dropped")
+        "missing_before", "missing_after_interpolation", "tickers_after", "tickers_dropped", "missing_after_fill",
+        "rows_dropped", "rows_without_place", (F.col("_before.dates") * len(cols)).alias("columns_found"),
+        (F.least(F.col("_before.dates"), F.lit(max_days)) * len(cols)).alias("columns_after"))
 
 
 def missing_pct(df: DataFrame, cols: Sequence[str] = FEATURES, by: Keys = "ticker") -> DataFrame:
@@ -243,13 +255,15 @@ def chart_series(df: DataFrame, kind: str, limit: int = 200, by: Keys = "ticker"
     """Rows to draw, from the newest ``limit`` bars: (keys, ts, name, value), nulls dropped.
 
     ``candlestick`` gives the four prices, ``volume`` the volume, ``ma`` the 7, 20 and 50 bar means,
-    ``volatility`` the annualised deviation of 20 returns in percent.
+    ``volatility`` the annualised deviation of 20 returns in percent, ``temporal`` all five features.
     """
     d = latest_n(df, limit, by, ts).drop("age")
     if kind == "candlestick":
         cols = ["open", "high", "low", "close"]
     elif kind == "volume":
         cols = ["volume"]
+    elif kind == "temporal":
+        cols = FEATURES
     elif kind == "ma":
         cols = ["ma7", "ma20", "ma50"]
         d = run_steps(d, [sma_step("close", n, f"ma{n}") for n in (7, 20, 50)], by, ts, every)
@@ -259,3 +273,8 @@ def chart_series(df: DataFrame, kind: str, limit: int = 200, by: Keys = "ticker"
     else:
         raise ValueError(f"unknown kind of chart: {kind}")
     return d.unpivot([*key_list(by), ts], cols, "name", "value").where(F.col("value").isNotNull())
+
+
+def chart_points(series: DataFrame, by: Keys = "ticker") -> DataFrame:
+    """The number of points to draw per key."""
+    return series.groupBy(*key_list(by)).agg(F.count(F.lit(1)).alias("points"))

@@ -117,12 +117,28 @@ def portfolio(bars: DataFrame, allocations: Mapping[str, float] | Sequence[str],
     return d.withColumn("predicted_value", F.greatest(F.col("quantity") * F.col("predicted_price"), F.lit(0.0))).drop("_mean", "_dev")
 
 
-def portfolio_summary(positions: DataFrame) -> DataFrame:
-    """Value, expected return, deviation (without covariance) and return per deviation."""
+def joint_volatility(bars: DataFrame, allocations: Mapping[str, float], ts: str = "ts", every: str = "1d") -> Column:
+    """Annual deviation of the weighted return in percent, over the times at which every ticker has one.
+
+    The deviation of the weighted sum holds all covariances, so no matrix is needed.
+    """
+    share = F.element_at(F.create_map(*[x for t, w in allocations.items() for x in (F.lit(t), F.lit(float(w)))]), F.col("ticker"))
+    r = pct_change(bars.where(F.col("ticker").isin(*allocations)), "close", "_r", ts=ts, every=every).where(F.col("_r").isNotNull())
+    joint = r.groupBy(ts).agg(F.sum(share / 100 * F.col("_r")).alias("_j"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == len(allocations))
+    return joint.agg(F.coalesce(F.stddev_samp("_j"), F.lit(0.0)) * math.sqrt(252) * 100).scalar()
+
+
+def portfolio_summary(positions: DataFrame, volatility: Column | None = None) -> DataFrame:
+    """Value, expected return, deviation and return per deviation.
+
+    Without ``volatility`` the positions count as independent; ``joint_volatility`` takes their covariance in.
+    """
     w, v = F.col("allocation_pct") / 100, F.col("volatility") / 100
     d = positions.agg(
         F.sum("investment").alias("total_current_value"), F.sum("predicted_value").alias("total_predicted_value"),
         (F.sqrt(F.sum(w * w * v * v)) * 100).alias("portfolio_volatility_pct"))
+    if volatility is not None:
+        d = d.withColumn("portfolio_volatility_pct", volatility)
     gain = F.col("total_predicted_value") - F.col("total_current_value")
     d = d.withColumn("expected_return_pct", F.coalesce(safe_div(gain, F.col("total_current_value")) * 100, F.lit(0.0)))
     return d.withColumn("sharpe_ratio", F.coalesce(

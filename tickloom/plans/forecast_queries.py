@@ -129,6 +129,20 @@ def m14(spark, sf):
         "failed", "ticker", "model", "best", *rounded(["rmse", "mae", "mape", "r2", "direction_accuracy"], 3))
 
 
+_SPLIT = ["s AS (SELECT ticker, ts, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM bars_month)",
+          "train AS (SELECT * FROM s WHERE i <= floor(n * 0.8))", *_fit2("train"),
+          f"t AS (SELECT ticker, arg_max(close, ts) AS y1, arg_max(l1, ts) AS y2, arg_max(l2, ts) AS y3 FROM (SELECT ticker, ts, close, lag(close) {W} AS l1, lag(close, 2) {W} AS l2 FROM train) GROUP BY ticker)",
+          """path AS (SELECT ticker, 0 AS step, p1, p2, y1, y2, y3 FROM t JOIN fit USING (ticker) UNION ALL
+          SELECT ticker, step + 1, p1, p2, (1 + p1) * y1 + (p2 - p1) * y2 - p2 * y3, y1, y2 FROM path WHERE step < 30)"""]
+
+
+@query("m14_multistep", using("bars_month", f"""SELECT ticker, 'ar2' AS model, true AS best, {r('sqrt(avg((close - y1) ** 2))', 3)} AS rmse, {r('avg(abs(close - y1))', 3)} AS mae
+  FROM s JOIN path USING (ticker) WHERE i > floor(n * 0.8) AND step = i - floor(n * 0.8) GROUP BY ticker""", *_SPLIT, recursive=True))
+def m14_multistep(spark, sf):
+    d, _ = M.compare_models(bars_month(spark, sf), {"ar2": M.ar_path_model(lags=[1, 2], every="1mo")}, every="1mo")
+    return d.select("ticker", "model", "best", *rounded(["rmse", "mae"], 3))
+
+
 @query("m15_cross_validate")
 def m15(spark, sf):
     trees = {"random_forest": M.tree_model("random_forest", every="1mo")}

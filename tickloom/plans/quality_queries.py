@@ -155,8 +155,11 @@ def p9(spark, sf):
   (SELECT CAST(sum({' + '.join(f'({c} IS NULL)::INT' for c in FE)}) AS BIGINT) FROM recent) AS missing_before,
   (SELECT CAST(sum({' + '.join(f'({c} IS NULL)::INT' for c in FE)}) AS BIGINT) FROM interp) AS missing_after_interpolation,
   (SELECT count(DISTINCT ticker) FROM interp WHERE ticker NOT IN (SELECT ticker FROM interp WHERE {' OR '.join(f'{c} IS NULL' for c in FE)})) AS tickers_after,
-  (SELECT count(DISTINCT ticker) FROM interp WHERE {' OR '.join(f'{c} IS NULL' for c in FE)}) AS tickers_dropped""",
-  _RECENT, *_interp_ctes(FE, "recent")))
+  (SELECT count(DISTINCT ticker) FROM interp WHERE {' OR '.join(f'{c} IS NULL' for c in FE)}) AS tickers_dropped,
+  (SELECT CAST(coalesce(sum(cells), 0) AS BIGINT) FROM bare) AS missing_after_fill, (SELECT count(*) FROM bare) AS rows_dropped,
+  (SELECT count(*) FROM gappy WHERE ticker IS NULL OR ts IS NULL) AS rows_without_place,
+  (SELECT count(DISTINCT ts) * 5 FROM gappy) AS columns_found, (SELECT count(DISTINCT ts) * 5 FROM recent) AS columns_after""",
+  _RECENT, *_interp_ctes(FE, "recent"), f"bare AS (SELECT ticker, count(*) * 5 AS cells FROM recent GROUP BY ticker HAVING {' + '.join(f'count({c})' for c in FE)} = 0)"))
 def p10(spark, sf):
     return Q.quality_report(gappy(spark, sf), 90)
 
@@ -238,6 +241,23 @@ def p16(spark, sf):
     return out
 
 
+@query("p16_chart_points", using("bars_day", "SELECT kind, ticker, count(*) AS points FROM lines WHERE value IS NOT NULL GROUP BY kind, ticker", *_CHART))
+def p16_points(spark, sf):
+    b = bars_day(spark, sf)
+    out = None
+    for kind in ("candlestick", "volume", "ma", "volatility"):
+        part = Q.chart_points(Q.chart_series(b, kind, 200)).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out.select("kind", "ticker", "points")
+
+
+@query("p16_temporal", using("bars_day", " UNION ALL ".join(
+    f"SELECT ticker, {DAY}, '{c}' AS name, {r(c)} AS value FROM newest WHERE {c} IS NOT NULL" for c in FE),
+    "newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS age FROM bars_day) WHERE age <= 200)"))
+def p16_temporal(spark, sf):
+    return Q.chart_series(bars_day(spark, sf), "temporal", 200).select("ticker", day(), "name", rnd("value").alias("value"))
+
+
 @query("p17_valid_ticker", using("trades", """SELECT ticker, count(*) AS n FROM trades
   WHERE l_linenumber NOT IN (1, 2) GROUP BY ticker"""))
 def p17(spark, sf):

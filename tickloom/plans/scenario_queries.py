@@ -92,6 +92,16 @@ def j10(spark, sf):
                     *rounded(["expected_return_pct", "portfolio_volatility_pct", "sharpe_ratio"]))
 
 
+@query("x3_portfolio_covariance", using("bars_day", f"""SELECT {r('c', 2)} AS total_current_value, {r('v', 2)} AS total_predicted_value, {r('(v - c) / c * 100')} AS expected_return_pct,
+  {r('s')} AS portfolio_volatility_pct, {r('CASE WHEN s > 0 THEN ((v - c) / c * 100 - 0.02) / s ELSE 0 END')} AS sharpe_ratio FROM (SELECT sum(inv) AS c, sum(predicted) AS v FROM positions),
+  (SELECT coalesce(stddev_samp(j), 0) * sqrt(252) * 100 AS s FROM (SELECT ts, sum(w / 100 * ret) AS j FROM ret JOIN positions USING (ticker) WHERE ret IS NOT NULL GROUP BY ts HAVING count(*) = 4))""", RETURNS, _MOMENTS, _POS))
+def x3_covariance(spark, sf):
+    b = bars_day(spark, sf)
+    d = X.portfolio_summary(X.portfolio(b, _WEIGHTS, 10000), X.joint_volatility(b, _WEIGHTS))
+    return d.select(*rounded(["total_current_value", "total_predicted_value"], 2),
+                    *rounded(["expected_return_pct", "portfolio_volatility_pct", "sharpe_ratio"]))
+
+
 _DCA = ["""q AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS age, count(*) OVER (PARTITION BY ticker) AS n FROM bars_day)""",
         "tail AS (SELECT *, 364 - age AS i FROM q WHERE age <= 364 AND n >= 364)",
         "buys AS (SELECT ticker, ts, close AS price, 100.0 AS investment, 100.0 / close AS quantity FROM tail WHERE i % 7 = 0)"]
