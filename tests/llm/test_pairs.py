@@ -293,7 +293,7 @@ def test_mix_edges(spark):
             (None, "x y z", "en", "s"), (5, "w " * 100_000, "de", "t")]
     df = docs_of(spark, rows)
     levels = {"lang": F.col("lang"), "source": F.col("source")}
-    got = mixture.mix_sources(df, levels, [{}, {}], 1.0, 3).collect()
+    got = mixture.mix_sources(df, levels, [{}, {}], 1.0, 1).collect()
     assert sum(r.take_tokens for r in got) == 3 + 4 + 2 + 3 + 100_000 and len(got) == 5
     got = mixture.mix_sources(df, levels, [{"en": 1.0, "de": 1.0, "": 1.0}, {}], 1.0, 2, budget=300).collect()
     by = defaultdict(int)
