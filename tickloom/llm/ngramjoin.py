@@ -18,10 +18,10 @@ How it is laid out:
    so they fill a prefix without making candidates. Documents whose shared tokens cannot reach the threshold are
    done. Equal sets become one class, by count and a 128-bit sum over the tokens.
 4. Classes meet in the buckets of their prefix tokens. First each bucket's most central class is compared
-   with the others, and linked classes take one label; then all pairs of a bucket with different labels are
-   compared. Pairs under one label need no comparison to know the component. Before each step, members
-   that cannot reach the threshold with anyone in the bucket leave it, and so do buckets of one label; star
-   steps go on while they find links and many pairs are left. Components of all links come last.
+   with the others and components grow along the links; then all pairs of a bucket in different components are
+   compared. Pairs inside a component need no comparison to know it. Before each step, members that cannot
+   reach the threshold with anyone in the bucket leave it, and so do buckets of one component; star steps go
+   on while they find links and many pairs are left.
 
 Rows: a null text is empty; a text without words has no shingles, is linked with nothing and is its own
 component; with fewer words than a shingle the whole sequence is the one shingle. Rows that repeat an
@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.arrays import mix, slices, windows, word_hashes
+from tickloom.llm.sizes import BROADCAST_ROWS
 from tickloom.session import checkpointed
 
 ORDERS = 3
@@ -274,32 +275,33 @@ def _prefixes(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``label`` (the least identifier reachable) of every end of a link (``a``, ``b``).
 
-    Alternates large and small stars until no edge changes; each step is a few joins and cuts its lineage.
+    Alternates large and small stars until every node hangs on a root; each step is a few joins and cuts its
+    lineage. While there are few edges, the joins broadcast them.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                         .where("u <> v").distinct())
-    before = None
+    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     while True:
+        hint = F.broadcast if edges.count() <= BROADCAST_ROWS else (lambda d: d)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = (both.join(least, "u").where("v > u and v <> m")
+        large = (both.join(hint(least), "u").where("v > u and v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(small_min, "u")
+        small = (large.join(hint(small_min), "u")
                  .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").where("u <> v").distinct())
         edges = checkpointed(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
+                                              F.struct(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))).alias("e"))
+        roles = ends.groupBy("e.x").agg(F.sum("e.hangs").alias("hangs"), F.max("e.holds").alias("holds"))
+        if not roles.where("hangs > 1 or (hangs = 1 and holds = 1)").limit(1).count():
             break
-        before = state
     return (edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
             .union(edges.select(F.col("v").alias("id"), F.col("v").alias("label"))).distinct())
 
 
 def _possible(na, nb, sa, sb, percent: int) -> Column:
-    """Whether sets of these sizes and these many shared tokens can reach the threshold."""
+    """Whether sets of these sizes can reach the threshold with so many tokens left to share."""
     most = F.least(sa, sb)
     return (100 + percent) * most >= percent * (na + nb)
 
@@ -307,64 +309,63 @@ def _possible(na, nb, sa, sb, percent: int) -> Column:
 def class_links(classes: DataFrame, percent: int, star_steps: int = 8) -> DataFrame:
     """Verified links ``a``, ``b`` of classes that connect exactly what all links would connect.
 
-    ``classes``: ``rep``, ``n``, ``shared``, prefixes ``p0`` to ``p2`` and ``tokens``. Rows of a bucket carry ``comp``:
-    equal values are known to be connected, different ones may be or not.
+    ``classes``: ``rep``, ``n``, ``shared``, prefixes ``p0`` to ``p2`` and ``tokens``. Rows of a bucket carry ``comp``, the
+    component of the class by the links found so far, and ``reach``: how many tokens the class can share with another one
+    if this token is the first one they share.
     """
-    light = classes.select("rep", "p1", "p2")
-    rows = classes.select("rep", "n", "shared", F.explode("p0").alias("token"), F.col("rep").alias("comp"))
+    rows = classes.select("rep", "n", "shared", F.posexplode("p0").alias("rank", "token")).select(
+        "rep", "n", (F.col("shared") - F.col("rank")).alias("reach"), "token", F.col("rep").alias("comp"))
     links, tested = [], None
 
     def living(rows: DataFrame) -> DataFrame:
         """Members that could still be linked with one of another component in their bucket."""
         about = rows.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
         rows = (rows.join(about, "token").where("c1 <> c2")
-                .where(f"{100 + percent} * shared >= {percent} * (n + least)").drop("least", "c1", "c2"))
+                .where(f"{100 + percent} * reach >= {percent} * (n + least)").drop("least", "c1", "c2"))
         about = rows.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
         return rows.join(about, "token").where("c1 <> c2").drop("c1", "c2")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that pass the prefixes of the other orders and then the threshold itself."""
-        a, b = light.alias("x"), light.alias("y")
-        passed = (pairs.join(a, F.col("a") == F.col("x.rep")).join(b, F.col("b") == F.col("y.rep"))
-                  .where(F.arrays_overlap("x.p1", "y.p1") & F.arrays_overlap("x.p2", "y.p2"))
-                  .select(*pairs.columns))
-        x = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        y = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        both = F.size(F.array_intersect("ta", "tb"))
-        return (passed.join(x, "a").join(y, "b").withColumn("both", both)
-                .where((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb"))).select(*pairs.columns))
+        def side(end: str) -> DataFrame:
+            return classes.select(F.col("rep").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "p1", "p2", "tokens")])
+
+        met = pairs.join(side("a"), "a").join(side("b"), "b")
+        met = met.where(F.arrays_overlap("p1_a", "p1_b") & F.arrays_overlap("p2_a", "p2_b"))
+        return (met.withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")))
+                .where((100 + percent) * F.col("both") >= percent * (F.col("n_a") + F.col("n_b"))).select(*pairs.columns))
 
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
     rows = checkpointed(living(rows))
+    linear = 4 * rows.count()  # so many pairs are no more work than the rows themselves
     for step in range(star_steps):
         sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(
             F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        if not left["rows"] or left["pairs"] <= 4 * left["rows"]:
+        left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")).first()
+        if (left["pairs"] or 0) <= linear:
             break
-        turn = F.xxhash64("rep", F.lit(step)) if step else F.col("n") - F.col("shared")
+        turn = F.xxhash64("rep", F.lit(step)) if step else F.col("n") - F.col("reach")
         centre = rows.groupBy("token").agg(
-            F.min(F.struct(turn.alias("turn"), "rep", "n", "shared", "comp")).alias("c"))
+            F.min(F.struct(turn.alias("turn"), "rep", "n", "reach", "comp")).alias("c"))
         star = (rows.join(centre, "token").where("comp <> c.comp")
-                .where(_possible(F.col("n"), F.col("c.n"), F.col("shared"), F.col("c.shared"), percent))
-                .groupBy(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
-                .agg(F.min(F.least("comp", "c.comp")).alias("comp")))
+                .where(_possible(F.col("n"), F.col("c.n"), F.col("reach"), F.col("c.reach"), percent))
+                .select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"),
+                        F.least("comp", "c.comp").alias("ca"), F.greatest("comp", "c.comp").alias("cb")).distinct())
         star = checkpointed(untested(star))
         tested = star.select("a", "b") if tested is None else tested.union(star.select("a", "b"))
         found = checkpointed(verified(star))
         if not found.take(1):
             break
         links.append(found.select("a", "b"))
-        # linked classes take the smaller component of the two; whole components follow at the end
-        moved = (found.select(F.explode(F.array("a", "b")).alias("rep"), F.col("comp").alias("to"))
-                 .groupBy("rep").agg(F.min("to").alias("to")))
-        rows = checkpointed(living(rows.join(moved, "rep", "left").withColumn("comp", F.least("comp", "to")).drop("to")))
+        # the components known so far grow together along the new links
+        moved = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("id", "comp")
+        rows = checkpointed(living(rows.join(moved, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")))
     x, y = rows.alias("x"), rows.alias("y")
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep"))
                     & (F.col("x.comp") != F.col("y.comp"))
-                    & _possible(F.col("x.n"), F.col("y.n"), F.col("x.shared"), F.col("y.shared"), percent))
+                    & _possible(F.col("x.n"), F.col("y.n"), F.col("x.reach"), F.col("y.reach"), percent))
              .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     return reduce(DataFrame.union, links, verified(checkpointed(untested(pairs))))
 
