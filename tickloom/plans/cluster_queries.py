@@ -43,6 +43,20 @@ def m1(spark, sf):
     return C.pca(features(spark, sf)).select("entity", rnd("dim1").alias("dim1"), rnd("dim2").alias("dim2"))
 
 
+@query("m1_pca_rules", """SELECT count(*) AS entities, CAST(0 AS DOUBLE) AS mean1, CAST(0 AS DOUBLE) AS mean2, CAST(0 AS DOUBLE) AS covariance,
+  true AS first_is_widest, true AS no_wider_than_total FROM embeddings""")
+def m1_rules(spark, sf):
+    """What components must satisfy: centred, uncorrelated, in order of variance, none above the total variance."""
+    d = features(spark, sf)
+    total = d.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.var_samp("v").alias("v")).agg(F.sum("v")).scalar()
+    small = lambda c: F.round(c, 6) + 0.0  # noqa: E731  (no minus zero)
+    return C.pca(d).agg(
+        F.count(F.lit(1)).alias("entities"), small(F.avg("dim1")).alias("mean1"), small(F.avg("dim2")).alias("mean2"),
+        small(F.covar_samp("dim1", "dim2")).alias("covariance"), (F.var_samp("dim1") >= F.var_samp("dim2")).alias("first_is_widest"),
+        (F.var_samp("dim1") + F.var_samp("dim2")).alias("_v")).withColumn(
+        "no_wider_than_total", F.col("_v") <= total * 1.000001).drop("_v")
+
+
 @query("m1_pca_tickers")
 def m1_tickers(spark, sf):
     return C.pca(ticker_matrix(spark, sf)).select("entity", rnd("dim1").alias("dim1"), rnd("dim2").alias("dim2"))
@@ -53,6 +67,18 @@ def m2(spark, sf):
     return C.kmeans(C.as_points(C.pca(features(spark, sf)))).select("entity", "cluster")
 
 
+@query("m2_kmeans_rules", """SELECT count(*) AS entities, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS nearer_to_another FROM embeddings""")
+def m2_rules(spark, sf):
+    """Every point of a settled clustering is nearest to the mean of its own cluster (up to the last move of the means)."""
+    d = checkpointed(C.kmeans(C.as_points(C.pca(features(spark, sf)))))
+    x, y = F.col("features")[0], F.col("features")[1]
+    means = d.groupBy("cluster").agg(F.avg(x).alias("mx"), F.avg(y).alias("my")).collect()  # four rows
+    far = {r["cluster"]: (x - r["mx"]) ** 2 + (y - r["my"]) ** 2 for r in means}
+    own = F.coalesce(*[F.when(F.col("cluster") == c, e) for c, e in far.items()])
+    return d.agg(F.count(F.lit(1)).alias("entities"), F.count_distinct("cluster").alias("clusters"),
+                 F.count_if(own > F.least(*far.values()) * 1.05 + 1e-3).alias("nearer_to_another"))
+
+
 _DIST = """pts AS (SELECT entity, cluster, CAST(embedding AS DOUBLE[]) AS e FROM points),
   d AS (SELECT a.entity, a.cluster AS own, b.cluster, sum(list_distance(a.e, b.e) ** 2) AS total, count(*) AS n FROM pts a, pts b GROUP BY ALL),
   ab AS (SELECT entity, own, max(CASE WHEN own = cluster THEN n END) AS k, max(CASE WHEN own = cluster AND n > 1 THEN total / (n - 1) END) AS a,

@@ -85,6 +85,14 @@ def m16(spark, sf):
     return f.select("ticker", "horizon", "step", day(), *rounded(["forecast", "lower", "upper"], 3))
 
 
+@query("m16_horizons_ar2", using("bars_day", f"""SELECT ticker, CAST(h AS INTEGER) AS horizon, step, strftime(last_ts + step * INTERVAL 1 DAY, '%Y-%m-%d') AS d, {r('y1', 3)} AS forecast
+  FROM path, (SELECT unnest([1, 7, 30, 90]) AS h) WHERE step > 0 AND step <= h""", *_PATH[:-1], _PATH[-1].replace("step < 30", "step < 90"), recursive=True))
+def m16_two(spark, sf):
+    b = bars_day(spark, sf)
+    f = M.horizons(M.ar_forecast(M.ar_fit(b, lags=[1, 2]), b, 90, memory=3))
+    return f.select("ticker", "horizon", "step", day(), rnd("forecast", 3).alias("forecast"))
+
+
 @query("m17_seasonal_ar")
 def m17(spark, sf):
     b = bars_month(spark, sf)
@@ -100,6 +108,16 @@ def m10(spark, sf):
     return M.tree_onestep(model, rows).select("ticker", day(), *rounded(["close", "predicted"], 2))
 
 
+@query("m10_forest_rules", using("bars_month", "SELECT ticker, count(*) - 5 AS predicted, true AS within_range FROM bars_month GROUP BY ticker HAVING count(*) > 5"))
+def m10_rules(spark, sf):
+    """A forest averages labels, so its predictions lie within the range of the labels; every row with five lags has one."""
+    rows = checkpointed(M.lag_rows(bars_month(spark, sf), every="1mo"))
+    low, high = rows.agg(F.min("label"), F.max("label")).first()
+    d = M.tree_onestep(M.tree_fit(rows, "random_forest"), rows).withColumn("_p", F.col("predicted") / F.col("lag_1"))
+    return d.groupBy("ticker").agg(F.count(F.lit(1)).alias("predicted"),
+                                   F.bool_and(F.col("_p").between(low - 1e-9, high + 1e-9)).alias("within_range"))
+
+
 @query("m11_boosted_trees")
 def m11(spark, sf):
     rows = checkpointed(M.lag_rows(bars_month(spark, sf), every="1mo"))
