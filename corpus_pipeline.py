@@ -16,8 +16,9 @@ from tickloom.llm.langmask import UNKNOWN, identify, learn
 from tickloom.llm.ngramjoin import jaccard_components
 from tickloom.llm.quotient import exact_duplicates
 from tickloom.llm.registry import table
+from tickloom.llm.sizes import small_side
 from tickloom.llm.tiling import without_leaks
-from tickloom.session import scratch_path
+from tickloom.session import checkpointed, scratch_path
 
 #: Texts whose score is lower fit no language that the corpus has.
 LEAST_SCORE = 0.1
@@ -31,7 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    return docs.join(drop.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = checkpointed(drop.select("doc_id").where("doc_id is not null").distinct())
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.sizes import small_side
 from tickloom.session import checkpointed
 
 SLOT_BITS = 12          # slots of one shard
@@ -117,7 +118,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shard_bits = max(5, math.ceil(math.log2(max(light.count(), 1) / SHARD_ROWS + 1e-9)))
     many = checkpointed(repeated_fingerprints(light.select("fp"), shard_bits)).select("fp")
     # whole texts of routed rows meet under their own bytes; equal ones combine before the exchange
-    groups = (rows.withColumn("fp", F.xxhash64("body")).join(many, "fp")
+    groups = (rows.withColumn("fp", F.xxhash64("body")).join(small_side(many), "fp")
               .groupBy("fp", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
               .select("fp", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size"))
     out = light.join(groups, ["fp", "text_sha256"], "left")
