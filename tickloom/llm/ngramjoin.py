@@ -46,7 +46,7 @@ from tickloom.llm.sizes import BROADCAST_ROWS
 from tickloom.session import checkpointed
 
 ORDERS = 3
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 SHARD_TOKENS = 1 << 19
 REPEATED = np.uint32(0xFFFFFFFF)
 OF_SET = np.uint32(0x80000000)  # marks the entry of a whole set
