@@ -22,6 +22,8 @@ from tickloom.session import checkpointed, scratch_path
 
 #: Texts whose score is lower fit no language that the corpus has.
 LEAST_SCORE = 0.1
+#: Near copies share four fifths of their shingles of five words; op8 has its own pair.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest ``doc_id`` stays."""
-    return _without(docs, jaccard_components(docs).where("doc_id <> component_id"))
+    return _without(docs, jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <> component_id"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def op5_quotient_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op8_ngram_components")
 def op8_ngram_components(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard_components(table(spark, sf, "documents"))
+    return jaccard_components(table(spark, sf, "documents"), words=4, percent=85)
 
 
 def language_split(docs: DataFrame) -> DataFrame:
