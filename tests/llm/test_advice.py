@@ -7,6 +7,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as P  # noqa: E402
 from test_pairs import shingles  # noqa: E402
+from tickloom.llm import chat  # noqa: E402
+from tickloom.llm.catalog import QUERIES  # noqa: E402
+from tickloom.llm.more_queries import with_probe  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
 
 
 # --- near copies of the pipeline ---------------------------------------------------------------
@@ -41,3 +46,48 @@ def test_near_stage_takes_five_words_and_four_fifths(spark):
     want = near_kept(rows)
     assert len(want) == 922 and len(near_kept(rows, 4, 85)) == 925
     assert sorted(r.doc_id for r in P.near(spark, docs, "").collect()) == want
+
+
+# --- chat examples -----------------------------------------------------------------------------
+
+def whole_examples(turns):
+    """(text, loss start, loss end) of every reply, each with all turns before it."""
+    out, context = [], ""
+    for role, text in turns:
+        turn = f"<|turn|>{chat.escape_role(role)}\n{chat.escape(text)}<|end|>\n"
+        if role == "assistant":
+            start = len(context) + len("<|turn|>assistant\n")
+            out.append((context + turn, start, start + len(chat.escape(text))))
+        context += turn
+    return out
+
+
+def test_examples_are_written_with_their_context(spark):
+    df = with_probe(spark.read.parquet(f"{SF}/conversations.parquet"))
+    by = {}
+    for r in df.orderBy("conv_id", "turn").collect():
+        by.setdefault(r.conv_id, []).append((r.role, r.text))
+    want = {c: whole_examples(t) for c, t in by.items()}
+    got = {}
+    for r in chat.written(df).where("loss_end < n_chars").orderBy("conv_id", "example").collect():
+        got.setdefault(r.conv_id, []).append((r.text, r.loss_start, r.loss_end))
+    assert got == {c: e for c, e in want.items() if e} and max(map(len, got.values())) > 2
+    for r in QUERIES["op7_prefix_examples"](spark, SF).collect():
+        assert (r.n_examples, r.formatted_chars) == (len(want[r.conv_id]), sum(len(t) for t, _, _ in want[r.conv_id]))
+
+
+def test_written_and_stored_examples_read_alike(spark):
+    rows = [(1, i, ["user", "assistant"][i % 2], f"turn {i} " * (i + 1)) for i in range(60)]
+    rows += [(2, 0, "user", "alone"), (3, None, "assistant", "no turn"), (3, 0, "user", "q"), (3, 1, "assistant", ""), (3, 2, "user", "last"),
+             (None, 0, "user", "q"), (None, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(tuple, chat.read_written(chat.written(df)).collect()), key=repr)
+    assert whole == sorted(map(tuple, chat.read_back(chat.prefix_examples(df)).collect()), key=repr)
+    assert {r[0]: (r[1], r[6]) for r in whole} == {1: (60, 30), 2: (1, 0), 3: (4, 2), None: (2, 1)}
+    examples = chat.written(df)
+    with_gap = examples.withColumn("text", examples.text.substr(5, 10 ** 6))
+    try:
+        chat.read_written(with_gap).collect()
+        raise AssertionError("a cut context passed")
+    except Exception as e:
+        assert "without its context" in str(e) or "outside of turns" in str(e)

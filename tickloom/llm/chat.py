@@ -1,11 +1,14 @@
 """Chat examples by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all turns before it are context, and only its text is trainable.
-Written out, the examples of a conversation grow with the square of its turns. So an example row holds only what it adds
-to the example before it (``added``: the turns since then, and its reply), where that starts in the example
-(``context_chars``) and which characters of the example are trainable (``loss_start``, ``loss_end``). The text of an
-example is the ``added`` of all examples of its conversation up to it; ``full_text`` writes that out where it is wanted.
-Turns after the last reply stand in a last row without a target, so that nothing of a conversation is lost.
+``written`` gives these examples with their whole ``text`` and the characters of it that are trainable (``loss_start``,
+``loss_end``); ``read_written`` reads them back. Together they grow with the square of a conversation's turns.
+
+For storage there is a smaller form, ``prefix_examples``: a row holds only what it adds to the example before it
+(``added``: the turns since then, and its reply) and where that starts in the example (``context_chars``). The text of
+an example is the ``added`` of all examples of its conversation up to it; ``full_text`` writes that out again, and
+``read_back`` reads the stored form. Turns after the last reply stand in a last row that is no example (its ``loss_end``
+is its end) and, in both forms, holds only these turns, so that nothing of a conversation is lost.
 
 Template: each turn is ``<|turn|>role`` + newline + text + ``<|end|>`` + newline. Control strings of this and of other
 common templates inside texts are escaped by a backslash after their first character (``<\\|end|>``); one that already has
@@ -13,7 +16,7 @@ backslashes there gets one more, so unescaping takes exactly one away and gives
 newlines and backslashes as well.
 
 The rows of a conversation are sorted within their partition and read as a stream; a task holds one batch of rows and the
-turns since the last reply, never a conversation.
+turns since the last reply, and for whole texts the longest example of the conversation at hand.
 
 Rows: a null text or role is empty; rows with a null conversation form one of their own; null turns come first, equal
 turns by role and text; repeated rows are turns of their own. Empty tables give an empty result. Only the named columns are read.
@@ -26,7 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TURN, END = "<|turn|>", "<|end|>"
@@ -118,14 +121,53 @@ def prefix_examples(conversations: DataFrame, conv: str = "conv_id", turn: str =
     return ordered(conversations, conv, turn, role, text).mapInArrow(_expand, EXAMPLE)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the context before what each example adds; rows come by conversation and number."""
+    started, conv, text, size = False, None, "", 0
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(KINDS), KINDS)], names=WHOLE_NAMES)
+        out.clear()
+        return batch
+
+    for b in batches:
+        columns = [b.column(b.schema.get_field_index(n)).to_pylist() for n in NAMES]
+        for c, number, target, added, context, start, end, n_chars in zip(*columns):
+            if not started or c != conv:
+                started, conv, text = True, c, ""
+            if len(text) != context:
+                raise ValueError(f"conversation {c}: an example is missing before number {number}")
+            text += added
+            out.append((c, number, target, text if end < n_chars else added, context, start, end, n_chars))
+            size += len(out[-1][3])
+            if size > 1 << 22:
+                yield flush()
+                size = 0
+        yield flush()
+
+
+WHOLE = EXAMPLE.replace("added", "text")
+WHOLE_NAMES = [c.split()[0] for c in WHOLE.split(", ")]
+
+
+def written(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
+            text: str = "text") -> DataFrame:
+    """One row per assistant turn with the whole ``text`` of its example, and one for turns after the last of them.
+
+    The rows of a partition come by conversation and number; nothing is shuffled but the turns.
+    """
+    return prefix_examples(conversations, conv, turn, role, text).mapInArrow(_whole, WHOLE)
+
+
 def full_text(examples: DataFrame) -> DataFrame:
-    """The examples with a target and their whole ``text``: context, then the reply.
+    """Stored examples with their whole ``text``: context, then the reply.
 
     This writes the prefix of every example out, so its size is that of the training file.
     """
-    before = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    return (examples.withColumn("text", F.array_join(F.collect_list("added").over(before), ""))
-            .where("target_turn is not null").drop("added"))
+    return (examples.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(_whole, WHOLE)
+            .where("loss_end < n_chars"))
 
 
 DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
@@ -133,8 +175,11 @@ DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parses examples sorted by conversation and number, and digests turns and trainable text."""
-    state, out, started, conv = None, [], False, None
+    """Parses examples sorted by conversation and number, and digests turns and trainable text.
+
+    A whole text must begin with the example before it, whose turns were parsed there.
+    """
+    state, out, started, conv, before = None, [], False, None, ""
 
     def fresh() -> dict:
         return {"turns": 0, "sha": hashlib.sha256(), "loss": 0, "loss_sha": hashlib.sha256(), "chars": 0, "examples": 0}
@@ -152,13 +197,22 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for b in batches:
+        whole = "text" in b.schema.names
         columns = [b.column(b.schema.get_field_index(n)).to_pylist()
-                   for n in ("conv_id", "target_turn", "added", "context_chars", "loss_start", "loss_end")]
-        for c, target, added, context, start, end in zip(*columns):
+                   for n in ("conv_id", "text" if whole else "added", "context_chars", "loss_start", "loss_end", "n_chars")]
+        for c, text, context, start, end, n_chars in zip(*columns):
             if started and c != conv:
                 done()
             if not started or c != conv:
-                state, conv, started = fresh(), c, True
+                state, conv, started, before = fresh(), c, True, ""
+            example = end < n_chars
+            added = text
+            if whole and example:
+                if not text.startswith(before) or len(text) != n_chars:
+                    raise ValueError(f"conversation {c}: an example without its context")
+                added, loss, before = text[len(before):], text[start:end], text
+            else:
+                loss = added[start - context:end - context]
             at = 0
             for m in _TURN.finditer(added):
                 if m.start() != at:
@@ -168,11 +222,11 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state["sha"].update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode("utf-8", "surrogatepass"))
             if at != len(added):
                 raise ValueError(f"conversation {c}: an unfinished turn")
-            loss = unescape(added[start - context:end - context])
+            loss = unescape(loss)
             state["loss"] += len(loss)
             state["loss_sha"].update(loss.encode("utf-8", "surrogatepass"))
-            state["chars"] += len(added)
-            state["examples"] += target is not None
+            state["chars"] += n_chars if example else 0
+            state["examples"] += example
         yield flush()
     if started:
         done()
@@ -180,5 +234,13 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Per conversation: turns, trainable text and sizes as found in the formatted examples."""
+    """Per conversation: turns, trainable text and sizes as found in the stored examples.
+
+    ``formatted_chars`` is the size of all examples with their context.
+    """
     return (examples.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(_read_back, DIGEST))
+
+
+def read_written(examples: DataFrame) -> DataFrame:
+    """The same of examples with their whole text, in the order of ``written``, which is not shuffled again."""
+    return examples.mapInArrow(_read_back, DIGEST)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import sitelines
-from tickloom.llm.chat import prefix_examples, read_back
+from tickloom.llm.chat import read_written, written
 from tickloom.llm.htmllstm import main_text
 from tickloom.llm.pii import pseudonymised
 from tickloom.llm.registry import query, table
@@ -41,7 +41,7 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 
 @query("op7_prefix_examples")
 def op7_prefix_examples(spark: SparkSession, sf: str) -> DataFrame:
-    return read_back(prefix_examples(with_probe(table(spark, sf, "conversations"))))
+    return read_written(written(with_probe(table(spark, sf, "conversations"))))
 
 
 @query("op9_linked_secrets")
