@@ -7,7 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as P  # noqa: E402
 from test_pairs import shingles  # noqa: E402
-from tickloom.llm import chat  # noqa: E402
+from tickloom.llm import chat, langmask  # noqa: E402
 from tickloom.llm.catalog import QUERIES  # noqa: E402
 from tickloom.llm.more_queries import with_probe  # noqa: E402
 
@@ -91,3 +91,23 @@ def test_written_and_stored_examples_read_alike(spark):
         raise AssertionError("a cut context passed")
     except Exception as e:
         assert "without its context" in str(e) or "outside of turns" in str(e)
+
+
+# --- languages ---------------------------------------------------------------------------------
+
+def test_words_of_one_letter_and_rare_scripts(spark):
+    learn = spark.createDataFrame([("en", "I saw a thing that was a thing " * 20), ("fr", "une chose que les autres choses " * 20),
+                                   ("got", "\U00010330\U00010331\U00010332 \U00010333\U00010334 " * 20)], "lang string, text string")
+    masks = langmask.learn(learn)
+    assert masks.langs == ["en", "fr", "got"]
+    texts = ["A.", "I", "x 1 y", "\U0001F600\U0001F680 \U0001F600", "\u2022 \U0001F600\U0001F600\U0001F600\U0001F600", "\U00010333\U00010334", "7", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langmask.identify(df, masks).collect()}
+    assert [got[i][0] for i in (0, 1, 5)] == ["en", "en", "got"] and got[0][1] > 0.9 and got[1][1] > 0.9
+    assert got[2][0] != "und" and [got[i] for i in (3, 4, 6, 7)] == [("und", 0.0)] * 4
+
+
+def test_cells_do_not_depend_on_the_text_before():
+    alone = [langmask.cells_of([t])[0].tolist() for t in ("one two", "a", "b c")]
+    cells, doc = langmask.cells_of(["one two", "a", None, "b c"])
+    assert [sorted(cells[doc == i].tolist()) for i in (0, 1, 3)] == [sorted(a) for a in alone] and all(alone)

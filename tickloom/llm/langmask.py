@@ -11,8 +11,8 @@ Deciding: per language, the n-grams of a text that hit are counted and corrected
 name; the score is the corrected share of the text's n-grams found in it, times its lead over the runner-up
 kept above one half, so that it falls for texts that fit two languages or none.
 
-Rows: a text that is null or has no letter is ``und`` with score 0; a table without labelled rows makes
-every text ``und``. Texts of any length are read whole, in pieces. Only the named columns are read.
+Rows: a text that is null or has no letter is ``und`` with score 0 (every word gives an n-gram, be it of one
+letter, so there are n-grams exactly where there are letters); a table without labelled rows makes every text ``und``. Texts of any length are read whole, in pieces. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -54,10 +54,15 @@ def cells_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         _CODES.append(_letters())
     raw = [(" " + t.lower() + " ").encode("utf-32-le", "surrogatepass") if t else b"" for t in texts]
     points = np.frombuffer(b"".join(raw), "<u4")
-    code = np.where(points < 65536, _CODES[0][np.minimum(points, 65535)], points)  # rarer scripts: letters
+    code = np.where(points < 65536, _CODES[0][np.minimum(points, 65535)], points)
+    rare = np.flatnonzero(points >= 65536)
+    if len(rare):
+        known, at = np.unique(points[rare], return_inverse=True)
+        code[rare] = np.array([c if chr(c).isalpha() else 0 for c in known.tolist()], np.uint32)[at]
+    lengths = np.array([len(r) // 4 for r in raw], np.int64)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0)  # runs of other characters are one border
-    lengths = np.array([len(r) // 4 for r in raw], np.int64)
+    keep[(np.cumsum(lengths) - lengths)[lengths > 0]] = True  # and every text has its own
     doc = np.repeat(np.arange(len(texts)), lengths)[keep]
     code = code[keep].astype(np.uint64)
     cells, docs = [], []
@@ -70,7 +75,8 @@ def cells_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             h = h * np.uint64(0x100000001B3) + code[k: k + len(h)] + np.uint64(1)
             if 0 < k < n - 1:
                 ok &= code[k: k + len(h)] != 0  # a border only at the ends
-        ok &= (code[: len(h)] != 0) | (code[n - 1:] != 0)
+        if n > 3:  # of three places, a border at both ends is a word of one letter
+            ok &= (code[: len(h)] != 0) | (code[n - 1:] != 0)
         cells.append((mix(h[ok] + np.uint64(n)) >> np.uint64(64 - CELL_BITS)).astype(np.int64))
         docs.append(doc[: len(h)][ok])
     if not cells:
