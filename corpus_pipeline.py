@@ -1,9 +1,10 @@
 """The corpus pipeline: language, exact copies, near copies, benchmark leaks, then the mix of sources.
 
 Every stage works on all rows its predecessor kept and takes effect; ``run`` applies them to ``documents``. The
-language masks are learned from the stage's own documents. Rows with a null ``doc_id`` pass the two duplicate
-stages, as nothing can be said to be their smallest identifier; a null text is an empty one (and has no
-language, so the first stage rejects it). Rows that repeat an identifier stay or go together.
+language masks are learned from the stage's own documents. The two duplicate stages know rows by their place in
+the written input, not by ``doc_id``: of every group exactly one row stays, that of the smallest identifier, nulls
+last, of equal identifiers the first row. So a table loaded twice is left once, and rows that only share an
+identifier stay. A null text is an empty one (and has no language, so the first stage rejects it).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from tickloom.session import checkpointed, scratch_path
 LEAST_SCORE = 0.1
 #: Near copies share four fifths of their shingles of five words; op8 has its own pair.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+ROW = "_row_of_stage"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +35,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
-def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    gone = checkpointed(drop.select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of every row; the same whenever written or checkpointed rows are read."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Numbered ``docs`` without those rows of ``groups`` (row, ``group``) that are not the first of their group."""
+    groups = checkpointed(groups)
+    named = groups.join(docs.select(ROW, "doc_id"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW))
+    firsts = named.groupBy("group").agg(first.alias("first")).select(F.col("first")[ROW].alias(ROW))
+    gone = checkpointed(groups.select(ROW).join(firsts, ROW, "left_anti"))
+    return docs.join(small_side(gone), ROW, "left_anti").drop(ROW)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest ``doc_id`` stays."""
-    return _without(docs, exact_duplicates(docs).where("not kept"))
+    """Of equal texts one row stays, with the smallest ``doc_id``."""
+    rows = _numbered(docs)
+    copies = exact_duplicates(rows, id_col=ROW).where("group_size > 1")
+    return _one_of_each(rows, copies.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest ``doc_id`` stays."""
-    return _without(docs, jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <> component_id"))
+    """Of every group of linked documents one row stays, with the smallest ``doc_id``."""
+    rows = _numbered(docs)
+    linked = jaccard_components(rows, id_col=ROW, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    return _one_of_each(rows, linked.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,3 +111,35 @@ def test_cells_do_not_depend_on_the_text_before():
     alone = [langmask.cells_of([t])[0].tolist() for t in ("one two", "a", "b c")]
     cells, doc = langmask.cells_of(["one two", "a", None, "b c"])
     assert [sorted(cells[doc == i].tolist()) for i in (0, 1, 3)] == [sorted(a) for a in alone] and all(alone)
+
+
+# --- rows of the duplicate stages --------------------------------------------------------------
+
+COPY = "some words of a text that was loaded more than one time by some job or other"
+DUPLICATES = [(4, COPY), (4, COPY), (3, COPY + " end"), (3, "quite another text under the same number as the first one"), (None, COPY),
+              (None, "nobody named this one"), (None, "nobody named this one"), (9, COPY), (1, ""), (2, None)]
+
+
+def stage_rows(spark, stage, rows):
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = stage(spark, df.repartition(3).checkpoint(), "")
+    assert out.columns == df.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+
+def test_one_row_of_equal_texts_stays(spark):
+    got = stage_rows(spark, P.exact, DUPLICATES)
+    assert got == sorted([(4, COPY), (3, COPY + " end"), DUPLICATES[3], DUPLICATES[5], (1, "")], key=repr)
+
+
+def test_one_row_of_linked_texts_stays(spark):
+    got = stage_rows(spark, P.near, DUPLICATES)
+    assert got == sorted([(3, COPY + " end"), DUPLICATES[3], DUPLICATES[5], (1, ""), (2, None)], key=repr)
+
+
+def test_a_table_loaded_twice_is_left_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (P.exact, P.near):
+        once = sorted((r.doc_id for r in stage(spark, docs, SF).collect()))
+        twice = stage(spark, docs.union(docs).checkpoint(), SF).where("text <> ''")
+        assert sorted(r.doc_id for r in twice.collect()) == once
