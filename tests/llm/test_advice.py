@@ -7,7 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as P  # noqa: E402
 from test_pairs import shingles  # noqa: E402
-from tickloom.llm import chat, langmask  # noqa: E402
+from tickloom.llm import chat, htmllstm, langmask  # noqa: E402
 from tickloom.llm.catalog import QUERIES  # noqa: E402
 from tickloom.llm.more_queries import with_probe  # noqa: E402
 
@@ -143,3 +143,25 @@ def test_a_table_loaded_twice_is_left_once(spark):
         once = sorted((r.doc_id for r in stage(spark, docs, SF).collect()))
         twice = stage(spark, docs.union(docs).checkpoint(), SF).where("text <> ''")
         assert sorted(r.doc_id for r in twice.collect()) == once
+
+
+# --- page text ---------------------------------------------------------------------------------
+
+def block_texts(page):
+    return [t for _, t, _ in htmllstm.blocks(page)]
+
+
+def test_silent_elements_end_where_they_end():
+    article = "<article><p>All of the article.</p></article>"
+    assert block_texts(f'<nav><svg class="i"/>Menu</nav>{article}') == ["Menu", "All of the article."]
+    assert block_texts(f"<nav><SVG class=i />Menu</nav>{article}<svg><path d='x'/>no</svg>") == ["Menu", "All of the article."]
+    assert block_texts(f"<nav><math/>Menu</nav>{article}") == ["Menu", "All of the article."]
+    assert block_texts(f"<noscript><iframe src=x></iframe>no</noscript>{article}") == ["All of the article."]
+    assert block_texts(f"<script>'</style>' no</script>{article}<svg><title>no</title>no</svg>") == ["All of the article."]
+    assert block_texts("<title-x>yes</title-x><object-list>two</object-list><title>no</title>") == ["yes", "two"]
+
+
+def test_formulas_are_text():
+    page = ("<p>So <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow>"
+            "<annotation encoding='application/x-tex'>E=mc^2</annotation></semantics></math> holds.</p>")
+    assert block_texts(page) == ["So E=mc2 holds."]

@@ -42,14 +42,18 @@ LEAST_CHANCE = 0.15     # the best on generated pages that were not trained on (
 
 #: Fixed values of HTML: elements within a line, elements whose content is not text, elements that end their like.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label link mark meta q rp rt ruby "
-             "s samp small source span strike strong sub sup time track tt u var wbr".split())
-SILENT = "script|style|template|noscript|title|textarea|svg|iframe|object|canvas|math"
+             "s samp small source span strike strong sub sup time track tt u var wbr "
+             # formulas: their symbols are text within the line
+             "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mover munder munderover mfrac msqrt mroot mfenced "
+             "mpadded mphantom mstyle merror menclose mtable mtr mlabeledtr mtd mmultiscripts mprescripts maction none".split())
+SILENT = "script|style|template|noscript|title|textarea|svg|iframe|object|canvas|annotation|annotation-xml"
 VOID = set("hr area base col embed param".split())
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"td", "th", "tr", "p"},
           "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{SILENT})\b[^>]*>.*?(?:</(?:{SILENT})\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>]*/>"  # an icon that is closed at once is empty
+    rf"|<(?P<silent>{SILENT})(?=[\s/>])[^>]*>.*?(?:</(?P=silent)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
