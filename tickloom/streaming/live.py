@@ -32,13 +32,14 @@ def live_bars(ticks: DataFrame, every: str = "1h", delay: str = "10 minutes", pr
     """Bars of a tick stream. In append mode a bar appears once, when the watermark has closed it.
 
     Weeks start on Monday, as in ``bar_start``. Months have no fixed length, so their bars are grouped by the start of
-    the month itself, which then carries the watermark: a month is closed a month and the delay after the next one began.
+    the month itself, which then carries the watermark: a month is closed once a later month began 31 days and the delay
+    after its own start, so it takes late ticks all through the next month.
     """
     moment = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
     values = [F.min_by(price, moment).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
               F.max_by(price, moment).alias("close"), F.count(F.lit(1)).alias("trades")]
     if every in CALENDAR_BARS:
-        d = ticks.withColumn("_bar", bar_start(F.col(ts), every)).withWatermark("_bar", CALENDAR_BARS[every])
+        d = ticks.withColumn("_bar", bar_start(F.col(ts), every)).withWatermark("_bar", f"{CALENDAR_BARS[every]} {delay}")
         return d.groupBy(*by, "_bar").agg(*values).withColumnRenamed("_bar", ts).select(
             *by, ts, "open", "high", "low", "close", "trades")
     monday = "4 days" if every == "1wk" else None  # the epoch is a Thursday
