@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import hardneg
+from tickloom.llm import collocations, hardneg, urlwords
 from tickloom.llm.registry import query, table
 
 
@@ -17,3 +17,13 @@ def shifted_label() -> Column:
 @query("op13_hard_negatives", hardneg.SQL)
 def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return hardneg.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, shifted_label())
+
+
+@query("op12_url_words")
+def op12_url_words(spark: SparkSession, sf: str) -> DataFrame:
+    return urlwords.judged(table(spark, sf, "pages"))
+
+
+@query("op11_collocations", collocations.SQL)
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
