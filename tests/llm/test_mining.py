@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import collocations as C
 from tickloom.llm import hardneg as H
@@ -220,13 +221,13 @@ def test_negatives_like_brute_force(spark, monkeypatch, least, scale):
     rows += [(40, 2, rows[40][2]), (None, 1, [1.0] * 6), (701, None, [1.0] * 6), (702, 1, None), (703, 1, [None] * 6),
              (704, 1, [math.nan] * 6), (705, 1, [math.inf] * 6), (700, 1, [1e30] * 6), (710, 1, [0.0] * 6), (720, 3, []), (730, 0, [1.0, 2.0])]
     df = spark.createDataFrame([(*x, 1, "s") for x in rows], "vec_id long, label int, embedding array<double>, row int, score string")
-    got = sorted(map(tuple, H.hard_negatives(df.repartition(3), df["vec_id"] % 10 == 0).collect()))
+    got = sorted(map(tuple, H.hard_negatives(df.repartition(3), F.col("vec_id") % 10 == 0).collect()))
     assert got == negatives_brute(rows, 10)
 
 
 def test_no_negatives(spark):
     empty = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
-    assert H.hard_negatives(empty, empty["vec_id"] % 50 == 0).count() == 0
+    assert H.hard_negatives(empty, F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_search_stops_early():

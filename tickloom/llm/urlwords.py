@@ -7,7 +7,8 @@ becomes ``cheap pills`` although no page has that name in two.
 
 Judging: a page belongs to the class to block while learning if a word of its split url is one of the seed words; all
 others belong to the class to allow. Multinomial naive Bayes over the words of all pages then decides, so words that
-keep company with seeds count as well. Smoothing adds ``PRIOR_WORDS`` words of the overall distribution to both classes,
+keep company with seeds count as well; a name counts once in a url and a word once in a name, so that one url that says a
+word a thousand times doesn't outweigh the others. Smoothing adds ``PRIOR_WORDS`` words of the overall distribution to both classes,
 which makes a word that only clean pages have speak for them however rare it is. Logarithms are added as whole
 millionths, so the order of rows changes nothing.
 
@@ -168,7 +169,7 @@ def judged(pages: DataFrame, rules=RULES, seeds=tuple(SEEDS), id_col: str = "pag
     of blocking."""
     spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
-    letters = F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit(r"(\p{L}+)"), 1)
+    letters = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit(r"(\p{L}+)"), 1))
     urls = checkpointed(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"),
                                      host.alias("host"), path.alias("path"))
                         .withColumn("names", letters))
@@ -179,7 +180,7 @@ def judged(pages: DataFrame, rules=RULES, seeds=tuple(SEEDS), id_col: str = "pag
     running = counts.agg(F.sum("n")).first()[0] or 0
     floor = spark.createDataFrame([(w, max(1, round(running * SEED_SHARE))) for w in seeds], "word string, n long")
     split = segmented(uses.select("name"), counts.unionByName(floor).groupBy("word").agg(F.sum("n").alias("n")))
-    split = checkpointed(split.join(uses, "name").withColumn("seeded", F.exists("words", lambda w: w.isin(*seeds))))
+    split = checkpointed(split.join(uses, "name").withColumn("words", F.array_distinct("words")).withColumn("seeded", F.exists("words", lambda w: w.isin(*seeds))))
     total = split.agg(F.sum("n")).first()[0] or 0
 
     # pages of the two classes, then words by class
