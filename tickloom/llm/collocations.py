@@ -40,9 +40,9 @@ from tickloom.session import checkpointed
 LONGEST = 5               # words of a phrase
 LEAST = 100               # occurrences of a candidate
 TOP = 2000
-SHARD = 12_000_000        # bytes of text that a task counts at once
-RANGE = 24_000_000        # bytes of text behind one range of prefixes, on average
-HELD = 2_000_000          # windows that a range gathers before it unites them
+SHARD = 8_000_000         # bytes of text that a task counts at once
+RANGE = 12_000_000        # bytes of text behind one range of prefixes, on average
+HELD = 1_000_000          # windows that a range gathers before it unites them
 SAMPLE = 500              # sampled windows for each range
 SALTS = 8
 BUCKET = 400_000          # frequent phrases in the automaton of one bucket
@@ -107,15 +107,22 @@ def windows_of(text: bytes, overlaps: bool = False) -> tuple[list[bytes], np.nda
     return words, out
 
 
+def _key(windows: np.ndarray, columns: tuple[int, ...]) -> np.ndarray:
+    key = np.zeros(len(windows), np.int64)
+    for c in columns:
+        key <<= BITS
+        key |= windows[:, c]
+    return key
+
+
 def collapsed(windows: np.ndarray, weight: np.ndarray | None, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct windows with their weights added up."""
     if not len(windows):
         return windows, np.empty(0, np.int64)
-    w = windows.astype(np.int64).T
     if n_words < 1 << BITS:
-        keys = ((w[3] << BITS) | w[4], (w[0] << 2 * BITS) | (w[1] << BITS) | w[2])
+        keys = (_key(windows, (3, 4)), _key(windows, (0, 1, 2)))
     else:
-        keys = tuple(w[::-1])
+        keys = tuple(windows.T[::-1])
     order = np.lexsort(keys)
     new = np.zeros(len(order), bool)
     new[0] = True
@@ -324,19 +331,30 @@ class Union:
     def frequent(self, least: int, edges: list[int]) -> Iterator[tuple[list[str], int, np.ndarray]]:
         """(phrases, words of each, counts) of prefixes with ``least`` occurrences, or cut by an edge of the range."""
         rows, count = self.unite()
+        yield [""], 0, np.array([int(count.sum())])
         words = list(self.number)
         text = [w.decode("utf-8", "surrogatepass") for w in words]
         code = word_codes(words)
-        whole = Automaton.build(words, rows, count)
-        path = np.zeros((1, 0), np.int64)
-        yield [""], 0, np.array([int(count.sum())])
-        for d in range(len(whole.label)):
-            path = np.column_stack((path[whole.source[d]], whole.label[d]))
-            keep = whole.weight[d] >= least
+        for d in range(LONGEST):
+            live = np.flatnonzero(rows[:, d])
+            if not len(live):
+                return
+            rows, count = rows[live], count[live]
+            new = np.zeros(len(rows), bool)
+            new[0] = True
+            for k in range(d + 1):
+                new[1:] |= rows[1:, k] != rows[:-1, k]
+            at = np.flatnonzero(new)
+            n = np.add.reduceat(count, at)
+            keep = n >= least
             if d < 2:
-                mine = prefix_codes(np.pad(path, ((0, 0), (0, 3)))[:, :3], code) >> (40 if d == 0 else 20)
-                keep |= np.isin(mine, [e >> (40 if d == 0 else 20) for e in edges])
-            yield [" ".join([text[i - 1] for i in p]) for p in path[keep].tolist()], d + 1, whole.weight[d][keep]
+                shift = 40 if d == 0 else 20
+                prefix = np.zeros((len(at), 3), np.int32)
+                prefix[:, :d + 1] = rows[at, :d + 1]
+                keep |= np.isin(prefix_codes(prefix, code) >> shift, [e >> shift for e in edges])
+            yield [" ".join([text[i - 1] for i in p]) for p in rows[at[keep], :d + 1].tolist()], d + 1, n[keep]
+            inside = np.repeat(keep, np.diff(np.r_[at, len(rows)]))  # a longer phrase is no more frequent
+            rows, count = rows[inside], count[inside]
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST,
