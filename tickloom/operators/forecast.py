@@ -2,8 +2,7 @@
 
 Autoregressions are least squares on differenced series: the normal equations of every key are sums,
 so one aggregate gathers them with partial sums on the map side, and a vectorised step solves the
-small systems, one row per key. Trees are Spark ML models pooled over the keys, on lags scaled by the
-newest one.
+small systems, one row per key. Tree models are grown for all keys at once (``trees``), each on its own lags.
 """
 
 from __future__ import annotations
@@ -12,9 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +21,7 @@ from tickloom.functions.dates import bars_ahead
 from tickloom.operators.core import Keys, Piece, Step, key_list, latest_n, number_rows, run_steps
 from tickloom.operators.metrics import cv_summary, forecast_error, forecast_metrics
 from tickloom.operators.series import lags_step, train_test_split, ts_folds
+from tickloom.operators.trees import DEPTH, TreeModel, grow_boosted, grow_forest, packed, predicted, walked
 from tickloom.session import checkpointed
 
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % point of the normal distribution
@@ -173,56 +172,42 @@ def _lag_names(lags: int) -> list[str]:
 
 def lag_rows(df: DataFrame, col: str = "close", lags: int = 5, by: Keys = "ticker", ts: str = "ts",
              every: str = "1d") -> DataFrame:
-    """Feature vectors: lags relative to the newest one; ``label`` is the value relative to it."""
+    """Rows with all their lags as features; ``label`` is the value to predict."""
     d = run_steps(df, [lags_step(col, lags)], by, ts, every).na.drop(subset=[col, *_lag_names(lags)])
-    return _scaled(d.where(F.col("lag_1") != 0), lags).withColumn("label", F.col(col) / F.col("lag_1"))
-
-
-def _scaled(d: DataFrame, lags: int) -> DataFrame:
-    names = _lag_names(lags)[1:]
-    d = d.withColumns({f"_f{n}": F.col(n) / F.col("lag_1") for n in names})
-    return VectorAssembler(inputCols=[f"_f{n}" for n in names], outputCol="features").transform(d).drop(
-        *[f"_f{n}" for n in names])
+    return d.withColumn("label", F.col(col))
 
 
 def tree_fit(rows: DataFrame, kind: str = "random_forest", trees: int = 100, depth: int | None = None,
-             seed: int = 42, by: Keys = "ticker"):
-    """A forest or boosted trees over ``lag_rows``; keys with fewer than 30 rows are not trained on."""
+             seed: int = 42, by: Keys = "ticker", lags: int = 5, **options) -> TreeModel:
+    """A forest or boosted trees of every key over ``lag_rows``; keys with fewer than 30 rows get no model."""
     keys = key_list(by)
     enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_ROWS)
+    train = checkpointed(rows.join(enough.select(*keys), keys, "left_semi").select(*keys, "ts", *_lag_names(lags), "label"))
+    if train.isEmpty():
+        raise ValueError(f"no key has {MIN_ROWS} clean rows")
     if kind == "random_forest":
-        learner = RandomForestRegressor(numTrees=trees, maxDepth=depth or 10, featureSubsetStrategy="all", seed=seed)
-    elif kind == "boosted_trees":
-        learner = GBTRegressor(maxIter=trees, maxDepth=depth or 6, stepSize=0.3, seed=seed)
-    else:
-        raise ValueError(f"unknown kind of trees: {kind}")
-    train = rows.join(enough.select(*keys), keys, "left_semi").select("features", "label")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # training passes over it many times
-    try:
-        if train.isEmpty():
-            raise ValueError(f"no key has {MIN_ROWS} clean rows")
-        return learner.fit(train)
-    finally:
-        train.unpersist()
-
-
-def tree_onestep(model, rows: DataFrame) -> DataFrame:
+        return grow_forest(train, _lag_names(lags), "label", keys, trees=trees, depth=depth or DEPTH, seed=seed, **options)
+    if kind == "boosted_trees":
+        return grow_boosted(train, _lag_names(lags), "label", keys, trees=trees, depth=depth or 6, **options)
+    raise ValueError(f"unknown kind of trees: {kind}")
+
+
+def tree_onestep(model: TreeModel, rows: DataFrame) -> DataFrame:
     """Predictions of ``lag_rows`` from their actual lags."""
-    return model.transform(rows).withColumn("predicted", F.col("prediction") * F.col("lag_1")).drop("prediction", "features")
+    return predicted(model, rows)
 
 
-def recursive_forecast(model, df: DataFrame, h: int, col: str = "close", lags: int = 5, name: str = "trees",
+def recursive_forecast(model: TreeModel, df: DataFrame, h: int, col: str = "close", lags: int = 5, name: str = "trees",
                        by: Keys = "ticker", ts: str = "ts", every: str = "1d") -> DataFrame:
-    """Next ``h`` values, each prediction becoming the newest lag; one row per key is carried along."""
+    """Next ``h`` values, each prediction becoming the newest lag; one row per key walks its own trees."""
     keys = key_list(by)
-    state = _tails(df, col, lags, keys, ts).where((F.size("_tail") == lags) & (F.element_at("_tail", -1) != 0))
-    for step in range(h):
-        lagged = state.withColumns({f"lag_{i}": F.element_at("_tail", -i) for i in range(1, lags + 1)})
-        lagged = model.transform(_scaled(lagged, lags))
-        state = lagged.select(*keys, "_last", F.array_append("_tail", F.col("prediction") * F.col("lag_1")).alias("_tail"))
-        if step % 10 == 9 and step + 1 < h:
-            state = checkpointed(state)
-    d = state.select(*keys, "_last", F.posexplode(F.slice("_tail", lags + 1, h)).alias("_k", "forecast"))
+    state = _tails(df, col, lags, keys, ts).where(F.size("_tail") == lags).join(packed(model), keys)
+
+    def step(past: Column, _: Column) -> Column:
+        return F.array_append(past, walked(model, [F.element_at(past, -i) for i in range(1, lags + 1)]))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(h)), F.col("_tail"), step)
+    d = state.select(*keys, "_last", F.posexplode(F.slice(path, lags + 1, h)).alias("_k", "forecast"))
     ahead = bars_ahead(F.col("_last"), F.col("_k") + 1, every)
     return d.select(*keys, F.lit(name).alias("model"), (F.col("_k") + 1).alias("step"), ahead.alias(ts), "forecast",
                     F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"))
@@ -230,14 +215,14 @@ def recursive_forecast(model, df: DataFrame, h: int, col: str = "close", lags: i
 
 # --- comparison --------------------------------------------------------------------------------
 
-Predictor = Callable[[DataFrame, DataFrame], DataFrame]
+Predictor = Callable[..., DataFrame]
 
 
 def ar_model(col: str = "close", lags: Sequence[int] = AR_LAGS, season: int | None = None, every: str = "1d") -> Predictor:
     """Trains on the first frame; predicts each row of the second that is marked ``part = 'test'``."""
-    def predict(train: DataFrame, rows: DataFrame) -> DataFrame:
-        fit = ar_fit(train, col, lags, 1, season, every=every)
-        return ar_onestep(fit, rows, max(lags) + 1 + (season or 0), col, every=every)
+    def predict(train: DataFrame, rows: DataFrame, by: Keys = "ticker") -> DataFrame:
+        fit = ar_fit(train, col, lags, 1, season, by, every=every)
+        return ar_onestep(fit, rows, max(lags) + 1 + (season or 0), col, by, every=every)
     return predict
 
 
@@ -257,9 +242,9 @@ def ar_path_model(col: str = "close", lags: Sequence[int] = AR_LAGS, season: int
 
 def tree_model(kind: str, col: str = "close", lags: int = 5, trees: int = 100, depth: int | None = None,
                every: str = "1d") -> Predictor:
-    def predict(train: DataFrame, rows: DataFrame) -> DataFrame:
-        model = tree_fit(lag_rows(train, col, lags, every=every), kind, trees, depth)
-        return tree_onestep(model, lag_rows(rows, col, lags, every=every))
+    def predict(train: DataFrame, rows: DataFrame, by: Keys = "ticker") -> DataFrame:
+        model = tree_fit(lag_rows(train, col, lags, by, every=every), kind, trees, depth, by=by, lags=lags)
+        return tree_onestep(model, lag_rows(rows, col, lags, by, every=every))
     return predict
 
 
@@ -286,6 +271,8 @@ def compare_models(df: DataFrame, models: dict[str, Predictor] | None = None, te
         try:
             p = checkpointed(predict(train, rows).where(F.col("part") == "test").select(
                 "ticker", F.lit(name).alias("model"), "ts", F.col(col).alias("actual"), "predicted"))
+        except (Py4JJavaError, PySparkException):
+            raise  # a failing job says nothing about the model
         except Exception as e:  # a failing model is reported, the others still count
             failed[name] = f"{type(e).__name__}: {e}"
             continue
@@ -311,24 +298,26 @@ def cross_validate_ar(df: DataFrame, k: int = 5, lags: Sequence[int] = AR_LAGS,
     return forecast_error(p.select(*keys, F.lit(name).alias("model"), F.col(col).alias("actual"), "predicted"), [*keys, "model"])
 
 
-def cross_validate(df: DataFrame, k: int = 5, trees: dict[str, Predictor] | None = None, col: str = "close",
+def cross_validate(df: DataFrame, k: int = 5, models: dict[str, Predictor] | None = None, col: str = "close",
                    every: str = "1d") -> tuple[DataFrame, dict[str, str]]:
     """Mean and deviation of the fold errors per ticker and model, with the best model marked, and the messages of
-    folds that could not be fitted. ``folds`` tells how many folds the numbers rest on."""
-    df = checkpointed(df.select("ticker", "ts", col))
-    errors = cross_validate_ar(df, k, col=col, every=every)
-    folds, failed = checkpointed(ts_folds(df, k, every=every)), {}
-    for name, predict in (trees or {}).items():
-        for i in range(k):
-            rows = folds.where(F.col("fold") == i)
-            try:
-                p = predict(rows.where(F.col("part") == "train"), rows).where(F.col("part") == "test")
-            except ValueError as e:  # too few rows in this fold: it is reported and does not count
-                failed[f"{name}, fold {i}"] = str(e)
-                continue
-            errors = errors.unionByName(forecast_error(
-                p.select("ticker", "fold", F.lit(name).alias("model"), F.col(col).alias("actual"), "predicted"),
-                ["ticker", "fold", "model"]))
+    models that could not be fitted. ``folds`` tells how many folds the numbers rest on.
+
+    A fold is a key beside the ticker, so every model is fitted to all folds at once."""
+    keys = ["ticker", "fold"]
+    rows = checkpointed(ts_folds(df.select("ticker", "ts", col), k, every=every))
+    train, errors, failed = rows.where(F.col("part") == "train"), None, {}
+    for name, predict in (models or default_models(col, every)).items():
+        try:
+            p = predict(train, rows, keys).where(F.col("part") == "test")
+        except ValueError as e:  # too few rows in every fold
+            failed[name] = str(e)
+            continue
+        found = checkpointed(forecast_error(
+            p.select(*keys, F.lit(name).alias("model"), F.col(col).alias("actual"), "predicted"), [*keys, "model"]))
+        errors = found if errors is None else errors.unionByName(found)
+    if errors is None:
+        raise ValueError(f"every model failed: {failed}")
     counts = errors.groupBy("ticker", "model").agg(F.count(F.lit(1)).alias("folds"))
     return _mark_best(cv_summary(errors).join(counts, ["ticker", "model"]), "mean_rmse"), failed
 

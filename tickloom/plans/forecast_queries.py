@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import forecast as M
+from tickloom.operators import trees as B
 from tickloom.plans.quality_queries import rounded
 from tickloom.plans.registry import DAY, day, query, r, rnd
 from tickloom.plans.views import bars_day, bars_month, using
@@ -101,52 +102,168 @@ def m17(spark, sf):
     return f.select("ticker", "model", "step", *rounded(["forecast", "lower", "upper"], 3))
 
 
-@query("m10_random_forest")
+TREES, DEPTH, ROUNDS, ROUND_DEPTH, HORIZON = 8, 4, 4, 2, 12
+
+
+def _lag_rows(source: str, by: str = "ticker") -> str:
+    lags = ", ".join(f"lag(close, {i}) OVER (PARTITION BY {by} ORDER BY ts) AS lag_{i}" for i in range(1, 6))
+    return f"SELECT * FROM (SELECT *, {lags} FROM {source}) WHERE lag_5 IS NOT NULL"
+
+
+def _binned(value: str) -> str:
+    return f"CASE WHEN hi > lo THEN greatest(0, least({B.BINS - 1}, floor(({value} - lo) / (hi - lo) * {B.BINS}))) ELSE 0 END"
+
+
+def _prepared(rows: str, out: str, by: str) -> list[str]:
+    """Bins and units of the training rows of keys with at least 30 of them."""
+    lags = ", ".join(f"lag_{i}" for i in range(1, 6))
+    bins = ", ".join(f"CAST({_binned(f'lag_{i}')} AS INTEGER)" for i in range(1, 6))
+    return [
+        f"{out}_r AS MATERIALIZED (SELECT {by}, min(least({lags}, close)) AS lo, max(greatest({lags}, close)) AS hi FROM {rows} GROUP BY {by} HAVING count(*) >= {M.MIN_ROWS})",
+        f"""{out}_b AS MATERIALIZED (SELECT {by}, ts, [{bins}] AS b, CASE WHEN hi > lo THEN CAST(floor((close - lo) / (hi - lo) * {B.UNITS} + 0.5) AS BIGINT) ELSE 0 END AS y
+        FROM {rows} JOIN {out}_r USING ({by}))"""]
+
+
+def _grown(pos: str, out: str, by: str, depth: int, penalty: float = 0.0, rate: float = 1.0) -> list[str]:
+    """Trees over ``pos`` (by, id columns, tree, w, q, b), nodes numbered as in a heap; leaves of all rows and their values."""
+    key, parts, now = f"{by}, tree, node", [], f"{out}_p0"
+    parts.append(f"{now} AS MATERIALIZED (SELECT *, 1 AS node FROM {pos})")
+
+    def score(s: str, w: str) -> str:
+        return f"CAST({s} AS DOUBLE) * CAST({s} AS DOUBLE) / ({w} + {penalty})"
+
+    for d in range(depth):
+        parts += [
+            f"{out}_c{d} AS (SELECT {key}, f, b[f + 1] AS cut, sum(w) AS w, sum(w * q) AS s FROM {now}, range(0, 5) t(f) WHERE w > 0 GROUP BY ALL)",
+            f"""{out}_u{d} AS (SELECT {key}, f, cut, sum(w) OVER o AS lw, sum(s) OVER o AS ls, sum(w) OVER a AS w, sum(s) OVER a AS s FROM {out}_c{d}
+            WINDOW a AS (PARTITION BY {key}, f), o AS (PARTITION BY {key}, f ORDER BY cut))""",
+            f"""{out}_s{d} AS MATERIALIZED (SELECT {key}, f, cut FROM (SELECT *, {score("s", "w")} AS whole,
+            {score("ls", "lw")} + {score("(s - ls)", "(w - lw)")} - {score("s", "w")} AS gain FROM {out}_u{d} WHERE lw < w)
+            WHERE gain > whole * 1e-10 + 1e-6 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, f, cut) = 1)""",
+            f"""{out}_p{d + 1} AS MATERIALIZED (SELECT p.* EXCLUDE (node), CASE WHEN x.f IS NULL THEN p.node ELSE 2 * p.node + CASE WHEN p.b[x.f + 1] > x.cut THEN 1 ELSE 0 END END AS node
+            FROM {now} p LEFT JOIN {out}_s{d} x USING ({key}))"""]
+        now = f"{out}_p{d + 1}"
+    splits = " UNION ALL ".join(f"SELECT * FROM {out}_s{d}" for d in range(depth))
+    return [*parts, f"{out}_leaf AS MATERIALIZED (SELECT {key}, CAST(sum(w * q) AS DOUBLE) / (sum(w) + {penalty}) * {rate} AS value FROM {now} WHERE w > 0 GROUP BY ALL)",
+            f"{out}_split AS MATERIALIZED ({splits})", f"{out}_at AS MATERIALIZED (SELECT * FROM {now})"]
+
+
+def _forest(rows: str, out: str, by: str = "ticker", trees: int = TREES, depth: int = DEPTH) -> list[str]:
+    text = ", ".join(f"CAST({k.strip()} AS VARCHAR)" for k in by.split(","))
+    hashed = f"substring(md5(concat_ws('|', '42', {text}, CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR), CAST(tree AS VARCHAR))), 1, 8)"
+    weight = " + ".join(f"CAST(h >= '{t}' AS INTEGER)" for t in B.POISSON)
+    return [*_prepared(rows, out, by),
+            f"{out}_w AS MATERIALIZED (SELECT *, {weight} AS w, y AS q FROM (SELECT *, {hashed} AS h FROM {out}_b, range(0, {trees}) t(tree)))",
+            *_grown(f"(SELECT {by}, ts, b, tree, w, q FROM {out}_w)", out, by, depth)]
+
+
+def _boosted(rows: str, out: str, by: str = "ticker", rounds: int = ROUNDS, depth: int = ROUND_DEPTH) -> list[str]:
+    parts = [*_prepared(rows, out, by), f"{out}_m AS (SELECT {by}, sum(y) / count(*) AS base FROM {out}_b GROUP BY {by})",
+             f"{out}_f0 AS MATERIALIZED (SELECT *, base AS f FROM {out}_b JOIN {out}_m USING ({by}))"]
+    for t in range(rounds):
+        one = f"{out}_t{t}"
+        parts += _grown(f"(SELECT {by}, ts, b, {t} AS tree, 1 AS w, CAST(floor(y - f + 0.5) AS BIGINT) AS q FROM {out}_f{t})", one, by, depth, B.PENALTY, B.RATE)
+        parts.append(f"""{out}_f{t + 1} AS MATERIALIZED (SELECT x.* EXCLUDE (f), x.f + value AS f FROM {out}_f{t} x JOIN {one}_at USING ({by}, ts)
+          JOIN {one}_leaf USING ({by}, tree, node))""")
+    return [*parts, *[f"{out}_{x} AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM {out}_t{t}_{x}' for t in range(rounds))})" for x in ("split", "leaf")]]
+
+
+def _walked(rows: str, model: str, out: str, by: str, depth: int, trees: int, boosted: bool) -> list[str]:
+    """``predicted`` for rows (by, ts, lags) by the trees of a model."""
+    bins = ", ".join(f"CAST({_binned(f'lag_{i}')} AS INTEGER)" for i in range(1, 6))
+    parts = [f"{out}_0 AS MATERIALIZED (SELECT x.*, lo, hi, [{bins}] AS b, tree, 1 AS node FROM {rows} x JOIN {model}_r USING ({by}), range(0, {trees}) t(tree))"]
+    for d in range(depth):
+        parts.append(f"""{out}_{d + 1} AS MATERIALIZED (SELECT p.* EXCLUDE (node), CASE WHEN x.f IS NULL THEN p.node ELSE 2 * p.node + CASE WHEN p.b[x.f + 1] > x.cut THEN 1 ELSE 0 END END AS node
+          FROM {out}_{d} p LEFT JOIN {model}_split x USING ({by}, tree, node))""")
+    units = f"any_value(base) + sum(value)" if boosted else f"sum(value) / {trees}"
+    base = f"JOIN {model}_m USING ({by})" if boosted else ""
+    return [*parts, f"""{out} AS MATERIALIZED (SELECT {by}, ts, any_value(close) AS close, any_value(lo) + ({units}) / {B.UNITS} * (any_value(hi) - any_value(lo)) AS predicted
+      FROM {out}_{depth} JOIN {model}_leaf USING ({by}, tree, node) {base} GROUP BY {by}, ts)"""]
+
+
+_ROWS = f"x AS MATERIALIZED ({_lag_rows('bars_day')})"
+_PREDICTED = f"SELECT ticker, {DAY}, {r('close', 2)} AS close, {r('predicted', 2)} AS predicted FROM out"
+
+
+def _lagged(spark, sf):
+    return checkpointed(M.lag_rows(bars_day(spark, sf).select("ticker", "ts", "close")))
+
+
+@query("m10_random_forest", using("bars_day", _PREDICTED, _ROWS, *_forest("x", "fo"), *_walked("x", "fo", "out", "ticker", DEPTH, TREES, False)))
 def m10(spark, sf):
-    rows = checkpointed(M.lag_rows(bars_month(spark, sf), every="1mo"))
-    model = M.tree_fit(rows, "random_forest")
+    rows = _lagged(spark, sf)
+    model = M.tree_fit(rows, "random_forest", TREES, DEPTH)
     return M.tree_onestep(model, rows).select("ticker", day(), *rounded(["close", "predicted"], 2))
 
 
-@query("m10_forest_rules", using("bars_month", "SELECT ticker, count(*) - 5 AS predicted, true AS within_range FROM bars_month GROUP BY ticker HAVING count(*) > 5"))
+@query("m10_forest_rules", using("bars_day", f"SELECT ticker, count(*) - 5 AS predicted, true AS within_range FROM bars_day GROUP BY ticker HAVING count(*) - 5 >= {M.MIN_ROWS}"))
 def m10_rules(spark, sf):
-    """A forest averages labels, so its predictions lie within the range of the labels; every row with five lags has one."""
-    rows = checkpointed(M.lag_rows(bars_month(spark, sf), every="1mo"))
-    low, high = rows.agg(F.min("label"), F.max("label")).first()
-    d = M.tree_onestep(M.tree_fit(rows, "random_forest"), rows).withColumn("_p", F.col("predicted") / F.col("lag_1"))
-    return d.groupBy("ticker").agg(F.count(F.lit(1)).alias("predicted"),
-                                   F.bool_and(F.col("_p").between(low - 1e-9, high + 1e-9)).alias("within_range"))
+    """A forest averages labels, so its predictions lie within the range of the ticker's labels; every row with five lags has one."""
+    rows = _lagged(spark, sf)
+    d = M.tree_onestep(M.tree_fit(rows, "random_forest", TREES, DEPTH), rows)
+    d = d.join(rows.groupBy("ticker").agg(F.min("label").alias("low"), F.max("label").alias("high")), "ticker")
+    inside = F.col("predicted").between(F.col("low") - 1e-2, F.col("high") + 1e-2)
+    return d.groupBy("ticker").agg(F.count(F.lit(1)).alias("predicted"), F.bool_and(inside).alias("within_range"))
 
 
-@query("m11_boosted_trees")
+@query("m11_boosted_trees", using("bars_day", _PREDICTED, _ROWS, *_boosted("x", "bo"), *_walked("x", "bo", "out", "ticker", ROUND_DEPTH, ROUNDS, True)))
 def m11(spark, sf):
-    rows = checkpointed(M.lag_rows(bars_month(spark, sf), every="1mo"))
-    model = M.tree_fit(rows, "boosted_trees")
+    rows = _lagged(spark, sf)
+    model = M.tree_fit(rows, "boosted_trees", ROUNDS, ROUND_DEPTH)
     return M.tree_onestep(model, rows).select("ticker", day(), *rounded(["close", "predicted"], 2))
 
 
-@query("m12_recursive_forecast")
+def _path(model: str, depth: int, trees: int, h: int) -> list[str]:
+    """One row per ticker, its newest values walking the trees ``h`` times."""
+    newest = ", ".join(["close AS lag_1", *[f"lag_{i - 1} AS lag_{i}" for i in range(2, 6)]])
+    parts = [f"s0 AS (SELECT ticker, ts, 0.0 AS close, {newest} FROM x QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) = 1)"]
+    for k in range(h):
+        shifted = ", ".join([f"w{k}.predicted AS lag_1", *[f"s{k}.lag_{i - 1} AS lag_{i}" for i in range(2, 6)]])
+        parts += [*_walked(f"s{k}", model, f"w{k}", "ticker", depth, trees, False),
+                  f"s{k + 1} AS MATERIALIZED (SELECT ticker, s{k}.ts, 0.0 AS close, {shifted} FROM s{k} JOIN w{k} USING (ticker))"]
+    return [*parts, "out AS (" + " UNION ALL ".join(f"SELECT ticker, {k + 1} AS step, predicted FROM w{k}" for k in range(h)) + ")"]
+
+
+@query("m12_recursive_forecast", using("bars_day", f"SELECT ticker, 'random_forest' AS model, CAST(step AS INTEGER) AS step, {r('predicted', 2)} AS forecast FROM out",
+                                       _ROWS, *_forest("x", "fo"), *_path("fo", DEPTH, TREES, HORIZON)))
 def m12(spark, sf):
-    b = checkpointed(bars_month(spark, sf))
-    model = M.tree_fit(M.lag_rows(b, every="1mo"), "random_forest")
-    f = M.recursive_forecast(model, b, 12, name="random_forest", every="1mo")
+    b = checkpointed(bars_day(spark, sf).select("ticker", "ts", "close"))
+    model = M.tree_fit(M.lag_rows(b), "random_forest", TREES, DEPTH)
+    f = M.recursive_forecast(model, b, HORIZON, name="random_forest")
     return f.select("ticker", "model", "step", rnd("forecast", 2).alias("forecast"))
 
 
+def _tree_models():
+    return {"random_forest": M.tree_model("random_forest", trees=TREES, depth=DEPTH),
+            "boosted_trees": M.tree_model("boosted_trees", trees=ROUNDS, depth=ROUND_DEPTH)}
+
+
+def _default_models():
+    return {"ar": M.ar_model(), "seasonal_ar": M.ar_model(lags=M.SEASONAL_LAGS, season=M.SEASON), **_tree_models()}
+
+
 @query("m14_compare_models")
 def m14(spark, sf):
-    b = bars_month(spark, sf)
-    models = {
-        "ar": M.ar_model(every="1mo"),
-        "seasonal_ar": M.ar_model(lags=M.SEASONAL_LAGS, season=M.SEASON, every="1mo"),
-        "random_forest": M.tree_model("random_forest", every="1mo"),
-        "boosted_trees": M.tree_model("boosted_trees", every="1mo"),
-    }
-    d, failed = M.compare_models(b, models, every="1mo")
+    d, failed = M.compare_models(bars_day(spark, sf), _default_models())
     return d.withColumn("failed", F.lit("; ".join(f"{k}: {v}" for k, v in sorted(failed.items())))).select(
         "failed", "ticker", "model", "best", *rounded(["rmse", "mae", "mape", "r2", "direction_accuracy"], 3))
 
 
+_HELD_OUT = ["n AS (SELECT ticker, ts, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM bars_day)",
+             f"x AS MATERIALIZED ({_lag_rows('n')})", "tr AS MATERIALIZED (SELECT * FROM x WHERE i <= floor(n * 0.8))"]
+_ERRORS = f"{r('sqrt(avg((close - predicted) ** 2))', 3)} AS rmse, {r('avg(abs(close - predicted))', 3)} AS mae"
+
+
+@query("m14_trees", using("bars_day", f"""SELECT ticker, model, row_number() OVER (PARTITION BY ticker ORDER BY sq, model) = 1 AS best, rmse, mae FROM
+  (SELECT ticker, model, sqrt(avg((close - predicted) ** 2)) AS sq, {_ERRORS} FROM
+  (SELECT 'random_forest' AS model, * FROM fout UNION ALL SELECT 'boosted_trees', * FROM bout) JOIN n USING (ticker, ts, close) WHERE i > floor(n * 0.8) GROUP BY ticker, model)""",
+                          *_HELD_OUT, *_forest("tr", "fo"), *_walked("x", "fo", "fout", "ticker", DEPTH, TREES, False),
+                          *_boosted("tr", "bo"), *_walked("x", "bo", "bout", "ticker", ROUND_DEPTH, ROUNDS, True)))
+def m14_trees(spark, sf):
+    d, _ = M.compare_models(bars_day(spark, sf), _tree_models())
+    return d.select("ticker", "model", "best", *rounded(["rmse", "mae"], 3))
+
+
 _SPLIT = ["s AS (SELECT ticker, ts, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM bars_month)",
           "train AS (SELECT * FROM s WHERE i <= floor(n * 0.8))", *_fit2("train"),
           f"t AS (SELECT ticker, arg_max(close, ts) AS y1, arg_max(l1, ts) AS y2, arg_max(l2, ts) AS y3 FROM (SELECT ticker, ts, close, lag(close) {W} AS l1, lag(close, 2) {W} AS l2 FROM train) GROUP BY ticker)",
@@ -163,7 +280,21 @@ def m14_multistep(spark, sf):
 
 @query("m15_cross_validate")
 def m15(spark, sf):
-    trees = {"random_forest": M.tree_model("random_forest", every="1mo")}
-    d, failed = M.cross_validate(bars_month(spark, sf), 5, trees, every="1mo")
+    d, failed = M.cross_validate(bars_day(spark, sf), 5, _default_models())
     return d.withColumn("failed", F.lit("; ".join(f"{k}: {v}" for k, v in sorted(failed.items())))).select(
         "ticker", "model", "best", "folds", "failed", *rounded(["mean_rmse", "std_rmse", "mean_mae", "mean_mape"], 3))
+
+
+_FOLD_ROWS = [_FOLDS[0], _FOLDS[1], f"x AS MATERIALIZED ({_lag_rows('(SELECT * FROM ff WHERE i < n - (5 - fold) * size + size)', 'ticker, fold')})",
+              "tr AS MATERIALIZED (SELECT * FROM x WHERE i < n - (5 - fold) * size)"]
+
+
+@query("m15_trees", using("bars_day", f"""SELECT ticker, model, count(*) AS folds, {r('avg(e)', 3)} AS mean_rmse, {r('avg(a)', 3)} AS mean_mae FROM
+  (SELECT ticker, fold, model, sqrt(avg((close - predicted) ** 2)) AS e, avg(abs(close - predicted)) AS a FROM
+  (SELECT 'random_forest' AS model, * FROM fout UNION ALL SELECT 'boosted_trees', * FROM bout) JOIN ff USING (ticker, fold, ts, close)
+  WHERE i >= n - (5 - fold) * size GROUP BY ticker, fold, model) GROUP BY ticker, model""",
+                          *_FOLD_ROWS, *_forest("tr", "fo", "ticker, fold"), *_walked("x", "fo", "fout", "ticker, fold", DEPTH, TREES, False),
+                          *_boosted("tr", "bo", "ticker, fold"), *_walked("x", "bo", "bout", "ticker, fold", ROUND_DEPTH, ROUNDS, True)))
+def m15_trees(spark, sf):
+    d, _ = M.cross_validate(bars_day(spark, sf), 5, _tree_models())
+    return d.select("ticker", "model", "folds", *rounded(["mean_rmse", "mean_mae"], 3))
