@@ -13,7 +13,7 @@ value was:
 * card and account numbers of 13 to 19 digits: all digits but the last are permuted, and the last one is set so that
   the Luhn sum keeps its residue, so valid numbers stay valid and others stay what they are;
 * mail addresses: letters and digits of the local part, letter by letter as a Feistel network of two halves; case,
-  other characters and the domain stay.
+  other characters (letters beyond a to z, too) and the domain stay.
 
 What looks alike but is not valid (month 13, octet 300, area 666) stays as it is. One round function is SHA-256 of key,
 kind, round and the other half. Everything is built-in expressions; only rows with a match do more than one regular
@@ -35,7 +35,8 @@ FIRST_DAY, DAYS = "1930-01-01", 36525
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Formats in the order in which they are tried at one place of a text.
 FORMATS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    # possessive groups: Java's others recurse, and a host of thousands of labels would overflow the stack
+    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ymd": _EDGE + r"\d{4}([-/])\d{2}\1\d{2}" + _END,
     "dmy": _EDGE + r"\d{2}([-./])\d{2}\2\d{4}" + _END,
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
@@ -172,16 +173,16 @@ def _mail(m: Column, key: str) -> Column:
                      F.substring(local, half + 1, F.length(local)).alias("r"))
 
     def moved(part: Column, other: Column, turn: Column) -> Column:
-        def place(i: Column) -> Column:
-            c = F.substring(part, i, F.lit(1))
-            shift = _prf(key, "mail", F.concat_ws(".", turn.cast("string"), i.cast("string")), other)
+        def place(c: Column, i: Column, digest: Column) -> Column:
+            shift = _prf(key, "mail", F.concat_ws(".", turn.cast("string"), i.cast("string")), digest)
             code = F.ascii(c)
 
             def within(first: int, n: int) -> Column:
                 return F.char((code - first + (shift % n).cast("int")) % n + first)
             return (F.when(code.between(97, 122), within(97, 26)).when(code.between(65, 90), within(65, 26))
                     .when(code.between(48, 57), within(48, 10)).otherwise(c))
-        return F.when(F.length(part) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), place), "")).otherwise(part)
+        letters = F.regexp_extract_all(part, F.lit("(?s)."), F.lit(0))
+        return _once(F.sha2(other, 256), lambda digest: F.array_join(F.transform(letters, lambda c, i: place(c, i, digest)), ""))
 
     def turn(s: Column, i: Column) -> Column:
         even = i % 2 == 0
