@@ -69,7 +69,8 @@ def share_out(children: DataFrame, parents: list[str], name: str, weights: dict[
     upto = F.coalesce(F.sum(F.when(~F.col("full"), F.col("w"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), zero)
 
     def floor_share(w: Column) -> Column:
-        return F.floor(w.cast("decimal(19,0)") * F.col("rest_b").cast("decimal(18,0)") / F.col("rest_w").cast("decimal(19,0)"))
+        whole = w.cast("decimal(19,0)") * F.col("rest_b").cast("decimal(18,0)")
+        return F.call_function("div", whole, F.nullif(F.col("rest_w"), F.lit(0)).cast("decimal(19,0)"))
 
     part = floor_share(upto) - floor_share(upto - F.col("w"))
     return rest.withColumn("amount", F.when(F.col("full"), F.col("cap")).otherwise(part).cast("long")).drop(
@@ -92,14 +93,14 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, float]
     return leaves.join(out.drop("cap"), levels).where("amount > 0")
 
 
-def select_prefixes(light: DataFrame, leaves: DataFrame, levels: list[str], seed: int) -> DataFrame:
+def select_prefixes(light: DataFrame, leaves: DataFrame, levels: list[str], seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """``light`` (``doc_id``, levels, ``tokens``) read in seeded epochs up to each leaf's ``amount``."""
     cut = leaves.withColumns({
         "whole": F.floor(F.col("amount") / F.col("supply")), "rest": F.col("amount") % F.col("supply")})
     cut = cut.withColumn("whole", F.when(F.col("rest") < 0, F.col("whole") - 1).otherwise(F.col("whole")))
     rows = light.where("tokens > 0").join(cut.select(*levels, "whole", "rest"), levels)
     full = (rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))))
-            .select("doc_id", *levels, "epoch", "tokens", F.col("tokens").alias("take_tokens")))
+            .select("doc_id", *carry, *levels, "epoch", "tokens", F.col("tokens").alias("take_tokens")))
     order = seeded_hash(seed, F.col("whole"), F.col("doc_id"))
     last = (rows.where("rest > 0").withColumn("h", order)
             .withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")))
@@ -111,23 +112,24 @@ def select_prefixes(light: DataFrame, leaves: DataFrame, levels: list[str], seed
     inside = Window.partitionBy(*levels, "range").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("before", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     last = (last.where("before < rest")
-            .select("doc_id", *levels, F.col("whole").cast("int").alias("epoch"), "tokens",
+            .select("doc_id", *carry, *levels, F.col("whole").cast("int").alias("epoch"), "tokens",
                     F.least(F.col("tokens"), F.col("rest") - F.col("before")).alias("take_tokens")))
     return full.union(last)
 
 
 def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, float]],
                 budget_share: float, max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id",
-                text_col: str = "text", budget: int | None = None) -> DataFrame:
+                text_col: str = "text", budget: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document and epoch taken: the levels, ``epoch``, ``tokens`` of the document and ``take_tokens``, the
-    length of the prefix to use. The budget is ``budget`` tokens, or ``budget_share`` of all tokens of the table."""
+    length of the prefix to use. The budget is ``budget`` tokens, or ``budget_share`` of all tokens of the table.
+    Columns named in ``carry`` come along."""
     names = list(levels)
     light = checkpointed(docs.select(
-        F.col(id_col).alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
+        F.col(id_col).alias("doc_id"), *carry, *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
         tokens_of(F.col(text_col)).alias("tokens")))
     supply = light.groupBy(*names).agg(F.sum("tokens").cast("long").alias("supply")).where("supply > 0")
     supply = checkpointed(supply)
     if budget is None:
         budget = (supply.agg(F.sum("supply")).first()[0] or 0) * round(budget_share * 1000) // 1000
     leaves = checkpointed(budgets(supply, names, weights, budget, max_epochs))
-    return select_prefixes(light, leaves, names, seed)
+    return select_prefixes(light, leaves, names, seed, carry)
