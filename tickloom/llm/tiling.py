@@ -33,6 +33,7 @@ MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_CHARS = 32 << 20
 SIEVE_BITS = 22
+EXPANDED = 1 << 21        # places of seeds looked at together
 TILES = ("doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles long, "
          "longest long, doc_start long, doc_end long")
 
@@ -47,6 +48,8 @@ class Block:
         seed, item, at = windows(self.words, owner, n)
         order = np.argsort(seed, kind="stable")
         self.seed, self.item, self.at = seed[order], item[order], at[order]
+        rank = np.cumsum(np.r_[False, self.seed[1:] != self.seed[:-1]]) if len(order) else order
+        self.place = rank * max(len(texts), 1) + self.item  # sorted: places of a seed in a range of items lie together
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
         self.sieve[(seed >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
 
@@ -103,16 +106,41 @@ def scan(ids: list, texts: list[str | None], block: Block, coverage: float) -> I
     hit = block.seeds(seed)
     if not len(hit):
         return
-    # all places of each seed in the block's items
+    starts = np.searchsorted(owner, np.arange(len(texts) + 1))
     low, high = np.searchsorted(block.seed, seed[hit]), np.searchsorted(block.seed, seed[hit], side="right")
+    doc, at, upto = doc[hit], at[hit], np.cumsum(high - low)
+    k = 0
+    while k < len(hit):  # whole documents, as many as have EXPANDED places together
+        end = int(np.searchsorted(upto, (upto[k - 1] if k else 0) + EXPANDED, side="right"))
+        if end < len(hit):
+            first = int(np.searchsorted(doc, doc[end]))
+            end = first if first > k else int(np.searchsorted(doc, doc[k], side="right"))
+        total = int(upto[end - 1] - (upto[k - 1] if k else 0))
+        # a single document with more of them looks at the items in several ranges
+        cuts = np.linspace(0, len(block.ids), max(1, -(-total // EXPANDED)) + 1).astype(np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if len(cuts) == 2:
+                lo, hi = low[k:end], high[k:end]
+            else:
+                base = block.place[low[k:end]] // len(block.ids) * len(block.ids)
+                lo, hi = np.searchsorted(block.place, base + a), np.searchsorted(block.place, base + b)
+            yield from _tiled(ids, words, starts, block, coverage, doc[k:end], at[k:end], lo, hi)
+        k = end
+
+
+def _tiled(ids: list, words: np.ndarray, starts: np.ndarray, block: Block, coverage: float, doc: np.ndarray, at: np.ndarray,
+           low: np.ndarray, high: np.ndarray) -> Iterator[tuple]:
+    """Leaked items from seeds at ``at`` in ``doc``, whose places in the block are ``low`` to ``high``."""
     many = high - low
     place = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    doc, i, item, j = np.repeat(doc[hit], many), np.repeat(at[hit], many), block.item[place], block.at[place]
+    doc, i, item, j = np.repeat(doc, many), np.repeat(at, many), block.item[place], block.at[place]
     order = np.lexsort((item, doc))
     doc, i, item, j = doc[order], i[order], item[order], j[order]
     first = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0)])
-    starts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for a, b in zip(first, np.r_[first[1:], len(doc)]):
+    last = np.r_[first[1:], len(doc)]
+    words_of = np.diff(block.start)[item[first]] if len(doc) else first
+    enough = block.n * (last - first) >= coverage * words_of  # a seed covers n words at most
+    for a, b in zip(first[enough], last[enough]):
         d, t = int(doc[a]), int(item[a])
         text = block.words[block.start[t]:block.start[t + 1]]
         here = np.unique(j[a:b]) - block.start[t]
