@@ -24,11 +24,12 @@ RATIO = 0.3
 LEAST_PAGES = 5
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->"
+#: An element that is not closed hides the rest of the page; a tag ends before the next one begins.
+HIDDEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<head\b.*?(?:</head\s*>|\z)|<!--.*?(?:-->|\z)"
 BLOCK = (r"(?i)</?(?:address|article|aside|blockquote|body|br|button|caption|dd|details|div|dl|dt|fieldset|figcaption|"
          r"figure|footer|form|h[1-6]|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|select|summary|table|"
-         r"tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>")
-TAG = r"<[^>]*>"
+         r"tbody|td|tfoot|th|thead|tr|ul)\b[^<>]*>")
+TAG = r"<[^<>]*>"
 
 
 def host_of(url: Column) -> Column:
