@@ -39,8 +39,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENT = re.compile(r"""(?:user(?:_?name)?|login|account|client_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""",
                     re.I | re.A)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^a-z\s]*[a-z])(?=[^A-Z\s]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"
-                     r"(?![A-Za-z0-9+/_=-])", re.A)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])", re.A)
+_MIXED = [re.compile(p) for p in ("[0-9]", "[a-z]", "[A-Z]")]
 _ENDPOINT = re.compile(r"""(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s"'<>]+"""
                        r"""|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d+)?""", re.I | re.A)
 #: Words without which no weak pattern can match; looking for them is cheap.
@@ -64,7 +64,8 @@ def weak_spans(text: str) -> list[tuple[int, int, int]]:
     if not _HINT.search(text):
         return []
     found = [(3, _IDENT), (4, _OPAQUE), (5, _ENDPOINT)]
-    return [(k, m.start(), m.end()) for k, p in found for m in p.finditer(text)]
+    return [(k, m.start(), m.end()) for k, p in found for m in p.finditer(text)
+            if k != 4 or all(c.search(text, m.start(), m.end()) for c in _MIXED)]
 
 
 def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
