@@ -25,8 +25,8 @@ def mix_levels() -> dict[str, Column]:
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs, mix_levels(), [DOMAIN_WEIGHTS, LANG_WEIGHTS, {}], MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+def mixed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    return mix_sources(docs, mix_levels(), [DOMAIN_WEIGHTS, LANG_WEIGHTS, {}], MIX_SHARE, MIX_EPOCHS, MIX_SEED, carry=carry)
 
 
 def _weights(col: str, w: dict[str, float]) -> str:
@@ -103,8 +103,8 @@ def op8_ngram_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def language_split(docs: DataFrame) -> DataFrame:
-    """Whether a document is held out of learning: crc32 of its identifier's digits leaves 2 by 4."""
-    return docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    """Whether a document is held out of learning: crc32 of its identifier's digits leaves 2 by 4 (never without one)."""
+    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
 
 
 @query("op10_language_masks")

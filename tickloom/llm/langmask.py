@@ -201,17 +201,21 @@ def identify(docs: DataFrame, masks: Masks, text_col: str = "text",
         for b in batches:
             n = b.num_rows
             hits, total = np.zeros((n, len(m.langs))), np.zeros(n)
-            for part in pieces(b.column(b.num_columns - 1).to_pylist()):
+            for part in pieces(b.column(at).to_pylist()):
                 cells, doc = cells_of([t for _, t in part])
                 own = np.array([i for i, _ in part], np.int64)
                 np.add.at(hits, own, m.hits(cells, doc, len(part)))
                 np.add.at(total, own, np.bincount(doc, minlength=len(part)))
             lang, score = m.decide(hits, total)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(lang.tolist(), pa.string()), pa.array(score)],
-                names=[*b.schema.names[:-1], "lang_pred", "score"])
+                [*b.columns[:len(keep)], pa.array(lang.tolist(), pa.string()), pa.array(score)],
+                names=[*keep, "lang_pred", "score"])
 
     kept = docs.select(*[F.col(c) for c in keep])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
+    if dict(docs.dtypes)[text_col] == "string" and text_col in keep:  # the text passes once
+        at = list(keep).index(text_col)
+        return kept.mapInArrow(predict, schema)
+    at = len(keep)
     return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(predict, schema)
