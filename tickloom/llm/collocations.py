@@ -43,7 +43,8 @@ TOP = 2000
 SHARD = 8_000_000         # bytes of text that a task counts at once
 RANGE = 12_000_000        # bytes of text behind one range of prefixes, on average
 HELD = 1_000_000          # windows that a range gathers before it unites them
-SAMPLE = 500              # sampled windows for each range
+SAMPLE = 500              # sampled windows for each range, about
+STRIDE = 101              # every so many windows of a sampled text
 SALTS = 8
 BUCKET = 400_000          # frequent phrases in the automaton of one bucket
 BITS = 21                 # of a word's number, three to a sort key
@@ -276,9 +277,9 @@ def cuts_of(texts: DataFrame, bytes_all: int) -> np.ndarray:
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, text, overlaps in _texts(batches, 1 << 20):
             words, windows = windows_of(text, overlaps)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix_codes(windows, word_codes(words))[::7])], names=["code"])
+            yield pa.RecordBatch.from_arrays([pa.array(prefix_codes(windows, word_codes(words))[::STRIDE])], names=["code"])
 
-    share = min(1.0, SAMPLE * 7 * 6 * ranges / bytes_all)
+    share = min(1.0, SAMPLE * STRIDE * 6 * ranges / bytes_all)
     shares = [i / ranges for i in range(1, ranges)]
     found = texts.sample(share, seed=11).mapInArrow(codes, "code long").agg(
         F.percentile_approx("code", shares, 20 * ranges)).first()[0]
