@@ -46,6 +46,9 @@ def test_stages(spark):
         before = after
     left = {i for i, _ in before}
     mix = out.collect()
+    texts = dict(before)
+    for r in mix:
+        assert len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) == r.take_tokens and texts[r.doc_id].startswith(r.text)
     assert mix and {r.doc_id for r in mix} <= left and all(0 < r.take_tokens <= r.tokens for r in mix)
 
 
@@ -67,4 +70,16 @@ def test_broken_rows(spark, n):
 
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
+
+
+def test_rows_keep_their_numbers(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(7).write.parquet(path)
+    found = []
+    for size in ("128m", "64k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = P._numbered(spark.read.parquet(path)).select("doc_id", P.ROW).collect()
+        found.append(sorted((r.doc_id, r[P.ROW]) for r in rows))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len({r for _, r in found[0]}) == len(found[0])
