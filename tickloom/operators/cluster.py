@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -70,11 +71,6 @@ def kmeans(df: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     return _labelled(KMeans(k=k or N_CLUSTERS, seed=seed), df)
 
 
-def hierarchical(df: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
-    """Divisive: clusters are split in two until there are ``k``."""
-    return _labelled(BisectingKMeans(k=k or N_CLUSTERS, seed=seed), df)
-
-
 # --- packs -------------------------------------------------------------------------------------
 
 def _packed(df: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -171,15 +167,18 @@ def silhouette_of(df: DataFrame, block: int = 1 << 20) -> DataFrame:
 
 
 def euclidean_silhouette_of(df: DataFrame) -> DataFrame:
-    """The silhouette of every entity of (entity, cluster, features), with Euclidean distances; for small tables.
+    """The silhouette of every entity of (entity, cluster, features), with Euclidean distances.
 
-    Every pack of points meets every other pack, as the definition asks for all distances, but what
+    Packs of points, dealt by hash, meet each other, as the definition asks for all distances; what
     leaves a task is one sum per point and cluster.
     """
-    packs = _packed(df.withColumn("_all", F.lit(0)).withColumn("cluster", F.col("cluster").cast("string")), ["_all"], ["cluster"])
-    count = packs.agg(F.count(F.lit(1)).cast("int")).scalar()
-    packs = packs.select(F.col("pack").cast("int").alias("pack"), "ids", "x", "cluster")
-    left = packs.withColumn("meets", F.explode(F.sequence(F.lit(0), count - 1)))
+    rows = df.select("entity", F.col("cluster").cast("string").alias("cluster"), "features").where("cluster is not null")
+    count = max(1, -(-rows.count() // PACK))
+    points = F.collect_list(F.struct("entity", "cluster", "features"))
+    packs = checkpointed(rows.groupBy(F.pmod(F.xxhash64("entity"), F.lit(count)).cast("int").alias("pack")).agg(points.alias("_r")).select(
+        "pack", F.transform("_r", lambda r: r["entity"]).alias("ids"), F.flatten(F.transform("_r", lambda r: r["features"])).alias("x"),
+        F.transform("_r", lambda r: r["cluster"]).alias("cluster")))
+    left = packs.withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     right = packs.select(F.col("pack").alias("meets"), F.col("ids").alias("other_ids"), F.col("x").alias("other_x"),
                          F.col("cluster").alias("other_cluster"))
     kind = df.schema["entity"].dataType.simpleString()
@@ -196,9 +195,10 @@ def euclidean_silhouette_of(df: DataFrame) -> DataFrame:
     return each.select("entity", "cluster", score.alias("silhouette"))
 
 
-def silhouette(df: DataFrame) -> DataFrame:
-    """One row: the mean silhouette (squared Euclidean), 0 for a single cluster."""
-    return silhouette_of(df).agg(F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("silhouette"))
+def silhouette(df: DataFrame, squared: bool = False) -> DataFrame:
+    """One row: the mean silhouette, 0 for a single cluster. ``squared`` takes the linear form with squared distances."""
+    each = silhouette_of(df) if squared else euclidean_silhouette_of(df)
+    return each.agg(F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("silhouette"))
 
 
 # --- density clusters --------------------------------------------------------------------------
@@ -304,6 +304,105 @@ def dbscan(df: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> D
     return df.select("entity").join(labels, "entity", "left")
 
 
+# --- single linkage ----------------------------------------------------------------------------
+
+_BESIDE = [(i, j) for i in range(-1, 2) for j in range(-1, 2)]
+
+
+def _shortest(radius: float) -> Callable:
+    """Per pair of components in two packs: the shortest edge within the radius, ties by identifiers."""
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                x, y = _matrix(r.x, len(r.ids)), _matrix(r.other_x, len(r.other_ids))
+                far = np.subtract.outer(x[:, 0], y[:, 0]) ** 2 + np.subtract.outer(x[:, 1], y[:, 1]) ** 2
+                own, other = np.asarray(r.comp), np.asarray(r.other_comp)
+                i, j = np.nonzero((far <= radius * radius) & (own[:, None] < other[None, :]))
+                a, b = np.asarray(r.ids)[i], np.asarray(r.other_ids)[j]
+                d = pd.DataFrame({"ca": own[i], "cb": other[j], "d": far[i, j], "a": np.minimum(a, b), "b": np.maximum(a, b)})
+                yield d.sort_values(["d", "a", "b"]).drop_duplicates(["ca", "cb"])
+    return find
+
+
+def _spanning(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The least spanning forest of (ca, cb, d, a, b), in rounds: every component takes its shortest edge.
+
+    Returns its edges and (comp, root) of the components that grew."""
+    best, roots = F.min(F.struct("d", "a", "b", "ca", "cb")), None
+    taken = []
+    while edges.take(1):
+        both = edges.select(F.col("ca").alias("comp"), "*").unionByName(edges.select(F.col("cb").alias("comp"), "*"))
+        round_ = checkpointed(both.groupBy("comp").agg(best.alias("e")).select("e.*").distinct())
+        taken.append(round_.select("d", "a", "b"))
+        grown = components(round_.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "root")
+        roots = grown if roots is None else checkpointed(roots.join(
+            grown.select(F.col("comp").alias("root"), F.col("root").alias("_r")), "root", "left").select(
+            "comp", F.coalesce("_r", "root").alias("root")).unionByName(grown.join(roots, "comp", "left_anti")))
+        for end in ("ca", "cb"):
+            to = grown.select(F.col("comp").alias(end), F.col("root").alias("_r"))
+            edges = edges.join(to, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+        edges = edges.where("ca <> cb").select(
+            F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "d", "a", "b")
+        edges = checkpointed(edges.groupBy("ca", "cb").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("ca", "cb", "e.*"))
+    return (reduce(DataFrame.unionByName, taken) if taken else None), roots
+
+
+def spanning_edges(df: DataFrame, parts: int) -> DataFrame:
+    """(d, a, b): the least spanning forest of two-dimensional points that leaves at most ``parts`` components; ``d`` is the
+    squared length, ties are broken by the identifiers.
+
+    Edges are found within a radius that doubles. Only points in cells with another component beside them are looked at
+    again, so the inside of what has grown together costs nothing.
+    """
+    kind = df.schema["entity"].dataType.simpleString()
+    pts = checkpointed(df.select("entity", "features", F.col("entity").alias("comp")))
+    box = pts.agg(F.count(F.lit(1)).alias("n"), *[f(F.col("features")[i]).alias(f"{m}{i}") for i in (0, 1)
+                                                  for m, f in (("lo", F.min), ("hi", F.max))]).first()
+    forest = df.sparkSession.createDataFrame([], f"d double, a {kind}, b {kind}")
+    if not box["n"]:
+        return forest
+    extent = max(box["hi0"] - box["lo0"], box["hi1"] - box["lo1"])
+    radius = 2 * extent / math.sqrt(box["n"]) or 1.0
+    left = box["n"]
+    while left > parts:
+        cells = pts.withColumns({"cx": F.floor(F.col("features")[0] / radius), "cy": F.floor(F.col("features")[1] / radius)})
+        # cells with more than one component in them or beside them
+        names = cells.groupBy("cx", "cy").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _BESIDE])
+        around = names.withColumn("_o", F.explode(steps)).groupBy(
+            (F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy")).agg(
+            F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 <> c2")
+        packs = checkpointed(_packed(cells.join(around, ["cx", "cy"], "left_semi"), ["cx", "cy"], ["comp"]))
+        beside = packs.withColumn("_o", F.explode(steps)).select(
+            (F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy"), F.col("ids").alias("other_ids"),
+            F.col("x").alias("other_x"), F.col("comp").alias("other_comp"))
+        found = packs.join(beside, ["cx", "cy"]).mapInPandas(_shortest(radius), f"ca {kind}, cb {kind}, d double, a {kind}, b {kind}")
+        found = checkpointed(found.groupBy("ca", "cb").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("ca", "cb", "e.*"))
+        edges, roots = _spanning(found)
+        if edges is not None:
+            forest = checkpointed(forest.unionByName(edges))
+            pts = checkpointed(pts.join(roots, "comp", "left").select("entity", "features", F.coalesce("root", "comp").alias("comp")))
+            left = pts.agg(F.count_distinct("comp")).first()[0]
+        radius *= 2
+    return forest
+
+
+def hierarchical(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Single linkage of two-dimensional points, cut into ``k`` clusters named by their least entity.
+
+    The clusters are what is left of the least spanning tree without its ``k - 1`` longest edges.
+    """
+    df = checkpointed(df)
+    parts, n = k or N_CLUSTERS, df.count()
+    forest = checkpointed(spanning_edges(df, parts))
+    spare = parts - (n - forest.count())  # a forest of fewer parts loses its longest edges
+    if n and spare > 0:
+        longest = forest.orderBy(F.col("d").desc(), F.col("a").desc(), F.col("b").desc()).limit(spare)
+        forest = forest.join(longest, ["d", "a", "b"], "left_anti")
+    roots = components(forest.select("a", "b")).select(F.col("node").alias("entity"), "root")
+    return df.join(roots, "entity", "left").withColumn("cluster", F.coalesce("root", "entity").cast("string")).drop("root")
+
+
 # --- choices -----------------------------------------------------------------------------------
 
 def pick_clustering(df: DataFrame, k: int | None = None, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> tuple[DataFrame, dict]:

@@ -79,11 +79,12 @@ def m2_rules(spark, sf):
                  F.count_if(own > F.least(*far.values()) * 1.05 + 1e-3).alias("nearer_to_another"))
 
 
-_DIST = """pts AS (SELECT entity, cluster, CAST(embedding AS DOUBLE[]) AS e FROM points),
-  d AS (SELECT a.entity, a.cluster AS own, b.cluster, sum(list_distance(a.e, b.e) ** 2) AS total, count(*) AS n FROM pts a, pts b GROUP BY ALL),
+_DIST_FORM = """pts AS (SELECT entity, cluster, CAST(embedding AS DOUBLE[]) AS e FROM points),
+  d AS (SELECT a.entity, a.cluster AS own, b.cluster, sum(list_distance(a.e, b.e){power}) AS total, count(*) AS n FROM pts a, pts b GROUP BY ALL),
   ab AS (SELECT entity, own, max(CASE WHEN own = cluster THEN n END) AS k, max(CASE WHEN own = cluster AND n > 1 THEN total / (n - 1) END) AS a,
   min(CASE WHEN own <> cluster THEN total / n END) AS b FROM d GROUP BY ALL),
   s AS (SELECT entity, CAST(own AS VARCHAR) AS cluster, CASE WHEN k > 1 THEN (b - a) / greatest(a, b) ELSE 0 END AS s FROM ab)"""
+_DIST, _SQUARED = _DIST_FORM.format(power=""), _DIST_FORM.format(power=" ** 2")
 
 
 @query("m3_silhouette", using("points", f"SELECT {r('avg(s)', 5)} AS silhouette FROM s", _DIST))
@@ -93,12 +94,20 @@ def m3(spark, sf):
 
 @query("m3_silhouette_each", using("points", f"SELECT entity, cluster, {r('s', 5)} AS silhouette FROM s", _DIST))
 def m3_each(spark, sf):
+    return C.euclidean_silhouette_of(features(spark, sf)).select("entity", "cluster", rnd("silhouette", 5).alias("silhouette"))
+
+
+@query("m3_silhouette_squared", using("points", f"SELECT entity, cluster, {r('s', 5)} AS silhouette FROM s", _SQUARED))
+def m3_squared(spark, sf):
     return C.silhouette_of(features(spark, sf)).select("entity", "cluster", rnd("silhouette", 5).alias("silhouette"))
 
 
+_PLANE = "pt AS (SELECT entity, " + ", ".join(f"round(list_inner_product(CAST(embedding AS DOUBLE[]), {_directions(k)}::DOUBLE[]), 9) AS {n}" for n, k in (("x", 1), ("y", 3))) + " FROM points)"
+
+
 @query("m4_dbscan", using("points", """SELECT p.entity, CASE WHEN c.root IS NOT NULL AND EXISTS (SELECT 1 FROM near n WHERE n.a = p.entity AND n.b <> p.entity) THEN CAST(c.root AS VARCHAR) END AS cluster
   FROM pt p LEFT JOIN (SELECT a, min(b) AS root FROM reach GROUP BY a) c ON c.a = p.entity""",
-  "pt AS (SELECT entity, " + ", ".join(f"round(list_inner_product(CAST(embedding AS DOUBLE[]), {_directions(k)}::DOUBLE[]), 9) AS {n}" for n, k in (("x", 1), ("y", 3))) + " FROM points)",
+  _PLANE,
   "near AS (SELECT a.entity AS a, b.entity AS b FROM pt a JOIN pt b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.5)",
   "reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)", recursive=True))
 def m4(spark, sf):
@@ -111,9 +120,18 @@ def m5(spark, sf):
     return best.select("entity", "cluster", F.lit(report["chosen"]).alias("method"), rnd(F.lit(report["score"])).alias("score"))
 
 
-@query("m6_hierarchical")
+# edges that no third point is nearer to both ends of hold the least spanning tree; joined in order of length until four parts are left
+@query("m6_hierarchical", using("points", """SELECT entity, CAST(labels[i] AS VARCHAR) AS cluster FROM num, (SELECT labels FROM joined WHERE merges = (SELECT count(*) FROM pt) - 4 LIMIT 1)""",
+  _PLANE, "num AS (SELECT entity, row_number() OVER (ORDER BY entity) AS i FROM pt)",
+  "dist AS MATERIALIZED (SELECT a.entity AS a, b.entity AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM pt a JOIN pt b ON a.entity <> b.entity)",
+  """lean AS (SELECT * FROM dist e WHERE a < b AND NOT EXISTS (SELECT 1 FROM dist p JOIN dist q ON q.a = e.b AND q.b = p.b WHERE p.a = e.a AND p.d < e.d AND q.d < e.d))""",
+  "edges AS MATERIALIZED (SELECT x.i AS i, y.i AS j, row_number() OVER (ORDER BY d, a, b) AS k FROM lean JOIN num x ON x.entity = a JOIN num y ON y.entity = b)",
+  """joined AS (SELECT 0 AS k, 0 AS merges, (SELECT list(entity ORDER BY i) FROM num) AS labels UNION ALL
+  SELECT e.k, merges + CASE WHEN labels[e.i] <> labels[e.j] THEN 1 ELSE 0 END,
+  list_transform(labels, lambda l: CASE WHEN l = greatest(labels[e.i], labels[e.j]) THEN least(labels[e.i], labels[e.j]) ELSE l END)
+  FROM joined s JOIN edges e ON e.k = s.k + 1 WHERE merges < (SELECT count(*) FROM pt) - 4)""", recursive=True))
 def m6(spark, sf):
-    return C.hierarchical(C.as_points(C.pca(features(spark, sf)))).select("entity", "cluster")
+    return C.hierarchical(plane(spark, sf)).select("entity", "cluster")
 
 
 @query("m7_pick_reduction")

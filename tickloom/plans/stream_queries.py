@@ -12,6 +12,9 @@ from tickloom.session import scratch_path
 from tickloom.streaming import ingest, live
 
 TICKS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+KEPT = "ticker string, ts timestamp, close double"
+
+
 def hour():
     return F.date_format("ts", "yyyy-MM-dd HH").alias("h")
 
@@ -66,8 +69,8 @@ _KEPT = "kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticke
 @query("z2_keep_last", using("bars_hour", f"SELECT ticker, strftime(ts, '%Y-%m-%d %H') AS h, {r('close')} AS close FROM kept", CLOSED, _KEPT))
 def z2(spark, sf):
     path = scratch_path(spark, "kept")
-    tick_batches(spark, sf, live.live_bars, live.keep_last(spark, path))
-    return live.Snapshots(spark, path).latest().select("ticker", hour(), rnd("close").alias("close"))
+    tick_batches(spark, sf, live.live_bars, live.keep_last(path))
+    return spark.read.schema(KEPT).parquet(path).select("ticker", hour(), rnd("close").alias("close"))
 
 
 W = "OVER (PARTITION BY ticker ORDER BY ts)"
@@ -86,10 +89,8 @@ _LIVE = [CLOSED, _KEPT, f"dx AS (SELECT *, close - lag(close) {W} AS dx FROM kep
   {r('ma_50')} AS ma_50, {r('ma_200')} AS ma_200 FROM ind""", *_LIVE))
 def z3(spark, sf):
     kept, out = scratch_path(spark, "kept"), scratch_path(spark, "indicators")
-    tick_batches(spark, sf, live.live_bars, live.live_indicators(spark, kept, out))
-    inside = live.Snapshots(spark, kept).latest().select("ticker", "ts")
-    d = live.read_log(spark, out, ["ticker", "ts"]).join(inside, ["ticker", "ts"], "left_semi")
-    return d.select("ticker", hour(), *rounded(["rsi", "ma_50", "ma_200"]))
+    tick_batches(spark, sf, live.live_bars, live.live_indicators(kept, out))
+    return spark.read.schema(f"{KEPT}, rsi double, ma_50 double, ma_200 double").parquet(out).select("ticker", hour(), *rounded(["rsi", "ma_50", "ma_200"]))
 
 
 @query("z4_incremental_load", using("ticks", f"SELECT ticker, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, {r('sum(price)', 2)} AS total FROM ticks GROUP BY ALL"))
@@ -120,7 +121,22 @@ def z6(spark, sf):
     e = steps(spark, sf).select("trace_id", F.col("start_time").alias("ts"), F.lit(10).alias("total_steps"))
     e.repartitionByRange(3, "ts").write.parquet(source)
     events = live.read_stream(spark, source, "trace_id bigint, ts timestamp, total_steps int", files_per_batch=1)
-    live.run_batches(ingest.run_progress(events), ingest.keep_progress(path), mode="update")
-    d = ingest.progress_numbers(live.read_log(spark, path, ["trace_id"]))
+    live.run_batches(ingest.run_progress(events, "4000 days"), ingest.keep_progress(path), mode="update")
+    d = ingest.progress_numbers(spark.read.parquet(path))
     return d.select("trace_id", "steps_done", rnd("progress").alias("progress"), rnd("rate", 8).alias("rate"),
                     rnd("seconds_left", 2).alias("seconds_left"))
+
+
+@query("z1_candles", using("bars_hour", f"SELECT ticker, strftime(ts, '%Y-%m-%d %H') AS h, {r_all(OHLC)} FROM bars_hour"))
+def z1_candles(spark, sf):
+    """The hourly bars as candle messages, each first open with another close and then closed, kept by start."""
+    from tickloom.plans.views import bars_hour
+    source, path = scratch_path(spark, "candles"), scratch_path(spark, "bars")
+    closed = F.explode(F.array(F.lit(False), F.lit(True))).alias("x")
+    text = [F.col(c).cast("string").alias(c[0]) for c in OHLC]
+    bars = bars_hour(spark, sf).select("ticker", "ts", *OHLC, closed)
+    bars.select(F.to_json(F.struct(F.struct(F.unix_millis("ts").alias("t"), *text, F.col("x"), F.col("ticker").alias("s")).alias("k"))).alias(
+        "value")).write.parquet(source)
+    live.run_batches(live.candles(live.read_stream(spark, source, "value string")), live.keep_last(path, 1_000_000))
+    return spark.read.schema("ticker string, ts timestamp, open double, high double, low double, close double").parquet(path).select(
+        "ticker", hour(), *rounded(OHLC))

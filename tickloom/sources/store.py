@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.tickers import base_symbol
 from tickloom.operators.core import Keys, key_list, newest_by
-from tickloom.session import scratch_path
+from tickloom.session import checkpointed
 
 
 def scan_bars(df: DataFrame, tickers: Sequence[str] | None = None, source: str | None = None,
@@ -62,39 +62,45 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def write_upsert(new: DataFrame, path: str, keys: Keys, order: Sequence[str] = (),
-                 partitions: Sequence[str] = (), files: int = 8) -> None:
+def _put(spark: SparkSession, staged: str, path: str, names: Sequence[str], partitions: Sequence[str], files: int) -> None:
+    """The staged rows into the table, then the staged copy away."""
+    merged = spark.read.parquet(staged)
+    split = F.pmod(F.xxhash64(*names), F.lit(files))
+    w = merged.repartition(*partitions, split).write if partitions else merged.write
+    w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (w.partitionBy(*partitions) if partitions else w).parquet(path)
+    remove(spark, staged)
+
+
+def write_upsert(new: DataFrame, path: str, keys: Keys, order: Sequence[str] = (), partitions: Sequence[str] = (),
+                 files: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Upserts into a Parquet table; with ``partitions`` only those that receive rows are rewritten.
 
-    The partition columns must follow from the keys, so that a key never changes its partition.
+    The partition columns must follow from the keys, so that a key never changes its partition. ``keep`` picks the rows
+    that stay in the rewritten partitions (of each partition, at least one).
 
-    The merged rows go to a scratch table first, since a table cannot be overwritten while it is
-    read, and is removed when it has been read. The new rows are computed once. Running the same batch
-    again gives the same table. A partition is written by up to ``files`` tasks, split by the key.
+    The merged rows go to a copy beside the table first (``<path>.staged``), since a table cannot be overwritten while it is
+    read. A writer that dies before the copy is complete has changed nothing; one that dies later leaves the complete copy,
+    and the next writer puts it into the table before its own rows. Running the same batch again gives the same table. A
+    partition is written by up to ``files`` tasks, split by the key; by default as many as a shuffle has.
     """
     spark = new.sparkSession
-    names = key_list(keys)
-    arrived = scratch_path(spark, "arrived")
-    new.write.parquet(arrived)
-    new = spark.read.schema(new.schema).parquet(arrived)
-    empty = new.limit(0)
-    if exists(spark, path):
-        old = spark.read.schema(new.schema).parquet(path)
-        if partitions:
-            touched = new.select(*partitions).distinct()
-            old = old.join(touched, list(partitions), "left_semi")
-        old = old.select(*new.columns)
-    else:
-        old = empty
-    staged = scratch_path(spark, "upsert")
-    upsert(old, new, names, order).write.parquet(staged)
-    merged = spark.read.schema(new.schema).parquet(staged)
-    split = F.pmod(F.xxhash64(*names), F.lit(files))
-    w = merged.repartition(*partitions, split).write if partitions else merged.write
-    w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (w.partitionBy(*partitions) if partitions else w).parquet(path)
+    names, staged = key_list(keys), f"{path.rstrip('/')}.staged"
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if exists(spark, f"{staged}/_SUCCESS"):
+        _put(spark, staged, path, names, partitions, files)
     remove(spark, staged)
-    remove(spark, arrived)
+    if partitions and exists(spark, path):
+        new = checkpointed(new)  # read twice
+        touched = new.select(*partitions).distinct()
+        old = spark.read.schema(new.schema).parquet(path).join(touched, list(partitions), "left_semi")
+        merged = upsert(old.select(*new.columns), new, names, order)
+    elif exists(spark, path):
+        merged = upsert(spark.read.schema(new.schema).parquet(path).select(*new.columns), new, names, order)
+    else:
+        merged = keep_last(new, keys=names, order=order)
+    (keep(merged) if keep else merged).write.parquet(staged)
+    _put(spark, staged, path, names, partitions, files)
 
 
 def read_result(df: DataFrame, filters: Mapping[str, object] | None = None, newest: str | None = None,

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, TICKER_KEYWORDS
 from tickloom.operators.news import scored, tagged
 from tickloom.sources.store import write_upsert
-from tickloom.streaming.live import log_batch
 
 
 def upsert_into(path: str, keys: Sequence[str], order: Sequence[str] = (), partitions: Sequence[str] = ()) -> Callable:
@@ -31,11 +32,40 @@ def news_stream(items: DataFrame, delay: str = "7 days", lexicon: Mapping[str, S
     return scored(tagged(first_seen(items, ["link"], "published", delay), lexicon), positive, negative)
 
 
-def run_progress(events: DataFrame) -> DataFrame:
-    """Steps done and the times of the first and last event per run; use update mode on a stream."""
-    return events.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("steps_done"), F.max("total_steps").alias("total_steps"),
-        F.min("ts").alias("started"), F.max("ts").alias("last_event"))
+def run_progress(events: DataFrame, delay: str = "1 hour", late: str = "0 seconds") -> DataFrame:
+    """Steps done and the times of the first and last event per run, again whenever it changed; use update mode.
+
+    The state of a run is one row. It ends with its last step, or when the watermark (the newest event less ``late``) has
+    passed its last event by ``delay``; the row says so, and the state is released. A step that comes later opens the run anew.
+    """
+    patience = events.sparkSession.sql(f"SELECT CAST(INTERVAL {delay} AS INTERVAL SECOND)").first()[0]
+    wait = int(patience.total_seconds() * 1000)
+
+    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, total, first, last = state.get if state.exists else (0, None, None, None)
+        if not state.hasTimedOut:
+            for f in frames:
+                done += len(f)
+                totals = f["total_steps"].dropna()
+                total = max([t for t in (total, int(totals.max()) if len(totals) else None) if t is not None], default=None)
+                at = [int(f["micros"].min()), int(f["micros"].max())]
+                first, last = (min(first, at[0]), max(last, at[1])) if first is not None else at
+        closed = state.hasTimedOut or (total is not None and done >= total)
+        if closed:
+            state.remove()
+        else:
+            state.update((done, total, first, last))
+            state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"trace_id": [key[0]], "steps_done": [done], "total_steps": pd.array([total], "Int32"),
+                            "first": [first], "last": [last], "closed": [closed]})
+
+    rows = events.withWatermark("ts", late).where("ts is not null").select(
+        "trace_id", "total_steps", "ts", F.unix_micros("ts").alias("micros"))
+    found = rows.groupBy("trace_id").applyInPandasWithState(
+        update, "trace_id bigint, steps_done bigint, total_steps int, first bigint, last bigint, closed boolean",
+        "done bigint, total int, first bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    return found.select("trace_id", "steps_done", "total_steps", F.timestamp_micros("first").alias("started"),
+                        F.timestamp_micros("last").alias("last_event"), "closed")
 
 
 def progress_numbers(progress: DataFrame) -> DataFrame:
@@ -49,8 +79,9 @@ def progress_numbers(progress: DataFrame) -> DataFrame:
     return d.withColumn("seconds_left", F.coalesce(left, F.lit(0.0)))
 
 
-def keep_progress(path: str) -> Callable:
-    """A batch handler for update mode: logs the runs that changed, see ``read_log`` by trace_id."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        log_batch(batch, path, batch_id)
+def keep_progress(path: str, parts: int = 8) -> Callable:
+    """A batch handler for update mode: the newest row of every run, in a table of ``parts`` partitions of runs."""
+    def handle(batch: DataFrame, _: int) -> None:
+        rows = batch.withColumn("part", F.pmod(F.xxhash64("trace_id"), F.lit(parts)).cast("int"))
+        write_upsert(rows, path, ["trace_id"], ["steps_done", "closed"], ["part"], files=1)
     return handle

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.dates import bar_start, interval_seconds
-from tickloom.operators.core import latest_n, newest_by, run_steps
+from tickloom.operators.core import latest_n, run_steps
 from tickloom.operators.series import macd_step, rsi_step, sma_step
 from tickloom.session import scratch_path
-from tickloom.sources.store import exists, upsert
+from tickloom.sources.store import write_upsert
 
 KEPT_BARS = 200  # fixed value: bars kept per ticker
 CALENDAR_BARS = {"1mo": "31 days"}  # units without a fixed length, and how long they stay open
@@ -62,62 +62,11 @@ def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str
     q.awaitTermination()
 
 
-class Snapshots:
-    """A small keyed table as one folder per batch.
-
-    Batch n is written from the newest complete folder below n, so replaying a batch rewrites the
-    same folder with the same rows, and a failed write leaves the folder before it in place. Folders
-    more than ``KEPT_FOLDERS`` batches old are removed.
-    """
-
-    KEPT_FOLDERS = 10
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _folder(self, batch: int) -> str:
-        return f"{self.path}/batch={batch}"
-
-    def _file_system(self):
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), fs_path
-
-    def _batches(self) -> list[int]:
-        fs, fs_path = self._file_system()
-        if not fs.exists(fs_path):
-            return []
-        return [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path)]
-
-    def latest(self, below: int | None = None) -> DataFrame | None:
-        done = [i for i in self._batches() if (below is None or i < below) and exists(self.spark, f"{self._folder(i)}/_SUCCESS")]
-        return self.spark.read.parquet(self._folder(max(done))) if done else None
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(self._folder(batch))
-        fs, _ = self._file_system()
-        for old in self._batches():
-            if old <= batch - self.KEPT_FOLDERS:
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(old)), True)
-
-
-def log_batch(df: DataFrame, path: str, batch: int) -> None:
-    """The changed rows of a batch in a folder of their own; a replay overwrites it with the same rows."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
-
-
-def read_log(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The newest row per key over all logged batches."""
-    return newest_by(spark.read.parquet(path), keys, [F.col("batch")]).drop("batch")
-
-
-def keep_last(spark: SparkSession, path: str, n: int = KEPT_BARS, by: Sequence[str] = ("ticker",), ts: str = "ts") -> Callable:
-    """A batch handler that keeps the newest ``n`` bars per key; a newer bar replaces an equal start."""
-    table = Snapshots(spark, path)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        old = table.latest(below=batch_id)
-        merged = batch if old is None else upsert(old, batch, [*by, ts])
-        table.write(latest_n(merged, n, by, ts).drop("age"), batch_id)
+def keep_last(path: str, n: int = KEPT_BARS, by: Sequence[str] = ("ticker",), ts: str = "ts") -> Callable:
+    """A batch handler that keeps the newest ``n`` bars per key in a table partitioned by the key; a newer bar replaces an
+    equal start. Only keys of the batch are rewritten, and a batch that comes twice changes nothing."""
+    def handle(batch: DataFrame, _: int) -> None:
+        write_upsert(batch, path, [*by, ts], partitions=by, files=1, keep=lambda d: latest_n(d, n, by, ts).drop("age"))
     return handle
 
 
@@ -127,15 +76,27 @@ def indicators(bars: DataFrame, every: str = "1h") -> DataFrame:
                             sma_step("close", 50, "ma_50"), sma_step("close", 200, "ma_200")], every=every)
 
 
-def live_indicators(spark: SparkSession, kept_path: str, log_path: str, every: str = "1h", n: int = KEPT_BARS) -> Callable:
-    """A batch handler that updates the kept bars, then logs the indicators of the tickers in the batch.
-
-    ``read_log(spark, log_path, ["ticker", "ts"])`` gives the newest value of every bar.
-    """
-    keep, kept = keep_last(spark, kept_path, n), Snapshots(spark, kept_path)
+def live_indicators(kept_path: str, path: str, every: str = "1h", n: int = KEPT_BARS) -> Callable:
+    """A batch handler that updates the kept bars, then the indicators of the kept bars of the batch's tickers."""
+    keep = keep_last(kept_path, n)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         keep(batch, batch_id)
-        touched = kept.latest(below=batch_id + 1).join(batch.select("ticker").distinct(), "ticker", "left_semi")
-        log_batch(indicators(touched, every), log_path, batch_id)
+        if not batch.isEmpty():
+            kept = batch.sparkSession.read.schema(batch.schema).parquet(kept_path)
+            touched = kept.join(batch.select("ticker").distinct(), "ticker", "left_semi")
+            keep_indicators(indicators(touched, every), batch_id)
+    keep_indicators = keep_last(path, n)
     return handle
+
+
+CANDLE = "struct<k:struct<t:bigint,o:string,h:string,l:string,c:string,v:string,x:boolean,s:string>>"
+
+
+def candles(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Closed bars from candle messages as the exchange sends them; open candles and broken messages are left out."""
+    k = F.from_json(F.col(column), CANDLE)["k"]
+    number = {n: F.col(f"_k.{c}").try_cast("double").alias(n) for n, c in
+              (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"), ("volume", "v"))}
+    return messages.select(k.alias("_k")).where("_k.x and _k.t is not null and _k.s is not null").select(
+        F.col("_k.s").alias("ticker"), F.timestamp_millis("_k.t").alias("ts"), *number.values())
