@@ -111,6 +111,94 @@ def seasonal_ar_fit(df: DataFrame, col: str = "close", **key) -> DataFrame:
     return ar_fit(df, col, SEASONAL_LAGS, 1, SEASON, **key)
 
 
+# --- moving-average terms ----------------------------------------------------------------------
+
+MA_LAGS = [1, 12, 13]    # a regular and a seasonal term, and their product
+LONG_LAGS = [1, 2, 3, 12, 13, 14]
+
+
+def arma_fit(df: DataFrame, col: str = "close", lags: Sequence[int] = SEASONAL_LAGS, ma_lags: Sequence[int] = MA_LAGS,
+             d: int = 1, season: int | None = SEASON, long_lags: Sequence[int] = LONG_LAGS, by: Keys = "ticker",
+             ts: str = "ts", every: str = "1d") -> DataFrame:
+    """Autoregression with moving-average terms of the differenced series, by regression in two stages.
+
+    A long autoregression gives the shocks (what it does not predict); then the series is regressed on its own lags and
+    on lags of the shocks. Both stages are sums per key. Returns per key: ``n`` equations, ``coef`` (lags, then shocks),
+    ``sigma2``, ``recur`` (the weights of the undifferenced past), and the newest values and shocks as ``ys`` and ``es``, oldest first.
+    """
+    keys, lags, ma_lags = key_list(by), list(lags), list(ma_lags)
+    memory = max(long_lags) + d + (season or 0)
+    rows = run_steps(df.select(*keys, ts, col), [_differenced(col, lags, d, season)], keys, ts, every)
+    rows = ar_onestep(ar_fit(df, col, long_lags, d, season, by, ts, every), rows, memory, col, by, ts, every)
+    rows = checkpointed(rows.withColumn("_e", F.col(col) - F.col("predicted")).drop("predicted"))
+
+    def shocks(frame: DataFrame, p: Piece) -> DataFrame:
+        return frame.withColumns({f"_x{len(lags) + i}": F.lag("_e", lag).over(p.order) for i, lag in enumerate(ma_lags)})
+
+    x = [f"_x{i}" for i in range(len(lags) + len(ma_lags))]
+    used = run_steps(rows, [Step(max(ma_lags), shocks)], keys, ts, every).na.drop(subset=["_w", *x])
+    sums = used.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(x) for b in x[i:]]).alias("xx"),
+        F.array(*[F.sum(F.col(a) * F.col("_w")) for a in x]).alias("xw"),
+        F.sum(F.col("_w") * F.col("_w")).alias("ww")).where(F.col("n") > len(x))
+    newest = max(max(lags) + d + (season or 0), max(ma_lags))
+    tails = latest_n(rows, newest, keys, ts).groupBy(*keys).agg(F.max(ts).alias("last"), F.array_sort(
+        F.collect_list(F.struct(F.col(ts).alias("t"), F.col(col).alias("y"), F.col("_e").alias("e")))).alias("_tail"))
+    tails = tails.select(*keys, "last", F.transform("_tail", lambda p: p["y"]).alias("ys"), F.transform("_tail", lambda p: p["e"]).alias("es"))
+    p, at, poly = len(x), np.triu_indices(len(x)), _difference_polynomial(d, season)
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            coef, recur, sigma2 = [], [], []
+            for xx, xw, ww, n in zip(pdf["xx"], pdf["xw"], pdf["ww"], pdf["n"]):
+                gram = np.zeros((p, p))
+                gram[at] = xx
+                gram = gram + np.triu(gram, 1).T
+                b = np.asarray(xw, dtype=float)
+                c = np.linalg.lstsq(gram, b, rcond=None)[0]
+                ar = np.zeros(max(lags) + 1)
+                ar[0], ar[lags] = 1.0, -c[:len(lags)]
+                coef.append(c.tolist())
+                recur.append((-np.convolve(ar, poly)[1:]).tolist())
+                sigma2.append(max(float(ww - c @ b), 0.0) / n)
+            yield pdf[[*keys, "n"]].assign(coef=coef, recur=recur, sigma2=sigma2)
+
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[sums.schema[k] for k in keys], T.StructField("n", T.LongType()), T.StructField("coef", numbers),
+                           T.StructField("recur", numbers), T.StructField("sigma2", T.DoubleType())])
+    return sums.mapInPandas(solve, schema).join(tails, keys)
+
+
+def arma_forecast(fit: DataFrame, h: int, ma_lags: Sequence[int] = MA_LAGS, model: str = "seasonal_arma",
+                  by: Keys = "ticker", ts: str = "ts", every: str = "1d") -> DataFrame:
+    """Mean and 95 % bounds for the next ``h`` bars of ``arma_fit``; shocks to come are 0 in the mean."""
+    keys, ma_lags = key_list(by), list(ma_lags)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                recur, theta = np.asarray(r.recur), dict(zip(ma_lags, r.coef[len(r.coef) - len(ma_lags):]))
+                if len(r.ys) < len(recur):
+                    continue
+                y, psi = list(r.ys), [1.0]
+                for s in range(1, h + 1):
+                    known = sum(t * r.es[s - 1 - lag] for lag, t in theta.items() if lag >= s)
+                    y.append(float(recur @ np.asarray(y[-len(recur):])[::-1]) + known)
+                    psi.append(float(sum(w * psi[s - 1 - i] for i, w in enumerate(recur[:s]))) + theta.get(s, 0.0))
+                spread = Z95 * np.sqrt(r.sigma2 * np.cumsum(np.square(psi[:h])))
+                named = [getattr(r, k) for k in keys]
+                out += [(*named, s + 1, r.last, y[len(r.ys) + s], float(spread[s])) for s in range(h)]
+            yield pd.DataFrame(out, columns=[*keys, "step", "last", "forecast", "spread"])
+
+    schema = T.StructType([*[fit.schema[k] for k in keys], T.StructField("step", T.IntegerType()), fit.schema["last"],
+                           T.StructField("forecast", T.DoubleType()), T.StructField("spread", T.DoubleType())])
+    d = fit.mapInPandas(run, schema)
+    return d.select(*keys, F.lit(model).alias("model"), "step", bars_ahead(F.col("last"), F.col("step"), every).alias(ts), "forecast",
+                    (F.col("forecast") - F.col("spread")).alias("lower"), (F.col("forecast") + F.col("spread")).alias("upper"))
+
+
 def _continue(start: Column, weights: Column, steps: int) -> Column:
     """``start`` extended by ``steps`` values, each the weighted sum of the newest ones before it."""
     def step(acc: Column, _: Column) -> Column:

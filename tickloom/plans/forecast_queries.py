@@ -96,12 +96,32 @@ def m16_two(spark, sf):
 
 @query("m17_seasonal_ar")
 def m17(spark, sf):
-    b = bars_month(spark, sf)
-    fit = M.seasonal_ar_fit(b, every="1mo")
-    f = M.ar_forecast(fit, b, 12, model="seasonal_ar", every="1mo", memory=26)
+    b = bars_day(spark, sf)
+    f = M.ar_forecast(M.seasonal_ar_fit(b), b, 12, model="seasonal_ar", memory=26)
+    return f.select("ticker", "model", "step", *rounded(["forecast", "lower", "upper"], 3))
+
+
+@query("m17_seasonal_arma_forecast")
+def m17_arma_forecast(spark, sf):
+    f = M.arma_forecast(M.arma_fit(bars_day(spark, sf)), 12)
     return f.select("ticker", "model", "step", *rounded(["forecast", "lower", "upper"], 3))
 
 
+# seasonal differences, a long fit of two lags for the shocks, then one lag and one shock in closed form
+@query("m17_seasonal_arma", using("bars_day", f"""SELECT ticker, n, {r('p', 6)} AS phi, {r('t', 6)} AS theta, {r('(ww - p * aw - t * ew) / n', 0)} AS sigma2 FROM
+  (SELECT *, (aw * ee - ew * ae) / (aa * ee - ae * ae) AS p, (ew * aa - aw * ae) / (aa * ee - ae * ae) AS t FROM
+  (SELECT ticker, count(*) AS n, sum(a * a) AS aa, sum(a * e1) AS ae, sum(e1 * e1) AS ee, sum(a * w) AS aw, sum(e1 * w) AS ew, sum(w * w) AS ww
+  FROM (SELECT *, lag(e) {W} AS e1 FROM shock) WHERE e1 IS NOT NULL GROUP BY ticker))""",
+  f"s0 AS (SELECT ticker, ts, close - lag(close) {W} - lag(close, 12) {W} + lag(close, 13) {W} AS w FROM bars_day)",
+  f"s1 AS (SELECT *, lag(w) {W} AS a, lag(w, 2) {W} AS b FROM s0)",
+  "g AS (SELECT ticker, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * w) AS aw, sum(b * w) AS bw FROM s1 WHERE b IS NOT NULL GROUP BY ticker)",
+  """shock AS (SELECT ticker, ts, w, a, w - a * (aw * bb - bw * ab) / (aa * bb - ab * ab) - b * (bw * aa - aw * ab) / (aa * bb - ab * ab) AS e
+  FROM (SELECT s1.ticker, ts, w, a, b FROM s1 WHERE b IS NOT NULL) JOIN g USING (ticker))"""))
+def m17_arma(spark, sf):
+    f = M.arma_fit(bars_day(spark, sf), lags=[1], ma_lags=[1], long_lags=[1, 2])
+    return f.select("ticker", "n", rnd(F.col("coef")[0], 6).alias("phi"), rnd(F.col("coef")[1], 6).alias("theta"), rnd("sigma2", 0).alias("sigma2"))
+
+
 TREES, DEPTH, ROUNDS, ROUND_DEPTH, HORIZON = 8, 4, 4, 2, 12
 
 
