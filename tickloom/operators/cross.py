@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from tickloom.functions.numeric import finite
 from tickloom.functions.tickers import variants
 from tickloom.operators.core import Keys, key_list, newest_by, spread_lists
 from tickloom.operators.series import pct_change
+from tickloom.session import checkpointed
+
+BLOCK = 256  # tickers of one side of a block of products
+
 
 def common_range(df: DataFrame, tickers: Sequence[str], ts: str = "ts") -> DataFrame:
     """One row: the time from which and until which all the tickers have bars."""
@@ -23,8 +29,8 @@ def common_range(df: DataFrame, tickers: Sequence[str], ts: str = "ts") -> DataF
 def _complete(df: DataFrame, tickers: Sequence[str], col: str, ts: str) -> DataFrame:
     """(ts, values): the values of the tickers, in order, at times at which every one has a value."""
     names = list(dict.fromkeys(tickers))
-    place = F.array_position(F.array(*[F.lit(t) for t in names]), F.col("ticker"))
-    known = df.where(F.col("ticker").isin(*names) & F.col(col).isNotNull()).select(ts, place.alias("_k"), F.col(col).cast("double").alias("_v"))
+    place = df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(names, 1)], "ticker string, _k int")  # as long as the request
+    known = df.where(F.col(col).isNotNull()).join(F.broadcast(place), "ticker").select(ts, "_k", F.col(col).cast("double").alias("_v"))
     one = known.groupBy(ts, "_k").agg(F.first("_v").alias("_v"))
     rows = one.groupBy(ts).agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_r"))  # one entry per ticker at most
     return rows.where(F.size("_r") == len(names)).select(ts, F.transform("_r", lambda x: x["_v"]).alias("values"))
@@ -36,30 +42,65 @@ def align(df: DataFrame, tickers: Sequence[str], col: str = "close", ts: str = "
     return _complete(df, names, col, ts).select(ts, *[F.col("values")[i].alias(t) for i, t in enumerate(names)])
 
 
-def correlations(df: DataFrame, tickers: Sequence[str], col: str = "close", ts: str = "ts", digits: int = 4) -> DataFrame:
+def _products(block: int) -> Callable:
+    """Sums of products of two blocks of tickers over the rows of a task, as (i, j, s) with i at most j."""
+    def cells(held: dict) -> Iterator[pa.RecordBatch]:
+        for (bi, bj), m in held.items():
+            i, j = np.divmod(np.arange(m.size), m.shape[1])
+            i, j = i + bi * block, j + bj * block
+            once = i <= j
+            yield pa.RecordBatch.from_arrays([pa.array(i[once], pa.int32()), pa.array(j[once], pa.int32()), pa.array(m.ravel()[once])],
+                                             names=["i", "j", "s"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            bi, bj = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cut = np.flatnonzero(np.diff(bi) | np.diff(bj)) + 1
+            for lo, hi in zip(np.r_[0, cut], np.r_[cut, b.num_rows]):
+                if lo == hi:
+                    continue
+                key = int(bi[lo]), int(bj[lo])
+                x, y = (b.column(c).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1) for c in (2, 3))
+                if key not in held and len(held) > 3:  # blocks arrive in order, so few are open
+                    yield from cells(held)
+                    held = {}
+                held[key] = held[key] + x.T @ y if key in held else x.T @ y
+        yield from cells(held)
+    return multiply
+
+
+def correlations(df: DataFrame, tickers: Sequence[str], col: str = "close", ts: str = "ts", digits: int = 4,
+                 block: int = BLOCK) -> DataFrame:
     """Pearson correlation of each pair once, t1 before t2 in the order given, and of each ticker with itself.
 
-    Sums of products over complete rows: every row gives its products per ticker as one array, and the arrays are added up
-    where the rows are. Values are taken relative to the ticker's mean, so large levels lose no digits. A flat series has
-    no correlation, with itself neither; without complete rows there are no cells. The cells stay distributed.
+    Sums of products over complete rows, block by block: a task multiplies the vectors of two blocks of at most ``block``
+    tickers over its share of the rows, so no row becomes a row for each pair. Values are taken relative to the ticker's
+    mean, so large levels lose no digits. A flat series has no correlation, with itself neither; without complete rows
+    there are no cells. The cells stay distributed.
     """
     names = list(dict.fromkeys(tickers))
-    rows = _complete(df, names, col, ts)
+    rows = checkpointed(_complete(df, names, col, ts))
     means = {r["k"]: r["m"] for r in rows.select(F.posexplode("values").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m")).collect()}
     centre = F.array(*[F.lit(means.get(i, 0.0)) for i in range(len(names))])  # one number per ticker asked for
-    dev = rows.select(F.zip_with("values", centre, lambda v, m: v - m).alias("x"))
-    cells = dev.select(F.posexplode("x").alias("i", "a"), "x").select(
-        "i", F.posexplode(F.slice("x", F.col("i") + 1, len(names))).alias("j", "b"), "a").select(
-        "i", (F.col("i") + F.col("j")).alias("j"), (F.col("a") * F.col("b")).alias("ab"))
-    sums = cells.groupBy("i", "j").agg(F.sum("ab").alias("s"))
-    own = sums.where("i = j").select(F.col("i").alias("k"), "s")
+    dev = rows.select(F.zip_with("values", centre, lambda v, m: v - m).alias("x"), F.hash(ts).alias("h"))
+    blocks = range(-(-len(names) // block))
+    both = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in blocks for j in blocks if i <= j]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, tasks // max(1, len(both)))  # of the rows, for one pair of blocks
+    dealt = dev.select("x", "h", F.explode(F.array(*both)).alias("p")).select(
+        "p.i", "p.j", F.slice("x", F.col("p.i") * block + 1, block).alias("a"), F.slice("x", F.col("p.j") * block + 1, block).alias("b"),
+        F.pmod("h", F.lit(shares)).alias("share")) if both else dev.select(F.lit(0).alias("i"), F.lit(0).alias("j"), "x", "x", "h").limit(0)
+    dealt = dealt.repartition(max(tasks, len(both)), "i", "j", "share").sortWithinPartitions("i", "j").drop("share", "h")
+    sums = dealt.mapInArrow(_products(block), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    own = checkpointed(dev.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.sum(F.col("v") * F.col("v")).alias("s")))
     x, y = own.select(F.col("k").alias("i"), F.col("s").alias("si")), own.select(F.col("k").alias("j"), F.col("s").alias("sj"))
-    name = F.array(*[F.lit(t) for t in names])
+    place = df.sparkSession.createDataFrame(list(enumerate(names)), "k int, t string")  # as long as the request
     corr = F.when(F.col("i") == F.col("j"), F.when(F.col("si") > 0, 1.0)).otherwise(
         F.try_divide(F.col("s"), F.sqrt("si") * F.sqrt("sj")))
-    return sums.join(x, "i").join(y, "j").select(
-        F.element_at(name, F.col("i") + 1).alias("t1"), F.element_at(name, F.col("j") + 1).alias("t2"),
-        F.round(finite(corr), digits).alias("corr"))
+    for k in "ij":
+        sums = sums.join(F.broadcast(place.select(F.col("k").alias(k), F.col("t").alias("t1" if k == "i" else "t2"))), k)
+    return sums.join(F.broadcast(x), "i").join(F.broadcast(y), "j").select("t1", "t2", F.round(finite(corr), digits).alias("corr"))
 
 
 def corr_matrix(df: DataFrame, tickers: Sequence[str], col: str = "close", ts: str = "ts",
