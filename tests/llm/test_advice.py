@@ -168,18 +168,3 @@ def test_formulas_are_text():
     page = ("<p>So <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow>"
             "<annotation encoding='application/x-tex'>E=mc^2</annotation></semantics></math> holds.</p>")
     assert block_texts(page) == ["So E=mc2 holds."]
-
-
-# --- month bars --------------------------------------------------------------------------------
-
-def test_late_ticks_of_a_month_of_31_days_count(spark, tmp_path):
-    schema = "ticker string, ts timestamp, price double, event_id long"
-    days = [(1, 15), (2, 1), (2, 2), (2, 3), (1, 31), (3, 2), (5, 1), (7, 1), (9, 1)]
-    for i, (month, day) in enumerate(days):  # one batch each, in this order
-        spark.createDataFrame([("A", dt.datetime(2024, month, day, 12), float(i), i)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-        for part in Path(f"{tmp_path}/in/{i}").glob("*.parquet"):
-            os.utime(part, (1_700_000_000 + i * 10,) * 2)
-    ticks = live.read_stream(spark, f"{tmp_path}/in/*", schema, files_per_batch=1)
-    live.run_to_end(live.live_bars(ticks, "1mo"), f"{tmp_path}/out")
-    got = {(r.ts.month, r.trades, r.open, r.close) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert {(1, 2, 0.0, 4.0), (2, 3, 1.0, 3.0), (3, 1, 5.0, 5.0)} <= got
