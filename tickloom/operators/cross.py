@@ -80,6 +80,8 @@ def correlations(df: DataFrame, tickers: Sequence[str], col: str = "close", ts:
     there are no cells. The cells stay distributed.
     """
     names = list(dict.fromkeys(tickers))
+    if not names:
+        return df.sparkSession.createDataFrame([], "t1 string, t2 string, corr double")
     rows = checkpointed(_complete(df, names, col, ts))
     means = {r["k"]: r["m"] for r in rows.select(F.posexplode("values").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m")).collect()}
     centre = F.array(*[F.lit(means.get(i, 0.0)) for i in range(len(names))])  # one number per ticker asked for
@@ -87,11 +89,11 @@ def correlations(df: DataFrame, tickers: Sequence[str], col: str = "close", ts:
     blocks = range(-(-len(names) // block))
     both = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in blocks for j in blocks if i <= j]
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = max(1, tasks // max(1, len(both)))  # of the rows, for one pair of blocks
+    shares = max(1, tasks // len(both))  # of the rows, for one pair of blocks
     dealt = dev.select("x", "h", F.explode(F.array(*both)).alias("p")).select(
         "p.i", "p.j", F.slice("x", F.col("p.i") * block + 1, block).alias("a"), F.slice("x", F.col("p.j") * block + 1, block).alias("b"),
-        F.pmod("h", F.lit(shares)).alias("share")) if both else dev.select(F.lit(0).alias("i"), F.lit(0).alias("j"), "x", "x", "h").limit(0)
-    dealt = dealt.repartition(max(tasks, len(both)), "i", "j", "share").sortWithinPartitions("i", "j").drop("share", "h")
+        F.pmod("h", F.lit(shares)).alias("share"))
+    dealt = dealt.repartition(max(tasks, len(both)), "i", "j", "share").sortWithinPartitions("i", "j").drop("share")
     sums = dealt.mapInArrow(_products(block), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
     own = checkpointed(dev.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.sum(F.col("v") * F.col("v")).alias("s")))
     x, y = own.select(F.col("k").alias("i"), F.col("s").alias("si")), own.select(F.col("k").alias("j"), F.col("s").alias("sj"))

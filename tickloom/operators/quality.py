@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import to_number
 from tickloom.operators.core import Keys, carry_last, key_list, known_around, latest_n, run_steps
 from tickloom.operators.series import rolling_vol_step, sma_step
+from tickloom.session import checkpointed
 
+CHUNK = 4096  # ranks of a matrix column that one task fills
 FEATURES = ["open", "high", "low", "close", "volume"]
 
 # Column names that mean one of the five features.
@@ -124,22 +126,52 @@ def drop_sparse(cells: DataFrame, frac: float = 0.5, by: Keys = "ticker",
     return known.join(full_rows, keys, "left_semi")
 
 
-def fill_sparse(cells: DataFrame, by: str = "ticker", column: Sequence[str] = ("d", "feature")) -> DataFrame:
-    """The full matrix in cell form: gaps take the value of the row above, else below, else 0.
+def ranked(df: DataFrame, by: str) -> DataFrame:
+    """The distinct values of a column and their ``rank`` from 0, without gathering them: they are sorted by ranges, and the
+    counts of the ranges give every range its first rank."""
+    rows = checkpointed(df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row for each range
+    first = sizes.withColumn("_first", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return rows.withColumn("_part", part).join(F.broadcast(first), "_part").select(
+        by, (F.col("_first") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("rank"))
+
 
-    Rows are in key order. One window group is one matrix column, a single value per key.
+def fill_runs(cells: DataFrame, ranks: DataFrame, by: str = "ticker", column: Sequence[str] = ("d", "feature"),
+              chunk: int = CHUNK) -> DataFrame:
+    """The filled matrix as runs: (column, ``first``, ``last``, ``value``), a value for the rows of these ranks.
+
+    A known cell fills the rows down to the next known one of its column, the first one those above it, too; a column
+    without a known cell is one run of 0. Only known cells are looked at: they meet their neighbours within chunks of
+    ranks, and one edge for each chunk carries on.
     """
     cols = list(column)
-    names = cells.select(*cols).distinct().agg(F.collect_list(F.struct(*cols))).scalar()
-    grid = cells.select(by).distinct().select(by, F.explode(names).alias("_c")).select(by, "_c.*")
-    d = grid.join(cells, [by, *cols], "left")
+    n = ranks.count()
     value = F.when(F.abs("value") == float("inf"), F.lit(0.0)).otherwise(F.col("value"))
-    d = d.withColumn("value", value)
-    down = Window.partitionBy(*cols).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*cols).orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_down", F.last("value", ignorenulls=True).over(down))
-    d = d.withColumn("_up", F.last("value", ignorenulls=True).over(up))
-    return d.withColumn("value", F.coalesce("_down", "_up", F.lit(0.0))).drop("_down", "_up")
+    known = cells.select(by, *cols, value.alias("value")).where("value is not null").join(ranks, by)
+    known = known.withColumn("_c", F.floor(F.col("rank") / chunk))
+    inside = Window.partitionBy(*cols, "_c").orderBy("rank")
+    edges = known.groupBy(*cols, "_c").agg(F.min("rank").alias("_edge"))
+    along = Window.partitionBy(*cols).orderBy("_c")
+    edges = edges.select(*cols, "_c", F.lead("_edge").over(along).alias("_after"),
+                         F.when(F.row_number().over(along) == 1, F.col("_edge")).alias("_top"))
+    runs = known.withColumn("_next", F.lead("rank").over(inside)).join(edges, [*cols, "_c"]).select(
+        *cols, F.when(F.col("rank") == F.col("_top"), 0).otherwise(F.col("rank")).cast("long").alias("first"),
+        (F.coalesce("_next", "_after", F.lit(n)) - 1).cast("long").alias("last"), "value")
+    empty = cells.groupBy(*cols).agg(F.count(value).alias("_k")).where("_k = 0").select(
+        *cols, F.lit(0).cast("long").alias("first"), F.lit(n - 1).cast("long").alias("last"), F.lit(0.0).alias("value"))
+    return runs.unionByName(empty).where(F.col("last") >= F.col("first"))
+
+
+def fill_sparse(cells: DataFrame, by: str = "ticker", column: Sequence[str] = ("d", "feature")) -> DataFrame:
+    """The full matrix in cell form: gaps take the value of the row above, else below, else 0; rows are in key order.
+
+    It is ``fill_runs`` written out; operators that can use runs need not write them out.
+    """
+    ranks = checkpointed(ranked(cells, by))
+    runs = fill_runs(cells, ranks, by, column)
+    return runs.select(*column, F.explode(F.sequence("first", "last")).alias("rank"), "value").join(ranks, "rank").select(
+        by, *column, "value")
 
 
 def valid_ticker(df: DataFrame, col: str = "ticker") -> DataFrame:

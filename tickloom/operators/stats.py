@@ -12,15 +12,57 @@ from tickloom.functions.numeric import finite, safe_div
 from tickloom.operators.core import Keys, key_list
 from tickloom.operators.quality import FEATURES, to_cells
 from tickloom.operators.series import pct_change
+from tickloom.session import checkpointed
 
 SKETCH = 10_000
+GRID = 64      # parts into which a bracket is cut by the next pass
+
+
+def _narrowed(v: DataFrame, sketch: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """``_cuts`` drawn together until no bracket holds more than ``SKETCH`` rows, or repeats of few values.
+
+    Each pass counts what lies below a bracket and inside it, on the map side, and draws the next bracket around the
+    wanted rank by a sketch of what is inside; so the passes grow with the logarithm of the rows.
+    """
+    while True:
+        low = [F.col("_cuts")[2 * k] for k in range(len(probs))]
+        high = [F.col("_cuts")[2 * k + 1] for k in range(len(probs))]
+        held = v.join(sketch.where(F.col("_n") > SKETCH), keys)
+        inside = [F.col("_v").between(a, z) for a, z in zip(low, high)]
+        counts = checkpointed(held.groupBy(*keys, "_n", "_cuts").agg(*[
+            c for k, (a, z) in enumerate(zip(low, high)) for c in (
+                F.count_if(F.col("_v") < a).alias(f"b{k}"), F.count_if(inside[k] & (a < z)).alias(f"i{k}"))]))
+        most = counts.agg(F.max(F.greatest(*[F.col(f"i{k}") for k in range(len(probs))], F.lit(0)))).first()[0] or 0
+        if most <= SKETCH:
+            return sketch
+        shares = []
+        for k, p in enumerate(probs):  # the wanted ranks as shares of what is inside, with the slack of a sketch
+            size = F.greatest(F.col(f"i{k}"), F.lit(1))
+            at = ((F.col("_n") - 1) * p - F.col(f"b{k}")) / size
+            shares.append((F.greatest(F.lit(0.0), at - 4 / SKETCH), F.least(F.lit(1.0), at + 4 / SKETCH + 1 / size)))
+        wide = counts.select(*keys, "_n", "_cuts", *[F.col(f"i{k}") for k in range(len(probs))],
+                             *[s.alias(f"{e}{k}") for k, pair in enumerate(shares) for e, s in zip("lh", pair)])
+        grid = [i / GRID for i in range(GRID + 1)]
+        at = wide.join(v, keys).groupBy(*keys, "_n", "_cuts", *[c for k in range(len(probs)) for c in (f"i{k}", f"l{k}", f"h{k}")]).agg(*[
+            F.percentile_approx(F.when(inside[k], F.col("_v")), grid, SKETCH).alias(f"g{k}") for k in range(len(probs))])
+        cuts = []
+        for k in range(len(probs)):
+            small = (F.col(f"i{k}") <= SKETCH) | F.col(f"g{k}").isNull()
+            below = F.greatest(F.floor(F.col(f"l{k}") * GRID) - 1, F.lit(0)).cast("int")
+            above = F.least(F.ceil(F.col(f"h{k}") * GRID) + 1, F.lit(GRID)).cast("int")
+            cuts += [F.when(small, low[k]).otherwise(F.get(f"g{k}", below)), F.when(small, high[k]).otherwise(F.get(f"g{k}", above))]
+        moved = checkpointed(at.select(*keys, "_n", F.array(*cuts).alias("_cuts"), (F.array(*cuts) == F.col("_cuts")).alias("_same")))
+        if not moved.where("not _same").take(1):
+            return sketch  # what is left in a bracket are repeats of few values, which are counted by value
+        sketch = checkpointed(sketch.join(moved.select(*keys), keys, "left_anti").select(*keys, "_n", "_cuts").unionByName(moved.drop("_same")))
 
 
 def exact_quantiles(df: DataFrame, by: Keys, value: str, probs: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles ``q0, q1, ...`` per key without gathering a key in one task.
 
-    A sketch with a proven rank error brackets each quantile; only the values inside the bracket are
-    sorted, everything below it is just counted. Keys of up to ``SKETCH`` rows are sorted whole.
+    A sketch with a proven rank error brackets each quantile. Brackets that hold more than ``SKETCH`` rows are drawn
+    together by further sketches, so what is sorted in the end is bounded; everything below is just counted. Keys of
+    up to ``SKETCH`` rows are sorted whole.
     """
     keys = key_list(by)
     v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -28,6 +70,11 @@ def exact_quantiles(df: DataFrame, by: Keys, value: str, probs: Sequence[float])
     cuts = [c for p in probs for c in (max(p - slack, 0.0), min(p + slack, 1.0))]
     sketch = v.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", cuts, SKETCH).alias("_cuts"))
+    # a bracket has 8 parts in SKETCH of the rows, so only keys of more than SKETCH * SKETCH / 8 rows can need another pass
+    sketch = checkpointed(sketch)
+    if (sketch.agg(F.max("_n")).first()[0] or 0) > SKETCH * SKETCH // 8:
+        v = checkpointed(v)
+        sketch = _narrowed(v, sketch, keys, probs)
     big = F.col("_n") > SKETCH
     ranges = F.array(*[
         F.when(~big | F.col("_v").between(F.col("_cuts")[2 * k], F.col("_cuts")[2 * k + 1]),
