@@ -88,7 +88,7 @@ def bars_hour(spark: SparkSession, sf: str) -> DataFrame:
 def news(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("link"),
-        F.substring("text", 1, 80).alias("title"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
         F.col("text").alias("description"),
         "source",
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("published"),
@@ -146,7 +146,7 @@ _SQL = {
   SELECT ticker, date_trunc('hour', ts) AS bar, arg_min(price, row(ts, event_id)) AS open,
   max(price) AS high, min(price) AS low, arg_max(price, row(ts, event_id)) AS close,
   CAST(count(*) AS DOUBLE) AS volume, count(*) AS trades FROM ticks GROUP BY ALL)"""),
-    "news": ([], """SELECT doc_id AS link, substring(text, 1, 80) AS title, text AS description, source,
+    "news": ([], """SELECT doc_id AS link, 'Document ' || doc_id AS title, text AS description, source,
   TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published FROM documents"""),
     "runs": ([], """SELECT o_orderkey AS trace_id, o_orderpriority AS run_type,
   CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status,
