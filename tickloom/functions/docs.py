@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.core import Keys, key_list
+from tickloom.operators.core import Keys, key_list, number_rows
 
 
 def field(data: Column, path: str) -> Column:
@@ -37,11 +37,15 @@ def find_documents(docs: DataFrame, collection: str, filters: Mapping[str, objec
     return d if limit is None else d.limit(limit)
 
 
-def pack_points(df: DataFrame, value: str, per: str = "month", by: Keys = "ticker", ts: str = "ts") -> DataFrame:
-    """Points packed into arrays of (ts, value), one per key and calendar unit, so arrays stay bounded."""
+def pack_points(df: DataFrame, value: str, per: str = "month", by: Keys = "ticker", ts: str = "ts", every: str = "1d",
+                per_page: int = 10_000) -> DataFrame:
+    """Points packed into arrays of (ts, value): one per key and calendar unit, and ``page`` of at most ``per_page`` points."""
     keys = key_list(by)
+    points = number_rows(df.select(*keys, ts, value), keys, ts, every).withColumn("pack", F.date_trunc(per, ts))
+    first = points.groupBy(*keys, "pack").agg(F.min("_i").alias("_first"))
+    points = points.join(first, [*keys, "pack"]).withColumn("page", F.floor((F.col("_i") - F.col("_first")) / per_page).cast("int"))
     return (
-        df.groupBy(*keys, F.date_trunc(per, ts).alias("pack"))
+        points.groupBy(*keys, "pack", "page")
         .agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(value).alias("value")))).alias("data_points"))
         .withColumns({"timestamp_start": F.col("data_points")[0]["ts"],
                       "timestamp_end": F.element_at("data_points", -1)["ts"]})

@@ -176,16 +176,13 @@ def p11(spark, sf):
                        F.date_format("last_day", "yyyy-MM-dd").alias("last_day"))
 
 
-_MONTHS = [f"{y}-{m:02d}-01" for y in range(1992, 1999) for m in range(1, 13)]  # the months of the given trades
-
-
-@query("p12_flatten", using("bars_month", "SELECT ticker, " + ", ".join(
-    f"""max(CASE WHEN ts = TIMESTAMP '{d}' THEN {r(c)} END) AS "{d}_{c}" """ for d in _MONTHS for c in ("close", "volume")) + " FROM bars_month GROUP BY ticker"))
+@query("p12_flatten", using("bars_month", f"""SELECT t.ticker, strftime(m.ts, '%Y-%m-%d') || '_' || f AS name,
+  {r("CASE f WHEN 'close' THEN b.close ELSE b.volume END")} AS value FROM (SELECT DISTINCT ticker FROM bars_month) t, (SELECT DISTINCT ts FROM bars_month) m,
+  (SELECT unnest(['close', 'volume']) AS f) LEFT JOIN bars_month b ON b.ticker = t.ticker AND b.ts = m.ts"""))
 def p12(spark, sf):
-    b = bars_month(spark, sf).select("ticker", "ts", *rounded(["close", "volume"]))
-    wide = Q.flatten(b, ["close", "volume"])
-    names = [f"{d}_{c}" for d in _MONTHS for c in ("close", "volume")]
-    return wide.select("ticker", *[F.col(f"`{n}`") if n in wide.columns else F.lit(None).cast("double").alias(n) for n in names])
+    """All columns of the wide table, as one row for each of its cells."""
+    wide = Q.flatten(bars_month(spark, sf).select("ticker", "ts", *rounded(["close", "volume"])), ["close", "volume"])
+    return wide.unpivot("ticker", [F.col(f"`{n}`") for n in wide.columns if n != "ticker"], "name", "value")
 
 
 @query("p12_flatten_hours", using("bars_hour", f"SELECT ticker, strftime(ts, '%Y-%m-%d %H') AS h, {r('close')} AS value FROM bars_hour"))
