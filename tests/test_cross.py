@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import docs
 from tickloom.operators import cross as X
 from tickloom.operators import quality as Q
 from tickloom.operators import stats as A
@@ -71,3 +72,13 @@ def test_brackets_are_bounded(spark, monkeypatch):
     sketch = df.groupBy("k").agg(F.count("*").alias("_n"), F.percentile_approx("_v", [0.4, 0.6], 50).alias("_cuts"))
     low, high = A._narrowed(df, sketch, ["k"], [0.5]).head()["_cuts"]
     assert low <= 19_999 and high >= 20_000 and high - low < 50
+
+
+def test_pages_of_points(spark):
+    pdf = pd.DataFrame({"ticker": "A", "ts": pd.date_range("2024-01-22", periods=20), "close": np.arange(20.0)})
+    df = spark.createDataFrame(pdf)
+    packs = docs.pack_points(df, "close", per_page=4)
+    got = sorted((r["pack"].month, r["page"], [p["value"] for p in r["data_points"]]) for r in packs.collect())
+    assert got == [(1, 0, [0, 1, 2, 3]), (1, 1, [4, 5, 6, 7]), (1, 2, [8, 9]),
+                   (2, 0, [10, 11, 12, 13]), (2, 1, [14, 15, 16, 17]), (2, 2, [18, 19])]
+    assert docs.unpack_points(packs).count() == 20
