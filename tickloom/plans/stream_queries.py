@@ -121,7 +121,7 @@ def z6(spark, sf):
     e = steps(spark, sf).select("trace_id", F.col("start_time").alias("ts"), F.lit(10).alias("total_steps"))
     e.repartitionByRange(3, "ts").write.parquet(source)
     events = live.read_stream(spark, source, "trace_id bigint, ts timestamp, total_steps int", files_per_batch=1)
-    live.run_batches(ingest.run_progress(events, "4000 days"), ingest.keep_progress(path), mode="update")
+    live.run_batches(ingest.run_progress(events, "1 hour", late="4000 days"), ingest.keep_progress(path), mode="update")
     d = ingest.progress_numbers(spark.read.parquet(path))
     return d.select("trace_id", "steps_done", rnd("progress").alias("progress"), rnd("rate", 8).alias("rate"),
                     rnd("seconds_left", 2).alias("seconds_left"))

@@ -35,8 +35,8 @@ def news_stream(items: DataFrame, delay: str = "7 days", lexicon: Mapping[str, S
 def run_progress(events: DataFrame, delay: str = "1 hour", late: str = "0 seconds") -> DataFrame:
     """Steps done and the times of the first and last event per run, again whenever it changed; use update mode.
 
-    The state of a run is one row. It ends with its last step, or when the watermark (the newest event less ``late``) has
-    passed its last event by ``delay``; the row says so, and the state is released. A step that comes later opens the run anew.
+    The state of a run is one row. A run is closed with its last step, or when the watermark (the newest event less ``late``)
+    has passed its last event by ``delay``, which also releases the state. A step that comes after that opens the run anew.
     """
     patience = events.sparkSession.sql(f"SELECT CAST(INTERVAL {delay} AS INTERVAL SECOND)").first()[0]
     wait = int(patience.total_seconds() * 1000)
@@ -51,7 +51,7 @@ def run_progress(events: DataFrame, delay: str = "1 hour", late: str = "0 second
                 at = [int(f["micros"].min()), int(f["micros"].max())]
                 first, last = (min(first, at[0]), max(last, at[1])) if first is not None else at
         closed = state.hasTimedOut or (total is not None and done >= total)
-        if closed:
+        if state.hasTimedOut:
             state.remove()
         else:
             state.update((done, total, first, last))
