@@ -5,17 +5,20 @@ exactly the values that are valid in that format, and put back between the separ
 pseudonyms in every document, different values of a kind get different ones, and a pseudonym is valid wherever the
 value was:
 
-* dates of the years 1930 to 2029, as ``YYYY-MM-DD`` (or with ``/``), day first with ``.`` or ``-``, month first with
-  ``/`` (day first where only that is a date): one of the 36,525 days, 75 x 487;
+* dates of the years 1800 to 2199, as ``YYYY-MM-DD`` (or with ``/``), day first with ``.`` or ``-``, month first with
+  ``/`` (day first where only that is a date): one of the 146,097 days, 189 x 773;
 * social security numbers ``AAA-GG-SSSS`` (no area 000, 666 or 9xx, no group 00, no serial 0000): 898 x 99 x 9999;
 * IPv4 addresses with four numbers up to 255: 2^16 x 2^16;
 * phone numbers: the last ten digits, 10^5 x 10^5; the country code stays;
-* card and account numbers of 13 to 19 digits: all digits but the last are permuted, and the last one is set so that
-  the Luhn sum keeps its residue, so valid numbers stay valid and others stay what they are;
+* card and account numbers of 13 to 19 digits that pass the Luhn test: all digits but the last are permuted, and the last
+  one is set so that the number still passes. In a run of groups of digits a number begins and ends with a group; it is one
+  group, or grouped 4-6-4, 4-6-5, 4-4-4-n or 4-4-4-4-n, the first place and there the shortest number that passes. So
+  a number gets the same pseudonym whatever short number stands beside it. A run without such a number is taken whole where
+  it has 13 to 19 digits and passes, however it is grouped;
 * mail addresses: letters and digits of the local part, letter by letter as a Feistel network of two halves; case,
   other characters (letters beyond a to z, too) and the domain stay.
 
-What looks alike but is not valid (month 13, octet 300, area 666) stays as it is. One round function is SHA-256 of key,
+What looks alike but is not valid (month 13, octet 300, area 666, a wrong check digit) stays as it is. One round function is SHA-256 of key,
 kind, round and the other half. Everything is built-in expressions; only rows with a match do more than one regular
 expression.
 
@@ -30,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-FIRST_DAY, DAYS = "1930-01-01", 36525
+FIRST_DAY, DAYS = "1800-01-01", 146097
+STRIDE = 512              # groups of digits written to one list; a run may have any number of them
 
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Formats in the order in which they are tried at one place of a text.
@@ -43,7 +47,9 @@ FORMATS = {
     "ip": r"(?<![0-9A-Za-z.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![0-9A-Za-z]|\.\d)",
     "phone": (r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
               r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\3\d{4})" + _END),
-    "account": _EDGE + r"\d(?:[ -]?\d){12,18}" + _END,
+    # the whole run of digits; a date, social security or phone number after it is not part of it
+    "account": (_EDGE + r"(?=\d(?:[ -]?\d){12})\d++(?![A-Za-z])(?:[ -](?!(?:\d{4}-\d{2}-\d{2}|\d{2}-\d{2}-\d{4}|\d{3}-\d{2}-\d{4}"
+                r"|\d{3}-\d{3}-\d{4}|\d{3} \d{3} \d{4})" + _END + r")\d++(?![A-Za-z]))*+"),
 }
 #: One pattern for all; places at which no number can begin are left at the first character.
 ANY = f"{FORMATS['mail']}|(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in FORMATS.items() if k != "mail") + ")"
@@ -104,7 +110,8 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
 
 
-def _account(m: Column, key: str) -> Column:
+def _renumbered(number: Column, key: str) -> Column:
+    """A number with other digits, whose Luhn sum keeps its residue."""
     def renumbered(old: Column) -> Column:
         n = F.length(old) - 1
         right = F.floor(n / 2)
@@ -115,7 +122,63 @@ def _account(m: Column, key: str) -> Column:
             last = F.pmod(luhn(old) - luhn(F.concat(body, F.lit("0"))), F.lit(10))
             return F.concat(body, last.cast("string"))
         return _once(new, checked)
-    return _refilled(m, _once(_digits(m), renumbered))
+    return _refilled(number, _once(_digits(number), renumbered))
+
+
+def _valid(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (luhn(digits) % 10 == 0)
+
+
+def _groups_of(digits: Column, i: Column) -> Column:
+    """How many groups, from group ``i`` on, make up the number that begins there; null if none does."""
+    def size(k: int) -> Column:
+        return F.length(F.get(digits, i + k))
+
+    def passes(n: int) -> Column:
+        return _valid(F.array_join(F.slice(digits, i + 1, F.lit(n)), ""))
+
+    fours = (size(0) == 4) & (size(1) == 4) & (size(2) == 4)
+    return (F.when(size(0) >= 13, F.when(passes(1), 1))
+            .when((size(0) == 4) & (size(1) == 6), F.when(size(2).isin(4, 5) & passes(3), 3))
+            .when(fours & size(3).between(1, 4) & passes(4), 4)
+            .when(fours & (size(3) == 4) & size(4).between(1, 3) & passes(5), 5))
+
+
+def _account(m: Column, key: str) -> Column:
+    """The numbers within a run of groups, from the left, none overlapping another one.
+
+    Lists of ``STRIDE`` groups are filled one by one and joined at the end, so a run of any length takes linear time.
+    """
+    groups = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+
+    def read(g: Column) -> Column:
+        digits = g["digits"]
+
+        def place(state: Column, i: Column) -> Column:
+            def step(n: Column) -> Column:
+                number = _renumbered(F.array_join(F.slice(g["spelled"], i + 1, n), ""), key)
+                here = F.when(i < state["next"], "").when(n.isNotNull(), number).otherwise(F.get(g["spelled"], i))
+                return F.struct(F.when((i >= state["next"]) & n.isNotNull(), i + n).otherwise(state["next"]).alias("next"),
+                                F.concat(state["out"], F.array(here)).alias("out"))
+            return _once(F.when(i >= state["next"], _groups_of(digits, i)), step)
+
+        def stretch(state: Column, k: Column) -> Column:
+            upto = F.least((k + 1) * STRIDE, F.size(digits)) - 1
+            filled = F.aggregate(F.sequence(k * STRIDE, upto), F.struct(
+                state["next"].alias("next"), F.array().cast("array<string>").alias("out")), place)
+            return _once(filled, lambda f: F.struct(f["next"].alias("next"), F.concat(
+                state["out"], F.array(F.array_join(f["out"], ""))).alias("out")))
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
+        last = F.floor((F.size(digits) - 1) / STRIDE).cast("int")
+
+        def written(f: Column) -> Column:
+            return (F.when(f["next"] > 0, F.array_join(f["out"], ""))
+                    .when((F.length(m) < 40) & _valid(_digits(m)), _renumbered(m, key)).otherwise(m))
+        return _once(F.aggregate(F.sequence(F.lit(0), last), start, stretch), written)
+
+    spelled = F.struct(groups.alias("spelled"), F.transform(groups, _digits).alias("digits"))
+    return _once(spelled, read)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -153,7 +216,7 @@ def _ip(m: Column, key: str) -> Column:
 def _date(m: Column, pattern: str, key: str, kind: str) -> Column:
     """``m`` written in ``pattern`` as another day, or null where it is no day of the years covered."""
     day = F.datediff(F.try_to_date(m, pattern), F.lit(FIRST_DAY).cast("date"))
-    new = feistel(day.cast("long"), F.lit(75), F.lit(487), key, kind)
+    new = feistel(day.cast("long"), F.lit(189), F.lit(773), key, kind)
     text = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), pattern)
     return F.when((day >= 0) & (day < DAYS), text)
 
