@@ -230,7 +230,7 @@ def model():
 def test_blocks():
     got = list(htmllstm.blocks("<body class='a b'><p>One &amp; <b>two</b><br>three<p id=x>four<ul><li>1<li>2</ul><script>no</script>five<p"))
     assert [t for _, t, _ in got] == ["One & two three", "four", "1", "2", "five"]
-    assert got[0][0] == (("body", ".a", ".b"), ("p",)) and got[2][0][-2:] == (("ul",), ("li",))
+    assert tuple(got[0][0]) == (("body", ".a", ".b"), ("p",)) and tuple(got[2][0])[-2:] == (("ul",), ("li",))
     assert list(htmllstm.blocks("")) == [] and list(htmllstm.blocks("<<>")) != []
     assert [t for _, t, _ in htmllstm.blocks("<a href=x>link</a> rest &#233;&am")] == ["link rest é&am"]
 
@@ -262,6 +262,32 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - g[name][at]) < 2e-3
 
 
+def test_paths_are_sums_of_their_elements(model):
+    """Linked elements and plain paths give the sums over all tokens."""
+    page = "<body class=x><div id='a b'><p>One</p><p>two</p></div><ul><li>three</ul></body>four<p>five"
+    leaves = list(htmllstm.blocks(page))
+    plain = [(tuple(p), t, s) for p, t, s in leaves]
+    assert [t for _, t, _ in leaves] == ["One", "two", "three", "four", "five"] and plain[3][0] == ()
+    table = model.p["path"]
+    for pages in ([leaves, plain], [plain, leaves]):
+        got = model.vectors(htmllstm.Pages(pages))[:, :htmllstm.PATH_DIM]
+        for vector, (path, _, _) in zip(got, plain + plain):
+            rows = [htmllstm._row_of(t) for e in path for t in e] + [htmllstm._row_of("leaf:" + t) for t in (path[-1] if path else ())]
+            assert np.allclose(vector, table[rows].sum(0), atol=1e-5)
+
+
+def test_deep_pages(spark, model):
+    """Pages nested or left open tens of thousands deep end within bounds, whole."""
+    n = 40_000
+    deep, ends = "<div>x " * n, "<div>" * n + "</p>" * n + "</section></div>" * n + "<article><p>Some words here.</p></article>"
+    leaves = list(htmllstm.blocks(deep))
+    assert len(leaves) == n and len(tuple(leaves[-1][0])) == n
+    assert [tuple(p) for p, _, _ in htmllstm.blocks(ends)] == [(("article",), ("p",))]
+    df = spark.createDataFrame([(1, "u", deep), (2, "u", ends)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmllstm.main_text(df, model=model).collect()}
+    assert set(got[1].split()) <= {"x"} and got[2] == "Some words here."
+
+
 def test_page_text_given(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in htmllstm.main_text(df).collect()}

@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.arrays import slices, word_hashes
 
 SAMPLE = 200            # pages whose words fill the training pages
+WORDS, LONGEST_WORD = 20_000, 64
 TRAIN_PAGES = 1000
 EPOCHS = 14
 PATH_ROWS, PATH_DIM = 2048, 24
@@ -67,9 +69,27 @@ def element_tokens(name: str, rest: str) -> tuple[str, ...]:
     return (name, *[f".{w}" for w in words])
 
 
-def blocks(page: str) -> Iterator[tuple[tuple, str, float]]:
-    """(open elements, text, share of link text) of every leaf block."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Open:
+    """An open element and the ones around it; shared by all blocks inside, so nesting of any depth costs one each."""
+
+    __slots__ = ("above", "name", "tokens")
+
+    def __init__(self, above: Open | None, name: str, tokens: tuple[str, ...]):
+        self.above, self.name, self.tokens = above, name, tokens
+
+    def __iter__(self) -> Iterator[tuple[str, ...]]:
+        """The tokens of all elements, the outermost first."""
+        found, at = [], self
+        while at is not None:
+            found.append(at.tokens)
+            at = at.above
+        return reversed(found)
+
+
+def blocks(page: str) -> Iterator[tuple[Open | tuple, str, float]]:
+    """(innermost open element, text, share of link text) of every leaf block; outside all elements an empty tuple."""
+    stack: list[Open] = []
+    is_open: Counter[str] = Counter()
     buffer: list[str] = []
     link = total = 0
     links = 0
@@ -82,7 +102,7 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, float]]:
             buffer.clear()
             link = total = 0
             if text:
-                return tuple(t for _, t in stack), text, share
+                return stack[-1] if stack else (), text, share
         return None
 
     for m in _TOKEN.finditer(page):
@@ -108,17 +128,19 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, float]]:
                 yield found
             links = 0
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while is_open[name]:
+                    last = stack.pop()
+                    is_open[last.name] -= 1
+                    if last.name == name:
                         break
             elif name not in VOID:
                 ends = CLOSES.get(name, {"p"})
-                while stack and stack[-1][0] in ends:
-                    stack.pop()
+                while stack and stack[-1].name in ends:
+                    is_open[stack.pop().name] -= 1
                 rest = m["rest"] if m["name"] else m["rest2"]
                 if not rest.rstrip().endswith("/"):
-                    stack.append((name, element_tokens(name, rest)))
+                    stack.append(Open(stack[-1] if stack else None, name, element_tokens(name, rest)))
+                    is_open[name] += 1
     found = flush()
     if found:
         yield found
@@ -129,23 +151,47 @@ def _row_of(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) * PATH_ROWS >> 32
 
 
-def path_rows(path: tuple) -> list[int]:
-    """Rows of the tag-path table: all open elements, the innermost one with rows of its own."""
-    return [_row_of(t) for element in path for t in element] + [_row_of("leaf:" + t) for t in (path[-1] if path else ())]
-
-
 class Pages:
-    """Vectors' raw material for a batch of pages: paths, hashed words and measures of all their blocks."""
+    """Vectors' raw material for a batch of pages: paths, hashed words and measures of all their blocks.
+
+    Paths of all pages form one tree: a node is an element below another node, 0 the root. A path stands for the tokens
+    of all its elements, the innermost one with tokens of its own ("end").
+    """
 
-    def __init__(self, pages: list[list[tuple[tuple, str, float]]]):
+    def __init__(self, pages: list[list[tuple[Open | tuple, str, float]]]):
         self.sizes = np.array([len(p) for p in pages], np.int64)
         leaves = [leaf for p in pages for leaf in p]
-        known: dict[tuple, int] = {}
-        self.path = np.array([known.setdefault(p, len(known)) for p, _, _ in leaves], np.int64)
-        lists = [path_rows(p) for p in known]
-        self.path_token = np.array([r for rows in lists for r in rows], np.int64)
-        self.path_owner = np.repeat(np.arange(len(lists)), [len(rows) for rows in lists])
-        self.n_paths = len(lists)
+        known: dict[tuple[int, tuple[str, ...]], int] = {}
+        seen: dict[Open, int] = {}
+
+        def node(path: Open | tuple) -> int:
+            new, at = [], 0
+            if isinstance(path, tuple):
+                for tokens in path:
+                    at = known.setdefault((at, tokens), len(known) + 1)
+                return at
+            while path is not None and path not in seen:
+                new.append(path)
+                path = path.above
+            at = seen[path] if path is not None else 0
+            for element in reversed(new):
+                at = seen[element] = known.setdefault((at, element.tokens), len(known) + 1)
+            return at
+
+        self.path = np.array([node(p) for p, _, _ in leaves], np.int64)
+        self.n_nodes = len(known) + 1
+        self.above = np.array([0, *[a for a, _ in known]], np.int64)
+        tokens = [(), *[t for _, t in known]]
+        depth = [0] * self.n_nodes
+        for k in range(1, self.n_nodes):  # a node comes after the one above it
+            depth[k] = depth[self.above[k]] + 1
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(np.array(depth)[order])) + 1)[1:]
+        self.token = np.array([_row_of(t) for of in tokens for t in of], np.int64)
+        self.token_owner = np.repeat(np.arange(self.n_nodes), [len(of) for of in tokens])
+        ends = np.unique(self.path)
+        self.end_token = np.array([_row_of("leaf:" + t) for k in ends for t in tokens[k]], np.int64)
+        self.end_owner = np.repeat(ends, [len(tokens[k]) for k in ends])
         texts = [t for _, t, _ in leaves]
         h, self.word_owner = word_hashes(texts, punctuation=True)
         self.word = (h % np.uint64(WORD_ROWS)).astype(np.int64)
@@ -158,9 +204,9 @@ class Pages:
         self.measures[:, 6], self.measures[:, 7] = place, self.n_words <= 3
 
 
-def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+def _sums(index: np.ndarray, values: np.ndarray, n: int, kind: type = np.float32) -> np.ndarray:
     """The rows of ``values`` added up by ``index``."""
-    return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
+    return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(kind)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -186,7 +232,10 @@ class Labeller:
         self.p |= {"out": start(2 * HIDDEN, 1)[:, 0], "bias": np.zeros(1, np.float32)}
 
     def vectors(self, pages: Pages) -> np.ndarray:
-        paths = _sums(pages.path_owner, self.p["path"][pages.path_token], pages.n_paths)
+        paths = _sums(pages.token_owner, self.p["path"][pages.token], pages.n_nodes, float)
+        for level in pages.levels:
+            paths[level] += paths[pages.above[level]]
+        paths = (paths + _sums(pages.end_owner, self.p["path"][pages.end_token], pages.n_nodes, float)).astype(np.float32)
         words = np.zeros((len(pages.n_words), WORD_DIM), np.float32)
         has = np.flatnonzero(pages.n_words)
         if len(has):
@@ -194,7 +243,7 @@ class Labeller:
             words[has] = np.add.reduceat(self.p["word"][pages.word], begin) / pages.n_words[has, None]
         return np.concatenate((paths[pages.path], words, pages.measures), axis=1)
 
-    def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, d: str, training: bool = True) -> tuple[np.ndarray, list]:
         """States of one direction over (time, batch, input); the cache serves training."""
         t, b, _ = x.shape
         gates = (x.reshape(t * b, -1) @ self.p[f"x{d}"] + self.p[f"b{d}"]).reshape(t, b, -1)
@@ -207,7 +256,8 @@ class Labeller:
             u = np.tanh(g[:, 3 * HIDDEN:])
             before, c = c, f * c + i * u
             tc = np.tanh(c)
-            cache.append((h, before, i, f, o, u, tc))
+            if training:
+                cache.append((h, before, i, f, o, u, tc))
             h = o * tc
             states[k] = h
         return states, cache
@@ -251,8 +301,8 @@ class Labeller:
             sizes = pages.sizes[mine]
             own = np.concatenate([np.arange(begin[i], begin[i] + pages.sizes[i]) for i in mine])
             ahead, behind, live = self._grid(sizes)
-            f, _ = self._run(x[own[ahead]], "f")
-            b, _ = self._run(x[own[behind]], "b")
+            f, _ = self._run(x[own[ahead]], "f", False)
+            b, _ = self._run(x[own[behind]], "b", False)
             score = np.zeros(len(own), np.float32)
             score[ahead[live]] += (f @ self.p["out"][:HIDDEN])[live]
             score[behind[live]] += (b @ self.p["out"][HIDDEN:])[live]
@@ -279,8 +329,11 @@ class Labeller:
         gx = np.zeros_like(x)
         gx[ahead[live]] += gf[live]
         gx[behind[live]] += gb[live]
-        by_path = _sums(pages.path, gx[:, :PATH_DIM], pages.n_paths)
-        into["path"] = _sums(pages.path_token, by_path[pages.path_owner], PATH_ROWS)
+        by_node = _sums(pages.path, gx[:, :PATH_DIM], pages.n_nodes)
+        into["path"] = _sums(pages.end_token, by_node[pages.end_owner], PATH_ROWS)
+        for level in reversed(pages.levels):
+            np.add.at(by_node, pages.above[level], by_node[level])
+        into["path"] += _sums(pages.token, by_node[pages.token_owner], PATH_ROWS)
         per_word = gx[:, PATH_DIM:PATH_DIM + WORD_DIM] / np.maximum(pages.n_words, 1)[:, None]
         into["word"] = _sums(pages.word, per_word[pages.word_owner], WORD_ROWS)
         return into
@@ -449,16 +502,22 @@ def trained(words: list[str], n: int = TRAIN_PAGES) -> Labeller:
 
 
 def sample_words(pages: DataFrame, id_col: str, html_col: str, n: int = SAMPLE) -> list[str]:
-    """Words of the blocks of ``n`` pages, those with the least hash of their identifier.
+    """At most ``WORDS`` words of the blocks of ``n`` pages, those with the least hash of their identifier.
 
-    Only about four times as many rows are ordered, so what reaches the driver does not grow with the table.
+    Only about four times as many rows are ordered. The pages stay in the tasks; the driver gets words of bounded length.
     """
     known = pages.where(F.col(html_col).isNotNull())
     mark = F.xxhash64(id_col).bitwiseAND(F.lit(2 ** 31 - 1))
     bound = min(2 ** 31, 4 * n * 2 ** 31 // max(known.count(), 1) + 1)
-    rows = known.where(mark < bound).orderBy(mark, id_col, html_col).limit(n).select(html_col).collect()
-    words = {w for (h,) in rows for _, t, _ in blocks(h) for w in t.split()}
-    return sorted(words)[:: max(1, len(words) // 20000)]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h in b.column(0):
+                found = {w for _, t, _ in blocks(h.as_py()) for w in t.split() if len(w) <= LONGEST_WORD}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+
+    rows = known.where(mark < bound).orderBy(mark, id_col, html_col).limit(n).select(html_col).mapInArrow(words, "word string")
+    return sorted(r.word for r in rows.distinct().orderBy(F.xxhash64("word"), "word").limit(WORDS).collect())
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
