@@ -211,12 +211,14 @@ def test_site_lines(spark):
     page = "<html><head><title>t</title></head><body><nav>Menu</nav><p>Own {i}</p><p>  twice \n said </p><div>twice said</div></body></html>"
     rows = [(i, "http://U@Big.example.com:80/x", page.format(i=i), "h", 1) for i in range(6)]
     rows += [(10, None, "<p>Menu</p>", "h", 1), (11, "nonsense", None, "h", 1), (12, "https://one.example.com", "<p>Menu<br>b", "h", 1),
-             (12, "https://one.example.com", "", "h", 1), (None, "https://u.example.com", "plain", "h", 1)]
+             (12, "https://one.example.com", "", "h", 1), (None, "https://u.example.com", "plain", "h", 1),
+             (13, "https://two.example.com/a", "<p>Same<p>one", "h", 1), (14, "https://two.example.com/b", "<p>Same<p>two", "h", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, n int")
     got = sorted((tuple(r) for r in sitelines.without_boilerplate(df).collect()), key=repr)
-    assert got == sorted([(i, "big.example.com", f"Own {i}", 4, 3) for i in range(6)] + [
-        (10, "", "Menu", 1, 0), (11, "", "", 0, 0), (12, "one.example.com", "Menu\nb", 2, 0), (12, "one.example.com", "", 0, 0),
-        (None, "u.example.com", "plain", 1, 0)], key=repr)
+    assert got == sorted([(i, "big.example.com", 6, f"Own {i}", 4, 3) for i in range(6)] + [
+        (10, "", 2, "Menu", 1, 0), (11, "", 2, "", 0, 0), (12, "one.example.com", 2, "Menu\nb", 2, 0), (12, "one.example.com", 2, "", 0, 0),
+        (13, "two.example.com", 2, "one", 2, 1), (14, "two.example.com", 2, "two", 2, 1),
+        (None, "u.example.com", 1, "plain", 1, 0)], key=repr)
     assert sitelines.without_boilerplate(df.limit(0)).count() == 0
 
 
