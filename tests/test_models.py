@@ -134,6 +134,37 @@ def brute_dbscan(x, eps, m):
     return near, core, label
 
 
+@pytest.mark.parametrize("width,m,eps", [(1, 3, 0.02), (3, 4, 0.7), (5, 3, 1.3)])
+def test_dbscan_in_more_dimensions(spark, width, m, eps):
+    rng = np.random.default_rng(width)
+    x = np.concatenate([rng.normal(c, 0.5, (60, width)) for c in (-2, 0.5, 2.5)] + [rng.uniform(-5, 5, (30, width))])
+    near, core, label = brute_dbscan(x, eps, m)
+    got = {r.entity: r.cluster for r in C.dbscan(frame(spark, x).drop("cluster"), eps, m).collect()}
+    assert len(got) == len(x) and 0 < core.sum() < len(x)
+    for i in range(len(x)):
+        reach = np.flatnonzero(near[i] & core)
+        if core[i]:
+            assert [got[i] == got[j] for j in np.flatnonzero(core)] == [label[i] == label[j] for j in np.flatnonzero(core)]
+        elif len(reach):
+            assert got[i] == got[reach[np.argmin(((x[reach] - x[i]) ** 2).sum(1))]]
+        else:
+            assert got[i] is None
+
+
+@pytest.mark.parametrize("gap,clusters", [(0.3, 1), (0.55, 2)])
+def test_dense_cells_link_without_all_pairs(spark, gap, clusters):
+    """Two cells of 10^5 points each, one way within reach of each other and one way just beyond."""
+    n = 100_000
+    left, right = F.rand(3) * 0.1, F.rand(4) * 0.1 + 0.1 + gap
+    pts = spark.range(2 * n).select(F.col("id").alias("entity"), F.array(F.when(F.col("id") < n, left).otherwise(right), F.rand(5) * 0.1).alias("features"))
+    got = C.dbscan(pts, 0.5, 4).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in got) == [2 * n // clusters] * clusters
+
+
+def test_dbscan_of_nothing(spark):
+    assert C.dbscan(spark.createDataFrame([], "entity bigint, features array<double>")).count() == 0
+
+
 @pytest.mark.parametrize("m,eps", [(2, 0.5), (4, 0.4), (9, 0.5)])
 @pytest.mark.parametrize("pack", [2048, 3])
 def test_dbscan_against_brute_force(spark, monkeypatch, m, eps, pack):

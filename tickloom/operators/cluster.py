@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -203,17 +204,29 @@ def silhouette(df: DataFrame, squared: bool = False) -> DataFrame:
 
 # --- density clusters --------------------------------------------------------------------------
 
-# cells are eps / sqrt(2) wide: points of one cell are neighbours, and a neighbour is at most two
-# cells away and never at the far corner
-_AROUND = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4]
+KEYED = 3         # dimensions by which cells find the ones around them
+SLAB = 64         # points compared at once with another pack before looking whether one is near
 
 
-def _beside(packs: DataFrame, around: Sequence[tuple[int, int]]) -> DataFrame:
-    """Packs under the keys of the cells around them, the own cell as (ox, oy)."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])
-    d = packs.withColumn("_o", F.explode(steps))
-    return d.select((F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy"),
-                    F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("ids").alias("other_ids"), F.col("x").alias("other_x"))
+def _around(cells: DataFrame, width: int) -> DataFrame:
+    """(cell, other): occupied cells of (cell, at) that may hold points within the radius of each other, both ways.
+
+    Cells are eps / sqrt(width) wide, so a neighbour is at most ``reach`` cells away in each dimension. Blocks of ``reach``
+    cells along the first dimensions meet the blocks beside them; the gap in all dimensions decides.
+    """
+    reach, keyed = 1 + math.isqrt(width), min(width, KEYED)
+    keys = [f"b{k}" for k in range(keyed)]
+    blocks = cells.select("cell", "at", *[F.floor(F.col("at")[k] / reach).alias(b) for k, b in enumerate(keys)])
+    steps = F.array(*[F.array(*[F.lit(i) for i in step]) for step in product((-1, 0, 1), repeat=keyed)])
+    beside = blocks.withColumn("_o", F.explode(steps)).select(
+        F.col("cell").alias("other"), F.col("at").alias("_to"), *[(F.col(b) + F.col("_o")[k]).alias(b) for k, b in enumerate(keys)])
+    apart = F.zip_with("at", "_to", lambda x, y: F.greatest(F.abs(x - y) - 1, F.lit(0)))
+    gap = F.aggregate(apart, F.lit(0).cast("double"), lambda total, x: total + x.cast("double") * x)
+    return blocks.join(beside, keys).where(gap <= width).select("cell", "other")
+
+
+def _other(packs: DataFrame) -> DataFrame:
+    return packs.select(F.col("cell").alias("other"), F.col("ids").alias("other_ids"), F.col("x").alias("other_x"))
 
 
 def _count_near(eps: float) -> Callable:
@@ -225,21 +238,54 @@ def _count_near(eps: float) -> Callable:
     return count
 
 
+def _touch(x: np.ndarray, y: np.ndarray, eps: float) -> bool:
+    """Whether a point of one pack is within ``eps`` of one of the other; stops at the first such pair.
+
+    Only points within ``eps`` of the other pack's box can be; those nearest to it are tried first.
+    """
+    def off(points: np.ndarray, box: np.ndarray) -> np.ndarray:
+        return _distances(np.maximum(np.maximum(box.min(0) - points, points - box.max(0)), 0), np.zeros((1, points.shape[1])))[:, 0]
+
+    far = off(x, y)
+    x = x[np.argsort(far, kind="stable")][:int((far <= eps).sum())]
+    if not len(x):
+        return False
+    y = y[off(y, x) <= eps]
+    return any((_distances(x[k:k + SLAB], y) <= eps).any() for k in range(0, len(x), SLAB)) if len(y) else False
+
+
 def _linked(eps: float) -> Callable:
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            touch = [bool((_distances(_matrix(r.x, len(r.ids)), _matrix(r.other_x, len(r.other_ids))) <= eps).any())
-                     for r in pdf.itertuples(index=False)]
-            yield pdf.loc[touch, ["cx", "cy", "ox", "oy"]]
+            touch = [_touch(_matrix(r.x, len(r.ids)), _matrix(r.other_x, len(r.other_ids)), eps) for r in pdf.itertuples(index=False)]
+            yield pdf.loc[touch, ["cell", "other"]]
     return link
 
 
+def _links(packs: DataFrame, around: DataFrame, eps: float) -> DataFrame:
+    """(cell, other): pairs of cells with points within ``eps`` of each other.
+
+    One pack of each cell is tried first. All packs meet only for the pairs left open, where a cell has more than one.
+    """
+    ahead = around.where("cell < other")
+    per_cell = packs.groupBy("cell").agg(F.min_by(F.struct("ids", "x"), F.col("ids")[0]).alias("p"), F.count(F.lit(1)).alias("k"))
+    one = checkpointed(per_cell.select("cell", "p.*", "k"))
+
+    def met(a: DataFrame, pairs: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(pairs, "cell").join(_other(b), "other").mapInPandas(_linked(eps), "cell string, other string")
+
+    first = checkpointed(met(one.drop("k"), ahead, one))
+    left = ahead.join(first, ["cell", "other"], "left_anti").join(one.select("cell", "k"), "cell").join(
+        one.select(F.col("cell").alias("other"), F.col("k").alias("j")), "other").where("k > 1 or j > 1").select("cell", "other")
+    return first.unionByName(met(packs, left, packs).distinct())
+
+
 def _nearest(eps: float) -> Callable:
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 near = _distances(_matrix(r.x, len(r.ids)), _matrix(r.other_x, len(r.other_ids))).min(axis=1)
-                yield pd.DataFrame({"entity": np.asarray(r.ids), "dist": near, "ox": r.ox, "oy": r.oy})[near <= eps]
+                yield pd.DataFrame({"entity": np.asarray(r.ids), "dist": near, "other": r.other})[near <= eps]
     return nearest
 
 
@@ -266,39 +312,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def dbscan(df: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """Density clusters of two-dimensional points: (entity, cluster), null for noise.
+    """Density clusters of points of any number of dimensions: (entity, cluster), null for noise.
 
-    A cell with ``min_samples`` points holds only cores, which all share a cluster; so neighbours are
-    counted for thinly filled cells only, and clusters are components of the graph of cells. A border
-    point joins its nearest core. The label is the least entity of the cluster.
+    Points of one cell are neighbours. A cell with ``min_samples`` points holds only cores, which all share a cluster; so
+    neighbours are counted for thinly filled cells only, and clusters are components of the graph of cells. A border
+    point joins its nearest core. The label is the least entity of the cluster. Many dimensions leave few points in a
+    cell, so reduce them first where there are more than a few.
     """
-    side = eps / math.sqrt(2)
-    pts = df.select(
-        "entity", "features", F.floor(F.col("features")[0] / side).alias("cx"), F.floor(F.col("features")[1] / side).alias("cy"))
-    pts = checkpointed(pts)
+    width = (df.select(F.size("features")).head() or [2])[0]
+    side = eps / math.sqrt(width)
+    pts = df.select("entity", "features", F.transform("features", lambda x: F.floor(x / side)).alias("at"))
+    pts = checkpointed(pts.withColumn("cell", F.concat_ws(":", F.col("at").cast("array<string>"))))
     kind = pts.schema["entity"].dataType.simpleString()
-    filled = pts.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
-    thin = pts.join(filled.where(F.col("_n") < min_samples), ["cx", "cy"], "left_semi")
-    thick = pts.join(filled.where(F.col("_n") >= min_samples), ["cx", "cy"], "left_semi")
-    thin_packs = _packed(thin, ["cx", "cy"])
-    counted = thin_packs.join(_beside(_packed(pts, ["cx", "cy"]), _AROUND), ["cx", "cy"]).mapInPandas(
+    filled = checkpointed(pts.groupBy("cell").agg(F.first("at").alias("at"), F.count(F.lit(1)).alias("_n")))
+    around = checkpointed(_around(filled, width))
+    pts = pts.drop("at")
+    thin = pts.join(filled.where(F.col("_n") < min_samples), "cell", "left_semi")
+    thick = pts.join(filled.where(F.col("_n") >= min_samples), "cell", "left_semi")
+    counted = _packed(thin, ["cell"]).join(around, "cell").join(_other(_packed(pts, ["cell"])), "other").mapInPandas(
         _count_near(eps), f"entity {kind}, n bigint").groupBy("entity").agg(F.sum("n").alias("n"))
-    thin_core = counted.where(F.col("n") >= min_samples).select("entity")
+    thin_core = checkpointed(counted.where(F.col("n") >= min_samples).select("entity"))
     core = checkpointed(thick.unionByName(thin.join(thin_core, "entity", "left_semi")))
-    core_packs = _packed(core, ["cx", "cy"])
-    ahead = [(i, j) for i, j in _AROUND if (i, j) > (0, 0)]
-    links = core_packs.join(_beside(core_packs, ahead), ["cx", "cy"]).mapInPandas(
-        _linked(eps), "cx bigint, cy bigint, ox bigint, oy bigint")
-    cell = lambda x, y: F.concat_ws(":", F.col(x).cast("string"), F.col(y).cast("string"))
-    roots = components(links.select(cell("cx", "cy").alias("a"), cell("ox", "oy").alias("b")))
-    placed = core.select("entity", cell("cx", "cy").alias("node")).join(roots, "node", "left").select(
-        "entity", F.coalesce("root", "node").alias("root"))
+    core_packs = checkpointed(_packed(core, ["cell"]))
+    links = _links(core_packs, around, eps)
+    roots = checkpointed(components(links.select(F.col("cell").alias("a"), F.col("other").alias("b"))))
+    placed = core.select("entity", F.col("cell").alias("node"))
     border = thin.join(thin_core, "entity", "left_anti")
-    joined = _packed(border, ["cx", "cy"]).join(_beside(core_packs, _AROUND), ["cx", "cy"]).mapInPandas(
-        _nearest(eps), f"entity {kind}, dist double, ox bigint, oy bigint")
-    joined = joined.groupBy("entity").agg(F.min_by(cell("ox", "oy"), F.struct("dist", "ox", "oy")).alias("node"))
-    joined = joined.join(roots, "node", "left").select("entity", F.coalesce("root", "node").alias("root"))
-    members = placed.unionByName(joined)
+    joined = _packed(border, ["cell"]).join(around, "cell").join(_other(core_packs), "other").mapInPandas(
+        _nearest(eps), f"entity {kind}, dist double, other string")
+    joined = joined.groupBy("entity").agg(F.min_by("other", F.struct("dist", "other")).alias("node"))
+    members = placed.unionByName(joined).join(roots, "node", "left").select("entity", F.coalesce("root", "node").alias("root"))
     names = members.groupBy("root").agg(F.min("entity").alias("cluster"))
     labels = members.join(names, "root").select("entity", F.col("cluster").cast("string").alias("cluster"))
     return df.select("entity").join(labels, "entity", "left")

@@ -24,12 +24,12 @@ def _directions(turns: int) -> list[float]:
     return [round(20 * math.sqrt(2 / 64) * math.cos(2 * math.pi * turns * i / 64 + turns), 6) for i in range(64)]
 
 
-def plane(spark, sf):
-    """All components of the points, projected onto two fixed directions."""
-    def along(turns: int):
-        weights = F.array(*[F.lit(w) for w in _directions(turns)])
+def plane(spark, sf, turns=(1, 3)):
+    """All components of the points, projected onto fixed directions."""
+    def along(turn: int):
+        weights = F.array(*[F.lit(w) for w in _directions(turn)])
         return F.round(F.aggregate(F.zip_with("features", weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), 9)
-    return features(spark, sf).select("entity", F.array(along(1), along(3)).alias("features"))
+    return features(spark, sf).select("entity", F.array(*[along(t) for t in turns]).alias("features"))
 
 
 def ticker_matrix(spark, sf):
@@ -102,18 +102,33 @@ def m3_squared(spark, sf):
     return C.silhouette_of(features(spark, sf)).select("entity", "cluster", rnd("silhouette", 5).alias("silhouette"))
 
 
-_PLANE = "pt AS (SELECT entity, " + ", ".join(f"round(list_inner_product(CAST(embedding AS DOUBLE[]), {_directions(k)}::DOUBLE[]), 9) AS {n}" for n, k in (("x", 1), ("y", 3))) + " FROM points)"
+def _projected(*turns: int) -> str:
+    """The points of ``plane`` as pt(entity, x, y, ...)."""
+    return "pt AS (SELECT entity, " + ", ".join(
+        f"round(list_inner_product(CAST(embedding AS DOUBLE[]), {_directions(k)}::DOUBLE[]), 9) AS {n}" for n, k in zip("xyz", turns)) + " FROM points)"
 
 
-@query("m4_dbscan", using("points", """SELECT p.entity, CASE WHEN c.root IS NOT NULL AND EXISTS (SELECT 1 FROM near n WHERE n.a = p.entity AND n.b <> p.entity) THEN CAST(c.root AS VARCHAR) END AS cluster
+_PLANE = _projected(1, 3)
+
+
+def density_sql(pt: str, far: str) -> str:
+    """Every point with its least reachable one, null for points without another one within 0.5."""
+    return using("points", """SELECT p.entity, CASE WHEN c.root IS NOT NULL AND EXISTS (SELECT 1 FROM near n WHERE n.a = p.entity AND n.b <> p.entity) THEN CAST(c.root AS VARCHAR) END AS cluster
   FROM pt p LEFT JOIN (SELECT a, min(b) AS root FROM reach GROUP BY a) c ON c.a = p.entity""",
-  _PLANE,
-  "near AS (SELECT a.entity AS a, b.entity AS b FROM pt a JOIN pt b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.5)",
-  "reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)", recursive=True))
+        pt, f"near AS (SELECT a.entity AS a, b.entity AS b FROM pt a JOIN pt b ON sqrt({far}) <= 0.5)",
+        "reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)", recursive=True)
+
+
+@query("m4_dbscan", density_sql(_PLANE, "(a.x - b.x) ** 2 + (a.y - b.y) ** 2"))
 def m4(spark, sf):
     return C.dbscan(plane(spark, sf))
 
 
+@query("m4_dbscan_space", density_sql(_projected(1, 3, 5), "(a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2"))
+def m4_space(spark, sf):
+    return C.dbscan(plane(spark, sf, (1, 3, 5)))
+
+
 @query("m5_pick_clustering")
 def m5(spark, sf):
     best, report = C.pick_clustering(C.as_points(C.pca(features(spark, sf))))
