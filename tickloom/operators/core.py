@@ -5,7 +5,8 @@ series into pieces of bounded length instead:
 
 * ``number_rows``: global row position per key. Rows are counted per (key, time chunk); the running
   total of those few counts is the offset of each chunk. A chunk spans ``CHUNK_BARS`` bar intervals
-  and (key, ts) is unique, so a chunk never holds more rows than that.
+  and (key, ts) is unique, so a chunk never holds more rows than that. Where no interval is known (``every=None``, ticks),
+  chunks are cut by measured counts instead (``measured_chunks``), at the price of one or more passes over the times.
 * ``run_steps``: operators that look a fixed number of rows back. Rows are shuffled once by
   (key, block of positions), each block also receives the last ``halo`` rows of the block before,
   and all requested columns are computed over that one exchange.
@@ -22,8 +23,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.dates import interval_seconds
+from tickloom.session import checkpointed
 
 CHUNK_BARS = 4096
+CUTS = 32        # parts into which a chunk with too many rows is cut at once
 MIN_BLOCK = 4096
 
 Keys = str | Sequence[str]
@@ -39,10 +42,37 @@ def chunk_of(ts: str, every: str) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / width)
 
 
-def _chunked(df: DataFrame, keys: list[str], ts: str, every: str) -> DataFrame:
+def measured_chunks(df: DataFrame, keys: list[str], ts: str, most: int = CHUNK_BARS) -> DataFrame:
+    """Adds ``_c``, the start of the row's time chunk: chunks of about equal counts, at most ``most`` rows each (or the
+    rows of a single moment).
+
+    A sketch of the times cuts a key into ``CUTS`` parts, parts that are still too full again, so a key of n rows takes
+    about log(n / most) / log(CUTS) rounds over the rows still open. Only tables of cuts are kept.
+    """
+    d = df.where(F.col(ts).isNotNull()).withColumns({
+        "_t": F.unix_micros(F.col(ts).cast("timestamp")), "_c": F.lit(-2 ** 63).cast("long")})
+    for k in keys:
+        d = d.where(F.col(k).isNotNull())
+    left = d.select(*keys, "_t", "_c")
+    inside = F.array_max(F.filter("_cuts", lambda c: c <= F.col("_t")))
+
+    while True:
+        found = left.groupBy(*keys, "_c").agg(
+            F.count(F.lit(1)).alias("_k"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"),
+            F.percentile_approx("_t", [k / CUTS for k in range(1, CUTS)], 100 * CUTS).alias("_cuts"))
+        cuts = F.array_distinct(F.concat(F.array(F.col("_lo") + 1), F.filter("_cuts", lambda c: c > F.col("_lo"))))
+        full = checkpointed(found.where((F.col("_k") > most) & (F.col("_lo") < F.col("_hi"))).select(*keys, "_c", cuts.alias("_cuts")))
+        if full.isEmpty():
+            return d.select(*df.columns, "_c")
+        placed = F.coalesce(inside, F.col("_c"))
+        left = left.join(full, [*keys, "_c"]).withColumn("_c", placed).drop("_cuts")
+        d = d.join(full, [*keys, "_c"], "left").withColumn("_c", placed).drop("_cuts")
+
+
+def _chunked(df: DataFrame, keys: list[str], ts: str, every: str | None) -> DataFrame:
     """Rows by (key, chunk). Without key or time a row has no place in a series and is left out;
     saying so here also keeps the two readers of this exchange on the same plan."""
-    d = df.withColumn("_c", chunk_of(ts, every))
+    d = measured_chunks(df, keys, ts) if every is None else df.withColumn("_c", chunk_of(ts, every))
     for k in [*keys, ts, "_c"]:
         d = d.where(F.col(k).isNotNull())
     return d.repartition(*keys, "_c")
@@ -59,7 +89,7 @@ def _per_chunk(chunked: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return out.where(F.col("_h").isNotNull()).drop("_h")
 
 
-def number_rows(df: DataFrame, by: Keys = "ticker", ts: str = "ts", every: str = "1d") -> DataFrame:
+def number_rows(df: DataFrame, by: Keys = "ticker", ts: str = "ts", every: str | None = "1d") -> DataFrame:
     """Adds ``_i`` (0-based position by time) and ``_n`` (rows of the key)."""
     keys = key_list(by)
     chunked = _chunked(df, keys, ts, every)
@@ -107,7 +137,7 @@ class Step:
 
 
 def run_steps(df: DataFrame, steps: Sequence[Step], by: Keys = "ticker", ts: str = "ts",
-              every: str = "1d", positions: bool = False) -> DataFrame:
+              every: str | None = "1d", positions: bool = False) -> DataFrame:
     """Applies all steps over one exchange; rows keep their columns and gain those of the steps."""
     keys = key_list(by)
     halo = max(s.halo for s in steps)
@@ -128,7 +158,7 @@ def run_steps(df: DataFrame, steps: Sequence[Step], by: Keys = "ticker", ts: str
 
 
 def carry_last(df: DataFrame, values: dict[str, Column], by: Keys = "ticker", ts: str = "ts",
-               every: str = "1d", backward: bool = False, strict: bool = False) -> DataFrame:
+               every: str | None = "1d", backward: bool = False, strict: bool = False) -> DataFrame:
     """Adds, per name, the latest non-null value at or before the row.
 
     ``backward`` looks at later rows instead, ``strict`` leaves the row itself out.
@@ -154,7 +184,7 @@ def carry_last(df: DataFrame, values: dict[str, Column], by: Keys = "ticker", ts
     return d.drop("_c", *[f"_{t}_{n}" for n in values for t in "vlp"])
 
 
-def known_around(df: DataFrame, cols: Sequence[str], by: Keys = "ticker", ts: str = "ts", every: str = "1d") -> DataFrame:
+def known_around(df: DataFrame, cols: Sequence[str], by: Keys = "ticker", ts: str = "ts", every: str | None = "1d") -> DataFrame:
     """Adds ``_i`` (position by time) and, per column, the known values around a row as (i, v): ``_a_<col>`` the last one
     at or before it, ``_z_<col>`` the first one at or after it.
 
@@ -193,7 +223,7 @@ def known_around(df: DataFrame, cols: Sequence[str], by: Keys = "ticker", ts: st
 
 
 def running_sum(df: DataFrame, values: dict[str, Column], by: Keys = "ticker", ts: str = "ts",
-                every: str = "1d") -> DataFrame:
+                every: str | None = "1d") -> DataFrame:
     """Adds, per name, the sum of the expression over all rows up to and including this one."""
     keys = key_list(by)
     d = _chunked(df, keys, ts, every)
