@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import series as S
 from tickloom.plans.registry import DAY, day, query, r, rnd
-from tickloom.plans.views import bars_day, bars_month, gappy, using
+from tickloom.plans.views import bars_day, bars_month, gappy, ticks, using
 
 W = "OVER (PARTITION BY ticker ORDER BY ts)"
 
@@ -236,6 +236,17 @@ def w18(spark, sf):
         "ticker", day(), rnd("cum_volume", 2).alias("cum_volume"), rnd("cum_spent", 2).alias("cum_spent"))
 
 
+@query("w18_cumulative_ticks", using("ticks", f"""SELECT ticker, epoch_us(ts) AS moment, CAST(sum(cents) {W} AS BIGINT) AS cum_cents FROM
+  (SELECT ticker, ts, sum(CAST(coalesce(round(price * 100), 0) AS BIGINT)) AS cents FROM ticks
+  WHERE ticker IS NOT NULL AND ts IS NOT NULL GROUP BY ticker, ts)"""))
+def w18_ticks(spark, sf):
+    """Ticks have no interval, so their chunks are cut by measured counts."""
+    cents = F.coalesce(F.round(F.col("price") * 100), F.lit(0)).cast("long")
+    moments = ticks(spark, sf).groupBy("ticker", "ts").agg(F.sum(cents).alias("cents"))
+    return S.cumulative(moments, {"cum_cents": "cents"}, every=None).select(
+        "ticker", F.unix_micros(F.col("ts").cast("timestamp")).alias("moment"), "cum_cents")
+
+
 @query("p15_downsample", using("bars_day", f"""SELECT ticker, {DAY}, {r('volume', 2)} AS volume FROM p
   WHERE n <= 100 OR i % CAST(ceil(n / 100.0) AS BIGINT) = 0""",
   f"p AS (SELECT ticker, ts, volume, row_number() {W} - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM bars_day)"))
