@@ -112,6 +112,20 @@ def test_linkage_of_few_and_equal_points(spark):
     assert C.hierarchical(same.limit(0), 2).count() == 0
 
 
+def test_rounds_do_not_multiply_the_planned_size(spark):
+    def planned(d):
+        return int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+    line = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    hung = C.components(line)
+    assert {(r.node, r.root) for r in hung.collect()} == {(i, 0) for i in range(1, 301)}
+    assert planned(hung) < 1 << 30
+    r = np.random.default_rng(8)
+    forest = C.spanning_edges(frame(spark, r.normal(size=(60, 2))).drop("cluster"), 1)
+    assert forest.count() == 59
+    assert planned(forest) < 1 << 30
+
+
 def test_moving_averages_like_numpy(spark):
     pdf, df = walk(spark, 120, tickers=("A",), seed=5)
     fit = M.arma_fit(df).head()

@@ -22,7 +22,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import checkpointed
+from tickloom.session import checkpointed, scratch_path, written
+from tickloom.sources.store import remove
 
 PACK = 2048       # points per pack
 MIN_ENTITIES = 4  # fixed value: fewer entities are not reduced or clustered
@@ -293,8 +294,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph with edges (a, b): every node points to the least node it reaches.
 
     Alternates two steps that hang neighbours onto smaller nodes; the number of rounds grows with
-    the logarithm of the longest path. Each round is checkpointed, the driver sees two numbers.
+    the logarithm of the longest path. Each round is a table of its own, the driver sees two numbers.
     """
+    spark, path = edges.sparkSession, None
     hung = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct()
     seen = None
     while True:
@@ -304,7 +306,10 @@ def components(edges: DataFrame) -> DataFrame:
         wide = wide.where("node <> root").distinct()
         least = wide.groupBy("node").agg(F.min("root").alias("m"))
         down = wide.join(least, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).where("node <> root")
-        hung = checkpointed(down.unionByName(least.select("node", F.col("m").alias("root"))).distinct())
+        before, path = path, scratch_path(spark, "links")
+        hung = written(down.unionByName(least.select("node", F.col("m").alias("root"))).distinct(), path)
+        if before:
+            remove(spark, before)
         state = tuple(hung.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).head())
         if state == seen:
             return hung
@@ -372,21 +377,25 @@ def _spanning(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
     Returns its edges and (comp, root) of the components that grew."""
     best, roots = F.min(F.struct("d", "a", "b", "ca", "cb")), None
+    spark, path = edges.sparkSession, None
     taken = []
     while edges.take(1):
         both = edges.select(F.col("ca").alias("comp"), "*").unionByName(edges.select(F.col("cb").alias("comp"), "*"))
-        round_ = checkpointed(both.groupBy("comp").agg(best.alias("e")).select("e.*").distinct())
+        round_ = written(both.groupBy("comp").agg(best.alias("e")).select("e.*").distinct(), scratch_path(spark, "shortest"))
         taken.append(round_.select("d", "a", "b"))
         grown = components(round_.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "root")
-        roots = grown if roots is None else checkpointed(roots.join(
+        roots = grown if roots is None else written(roots.join(
             grown.select(F.col("comp").alias("root"), F.col("root").alias("_r")), "root", "left").select(
-            "comp", F.coalesce("_r", "root").alias("root")).unionByName(grown.join(roots, "comp", "left_anti")))
+            "comp", F.coalesce("_r", "root").alias("root")).unionByName(grown.join(roots, "comp", "left_anti")), scratch_path(spark, "roots"))
         for end in ("ca", "cb"):
             to = grown.select(F.col("comp").alias(end), F.col("root").alias("_r"))
             edges = edges.join(to, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
         edges = edges.where("ca <> cb").select(
             F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "d", "a", "b")
-        edges = checkpointed(edges.groupBy("ca", "cb").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("ca", "cb", "e.*"))
+        before, path = path, scratch_path(spark, "edges")
+        edges = written(edges.groupBy("ca", "cb").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("ca", "cb", "e.*"), path)
+        if before:
+            remove(spark, before)
     return (reduce(DataFrame.unionByName, taken) if taken else None), roots
 
 
@@ -401,7 +410,8 @@ def spanning_edges(df: DataFrame, parts: int) -> DataFrame:
     pts = checkpointed(df.select("entity", "features", F.col("entity").alias("comp")))
     box = pts.agg(F.count(F.lit(1)).alias("n"), *[f(F.col("features")[i]).alias(f"{m}{i}") for i in (0, 1)
                                                   for m, f in (("lo", F.min), ("hi", F.max))]).first()
-    forest = df.sparkSession.createDataFrame([], f"d double, a {kind}, b {kind}")
+    spark, path = df.sparkSession, None
+    forest = spark.createDataFrame([], f"d double, a {kind}, b {kind}")
     if not box["n"]:
         return forest
     extent = max(box["hi0"] - box["lo0"], box["hi1"] - box["lo1"])
@@ -420,12 +430,18 @@ def spanning_edges(df: DataFrame, parts: int) -> DataFrame:
             (F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy"), F.col("ids").alias("other_ids"),
             F.col("x").alias("other_x"), F.col("comp").alias("other_comp"))
         found = packs.join(beside, ["cx", "cy"]).mapInPandas(_shortest(radius), f"ca {kind}, cb {kind}, d double, a {kind}, b {kind}")
-        found = checkpointed(found.groupBy("ca", "cb").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("ca", "cb", "e.*"))
+        nearest = scratch_path(spark, "nearest")
+        found = written(found.groupBy("ca", "cb").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("ca", "cb", "e.*"), nearest)
         edges, roots = _spanning(found)
         if edges is not None:
-            forest = checkpointed(forest.unionByName(edges))
-            pts = checkpointed(pts.join(roots, "comp", "left").select("entity", "features", F.coalesce("root", "comp").alias("comp")))
+            forest = written(forest.unionByName(edges), scratch_path(spark, "forest"))
+            moved = pts.join(roots, "comp", "left").select("entity", "features", F.coalesce("root", "comp").alias("comp"))
+            before, path = path, scratch_path(spark, "points")
+            pts = written(moved, path)
+            if before:
+                remove(spark, before)
             left = pts.agg(F.count_distinct("comp")).first()[0]
+        remove(spark, nearest)
         radius *= 2
     return forest
 

@@ -60,3 +60,13 @@ def checkpointed(df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df, path: str):
+    """``df`` written to ``path`` as Parquet and read again, for loops whose rounds join what earlier rounds made.
+
+    A checkpoint keeps the size that the planner had guessed. A join multiplies the guesses of its sides, so in a loop the digits
+    of that number double each round until it fills the driver. A table has the size of its files.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
