@@ -5,6 +5,7 @@ import json
 import os
 from pathlib import Path
 
+import pytest
 
 from tickloom.session import scratch_path
 from tickloom.sources import store
@@ -40,6 +41,34 @@ def test_runs_close_and_free_their_state(spark, tmp_path):
     assert [p for p in q.recentProgress if p["stateOperators"]][-1]["stateOperators"][0]["numRowsTotal"] == 1  # the run of the newest event
 
 
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_runs_share_a_state_and_keep_their_own_ends(spark, tmp_path, monkeypatch, buckets):
+    schema = "trace_id bigint, ts timestamp, total_steps int"
+
+    def at(minutes):
+        return T0 + dt.timedelta(minutes=minutes)
+
+    big = 2 ** 60 + 1
+    batches = [[(1, at(0), 2), (2, at(0), None), (None, at(0), 3), (big, at(5), 9), (0, at(400), 9)], [(1, at(430), 2), (2, at(430), None)],
+               [(9, at(500), 1)], [(9, at(900), 1)], [(9, at(901), 1), (2, at(902), 4)]]
+    for i, rows in enumerate(batches):
+        feed(spark, rows, schema, tmp_path / "in", i)
+    events = live.read_stream(spark, f"{tmp_path}/in/*", schema, files_per_batch=1)
+    seen, calls = [], []
+    q = (ingest.run_progress(events, "1 hour", late="400 minutes", buckets=buckets).writeStream.outputMode("update")
+         .foreachBatch(lambda b, i: seen.extend((i, r.trace_id, r.steps_done, r.total_steps, r.closed) for r in b.collect()))
+         .option("checkpointLocation", f"{tmp_path}/offsets").trigger(availableNow=True).start())
+    q.awaitTermination()
+    first = sorted(((r[1] if r[1] is not None else -1, *r[2:]) for r in seen if r[0] == 0))
+    assert first == [(-1, 1, 3, False), (0, 1, 9, False), (1, 1, 2, False), (2, 1, None, False), (big, 1, 9, False)]
+    runs = {k: [r[2:] for r in seen if r[1] == k] for k in (1, 2, None, big, 0, 9)}
+    assert runs[1] == [(1, 2, False), (2, 2, True), (2, 2, True)]  # its last step, then its time
+    assert runs[2] == [(1, None, False), (2, None, False), (2, None, True), (1, 4, False)] or runs[2] == [
+        (1, None, False), (2, None, False), (3, 4, False)]
+    assert runs[None] == [(1, 3, False), (1, 3, True)] and runs[big] == [(1, 9, False), (1, 9, True)]
+    assert runs[0] == [(1, 9, False), (1, 9, True)] and runs[9][:2] == [(1, 1, True), (2, 1, True)]
+
+
 def test_kept_bars_go_on_after_a_restart(spark, tmp_path):
     schema, path, offsets = "ticker string, ts timestamp, close double", scratch_path(spark, "kept"), str(tmp_path / "offsets")
     for n, hours in enumerate([range(0, 4), range(3, 6)]):  # the hour 3 comes again with another close

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from tickloom.functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, TICKER_KEYWO
 from tickloom.operators.news import scored, tagged
 from tickloom.sources.store import write_upsert
 
+BUCKETS = 256            # groups of runs that share a state
+NO_TOTAL = -(1 << 62)    # in the state of a run whose number of steps is not known
+RUN = np.dtype([("run", "<i8"), ("nameless", "?"), ("done", "<i8"), ("total", "<i8"), ("first", "<i8"), ("last", "<i8"), ("until", "<i8")])
+
 
 def upsert_into(path: str, keys: Sequence[str], order: Sequence[str] = (), partitions: Sequence[str] = ()) -> Callable:
     """A batch handler that upserts into a Parquet table, so repeats and replays change nothing."""
@@ -32,38 +37,55 @@ def news_stream(items: DataFrame, delay: str = "7 days", lexicon: Mapping[str, S
     return scored(tagged(first_seen(items, ["link"], "published", delay), lexicon), positive, negative)
 
 
-def run_progress(events: DataFrame, delay: str = "1 hour", late: str = "0 seconds") -> DataFrame:
+def _added(held: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+    """The runs of ``held`` with those of some events (run, nameless, total, micros); the latter are marked as new."""
+    by = ["run", "nameless"]
+    fresh = events.groupby(by, as_index=False).agg(
+        done=("micros", "size"), total=("total", "max"), first=("micros", "min"), last=("micros", "max"))
+    both = pd.concat([held, fresh.assign(until=0, new=True)], ignore_index=True) if len(held) else fresh.assign(until=0, new=True)
+    return both.groupby(by, as_index=False).agg(
+        {"done": "sum", "total": "max", "first": "min", "last": "max", "until": "max", "new": "any"})
+
+
+def run_progress(events: DataFrame, delay: str = "1 hour", late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """Steps done and the times of the first and last event per run, again whenever it changed; use update mode.
 
-    The state of a run is one row. A run is closed with its last step, or when the watermark (the newest event less ``late``)
-    has passed its last event by ``delay``, which also releases the state. A step that comes after that opens the run anew.
+    A run is closed with its last step, or when the watermark (the newest event less ``late``) has passed its last event by
+    ``delay``, which also releases its state. A step that comes after that opens the run anew.
+
+    Runs are dealt by hash to ``buckets`` groups, since a call of Python for every run takes longer than its steps do. The state
+    of a group is one record a run it still holds (``RUN``), and its timer that of the run that ends first.
     """
     patience = events.sparkSession.sql(f"SELECT CAST(INTERVAL {delay} AS INTERVAL SECOND)").first()[0]
     wait = int(patience.total_seconds() * 1000)
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, total, first, last = state.get if state.exists else (0, None, None, None)
-        if not state.hasTimedOut:
-            for f in frames:
-                done += len(f)
-                totals = f["total_steps"].dropna()
-                total = max([t for t in (total, int(totals.max()) if len(totals) else None) if t is not None], default=None)
-                at = [int(f["micros"].min()), int(f["micros"].max())]
-                first, last = (min(first, at[0]), max(last, at[1])) if first is not None else at
-        closed = state.hasTimedOut or (total is not None and done >= total)
-        if state.hasTimedOut:
+        held = pd.DataFrame(np.frombuffer(state.get[0], RUN)) if state.exists else pd.DataFrame(np.empty(0, RUN))
+        held["new"] = False
+        mark = state.getCurrentWatermarkMs()
+        for f in [] if state.hasTimedOut else frames:
+            held = _added(held, f)
+        held.loc[held["new"], "until"] = np.maximum(held.loc[held["new"], "last"] // 1000 + wait, mark + 1)
+        over = ~held["new"] & (held["until"] < mark)
+        left = held[~over]
+        if len(left):
+            state.update((left[list(RUN.names)].to_records(index=False).astype(RUN).tobytes(),))
+            state.setTimeoutTimestamp(max(int(left["until"].min()), mark))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((done, total, first, last))
-            state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"trace_id": [key[0]], "steps_done": [done], "total_steps": pd.array([total], "Int32"),
-                            "first": [first], "last": [last], "closed": [closed]})
+        out = held[held["new"] | over]
+        none = out["total"] == NO_TOTAL
+        total = out["total"].mask(none, 0).astype("Int32").mask(none)
+        yield pd.DataFrame({"trace_id": out["run"].astype("Int64").mask(out["nameless"]), "steps_done": out["done"], "total_steps": total, "first": out["first"],
+                            "last": out["last"], "closed": over[out.index] | (~none & (out["done"] >= out["total"]))})
 
     rows = events.withWatermark("ts", late).where("ts is not null").select(
-        "trace_id", "total_steps", "ts", F.unix_micros("ts").alias("micros"))
-    found = rows.groupBy("trace_id").applyInPandasWithState(
+        F.pmod(F.xxhash64("trace_id"), F.lit(buckets)).alias("bucket"), F.coalesce("trace_id", F.lit(0)).cast("long").alias("run"),
+        F.col("trace_id").isNull().alias("nameless"), F.coalesce(F.col("total_steps").cast("long"), F.lit(NO_TOTAL)).alias("total"),
+        "ts", F.unix_micros("ts").alias("micros"))
+    found = rows.groupBy("bucket").applyInPandasWithState(
         update, "trace_id bigint, steps_done bigint, total_steps int, first bigint, last bigint, closed boolean",
-        "done bigint, total int, first bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+        "runs binary", "update", GroupStateTimeout.EventTimeTimeout)
     return found.select("trace_id", "steps_done", "total_steps", F.timestamp_micros("first").alias("started"),
                         F.timestamp_micros("last").alias("last_event"), "closed")
 
