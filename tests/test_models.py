@@ -204,6 +204,30 @@ def test_silhouette_against_brute_force(spark, block):
     assert C.silhouette(frame(spark, x, np.zeros(len(x)))).head()[0] == 0.0
 
 
+def test_silhouette_distances_are_exact_and_taken_in_tiles(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = np.vstack([r.normal(size=(300, 5)), r.normal(size=(200, 5)) * 1e-7 + 1e5])
+    x = np.vstack([x, x[250:350]])  # near points far from the origin, and copies
+    labels = r.integers(0, 4, len(x))
+    np.testing.assert_allclose(C._apart(x - x.mean(0), x - x.mean(0)), C._distances(x, x), rtol=1e-6, atol=1e-10)
+
+    def pair(i, j, tile):
+        packs = [pd.DataFrame({"pack": [k], "block": [k], "ids": [np.arange(len(x))[k::2]], "x": [x[k::2].ravel()], "cluster": [[str(v) for v in labels[k::2]]]})
+                 for k in sorted({i, j})]
+        monkeypatch.setattr(C, "TILE", tile)
+        return C._pair_sums(pd.concat(packs))
+
+    for tile in (7, 256):
+        for i, j in ((0, 0), (0, 1)):
+            got = pair(i, j, tile)
+            for row in got.itertuples():
+                other = j if row.pack == i else i
+                y, kept = x[other::2], labels[other::2] == int(row.cluster)
+                assert row.n == kept.sum()
+                np.testing.assert_allclose(row.total, C._distances(x[row.pack::2], y[kept]).sum(1), rtol=1e-7)
+            assert set(got["pack"]) == {i, j}
+
+
 def test_components_of_long_paths(spark):
     n = 200
     edges = [(f"{i:04d}", f"{i + 1:04d}") for i in range(n)] + [("x1", "x2"), ("x3", "x2"), ("x3", "x1")]

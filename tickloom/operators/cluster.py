@@ -101,20 +101,62 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 # --- silhouette --------------------------------------------------------------------------------
 
-def _cluster_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per point of the left pack and cluster of the right one: sum of distances and points."""
-    for pdf in frames:
-        for r in pdf.itertuples(index=False):
-            near = _distances(_matrix(r.x, len(r.ids)), _matrix(r.other_x, len(r.other_ids)))
-            labels, at = np.unique(np.asarray(r.other_cluster, dtype=str), return_inverse=True)
-            member = np.zeros((len(at), len(labels)))
-            member[np.arange(len(at)), at] = 1.0
-            total = near @ member
-            yield pd.DataFrame({
-                "entity": np.repeat(np.asarray(r.ids), len(labels)),
-                "own": np.repeat(np.asarray(r.cluster, dtype=str), len(labels)),
-                "cluster": np.tile(labels, len(r.ids)), "total": total.ravel(),
-                "n": np.tile(member.sum(axis=0).astype("int64"), len(r.ids))})
+BLOCK = 16        # packs of a block
+TILE = 256        # points whose distances to four times as many are held at once
+CANCELS = 1e-4    # share of the squared lengths below which a squared distance is not taken from a product
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All distances, by one product of the matrices; pairs so near that the product would cancel are taken by coordinates."""
+    nx, ny = (x ** 2).sum(1), (y ** 2).sum(1)
+    far = x @ y.T
+    far *= -2
+    far += nx[:, None]
+    far += ny
+    i, j = np.nonzero(~(far > (CANCELS * (nx + ny.max()))[:, None]))  # also what is not finite
+    for k in range(0, len(i), PACK):
+        far[i[k:k + PACK], j[k:k + PACK]] = ((x[i[k:k + PACK]] - y[j[k:k + PACK]]) ** 2).sum(1)
+    return np.sqrt(far, out=far)
+
+
+def _by_cluster(packs: pd.DataFrame) -> tuple:
+    """The points of some packs, sorted by cluster: coordinates, code of each one's cluster, names, counts, the order."""
+    x = np.concatenate([_matrix(r.x, len(r.ids)) for r in packs.itertuples(index=False)])
+    names, code, n = np.unique(np.concatenate([np.asarray(c, dtype=str) for c in packs["cluster"]]), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    return x[order], code[order], names, n, order
+
+
+def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per pack of two blocks and cluster of the other one: the sums of distances of the pack's points, in their order.
+
+    A block that meets itself gives its sums once; of two blocks each distance counts for both of its ends."""
+    blocks = [g for _, g in pdf.groupby("block")]
+    one, two = _by_cluster(blocks[0]), _by_cluster(blocks[-1])
+    solid = two[0][np.isfinite(two[0]).all(axis=1)]
+    if len(solid):
+        one, two = (one[0] - solid.mean(0), *one[1:]), (two[0] - solid.mean(0), *two[1:])
+    sums = [np.zeros((len(two[2]), len(one[0]))), np.zeros((len(one[2]), len(two[0])))]
+    for i in range(0, len(one[0]), TILE):
+        rows = slice(i, i + TILE)
+        first = np.flatnonzero(np.diff(one[1][rows], prepend=-1))
+        for j in range(0, len(two[0]), 4 * TILE):
+            cols = slice(j, j + 4 * TILE)
+            far = _apart(one[0][rows], two[0][cols])
+            start = np.flatnonzero(np.diff(two[1][cols], prepend=-1))
+            sums[0][two[1][cols][start], rows] += np.add.reduceat(far, start, axis=1).T
+            if len(blocks) > 1:
+                sums[1][one[1][rows][first], cols] += np.add.reduceat(far, first, axis=0)
+    out: dict[str, list] = {"pack": [], "cluster": [], "n": [], "total": []}
+    for packs, own, other, total in zip(blocks, (one, two), (two, one), sums):
+        total[:, own[4]] = total.copy()
+        ends = np.cumsum([len(ids) for ids in packs["ids"]])
+        for pack, part in zip(packs["pack"], np.split(total, ends[:-1], axis=1)):
+            out["pack"] += [pack] * len(part)
+            out["cluster"] += list(other[2])
+            out["n"] += other[3].tolist()
+            out["total"] += list(part)
+    return pd.DataFrame(out)
 
 
 def _fold_block(block: Broadcast) -> Callable:
@@ -171,21 +213,27 @@ def silhouette_of(df: DataFrame, block: int = 1 << 20) -> DataFrame:
 def euclidean_silhouette_of(df: DataFrame) -> DataFrame:
     """The silhouette of every entity of (entity, cluster, features), with Euclidean distances.
 
-    Packs of points, dealt by hash, meet each other, as the definition asks for all distances; what
-    leaves a task is one sum per point and cluster.
+    Packs of points, dealt by hash, form blocks that meet each other once, as the definition asks for all distances; what
+    leaves a task is one list of sums per pack and cluster. The work grows with the square of the points.
     """
     rows = df.select("entity", F.col("cluster").cast("string").alias("cluster"), "features").where("cluster is not null")
-    count = max(1, -(-rows.count() // PACK))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("c")).head()
+    count = max(1, -(-size["n"] // PACK))
+    per = max(1, min(BLOCK, count // 12, 2 * PACK // max(size["c"], 1)))  # packs in a block: work for all cores, bounded sums
     points = F.collect_list(F.struct("entity", "cluster", "features"))
     packs = checkpointed(rows.groupBy(F.pmod(F.xxhash64("entity"), F.lit(count)).cast("int").alias("pack")).agg(points.alias("_r")).select(
-        "pack", F.transform("_r", lambda r: r["entity"]).alias("ids"), F.flatten(F.transform("_r", lambda r: r["features"])).alias("x"),
-        F.transform("_r", lambda r: r["cluster"]).alias("cluster")))
-    left = packs.withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    right = packs.select(F.col("pack").alias("meets"), F.col("ids").alias("other_ids"), F.col("x").alias("other_x"),
-                         F.col("cluster").alias("other_cluster"))
-    kind = df.schema["entity"].dataType.simpleString()
-    sums = left.join(right, "meets").mapInPandas(
-        _cluster_sums, f"entity {kind}, own string, cluster string, total double, n bigint")
+        "pack", F.floor(F.col("pack") / per).cast("int").alias("block"), F.transform("_r", lambda r: r["entity"]).alias("ids"),
+        F.flatten(F.transform("_r", lambda r: r["features"])).alias("x"), F.transform("_r", lambda r: r["cluster"]).alias("cluster")))
+    meeting = packs.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit((count - 1) // per)))).withColumns(
+        {"one": F.least("block", "_o"), "two": F.greatest("block", "_o")}).drop("_o")
+    parts = meeting.groupBy("one", "two").applyInPandas(_pair_sums, "pack int, cluster string, n bigint, total array<double>")
+    none = F.array_repeat(F.lit(0.0), F.size(F.col("_t")[0]))
+    added = F.aggregate("_t", none, lambda s, t: F.zip_with(s, t, lambda a, b: a + b))
+    whole = parts.groupBy("pack", F.col("cluster").alias("other")).agg(F.collect_list("total").alias("_t"), F.sum("n").alias("n")).select(
+        "pack", "other", "n", added.alias("total"))
+    each = F.explode(F.arrays_zip("ids", "cluster", "total")).alias("_p")
+    sums = packs.select("pack", "ids", "cluster").join(whole, "pack").select("other", "n", each).select(
+        F.col("_p.ids").alias("entity"), F.col("_p.cluster").alias("own"), F.col("other").alias("cluster"), F.col("_p.total").alias("total"), "n")
     sums = sums.groupBy("entity", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mine = F.col("own") == F.col("cluster")
     each = sums.groupBy("entity", F.col("own").alias("cluster")).agg(
