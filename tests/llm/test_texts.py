@@ -222,6 +222,17 @@ def test_site_lines(spark):
     assert sitelines.without_boilerplate(df.limit(0)).count() == 0
 
 
+def test_faster_patterns_match_like_the_plain_ones(spark):
+    names = re.findall(r"[a-z][a-z0-9]*", sitelines.BLOCK.split("(?:")[1].split(")")[0]) + [f"h{k}" for k in range(8)] + ["span", "prex", "b", "u", "header2"]
+    rows = [f"a <{n}>b</{n.upper()} c='1'>  d\t\n<{n}-x> e <{n}" for n in names]
+    rows += ["x<head><title>t</HEAD >y<header>z", "a<script>b</style>c</script >d<STYLE x>e", "a <!-- b > c --> d<!--e", "<scripts>a</scripts> b\n c\r\n\r\nd  e f\t", ""]
+    r = [F.regexp_replace(F.regexp_replace(F.col("t"), sitelines.HIDDEN, " "), r"[\x20\x09-\x0D]+", " "),
+         F.regexp_replace(F.regexp_replace(F.col("t"), sitelines.HIDDEN_FAST, " "), sitelines.SPACES_FAST, " ")]
+    plain, fast = F.regexp_replace(r[0], sitelines.BLOCK, "\n"), F.regexp_replace(r[1], sitelines.BLOCK_FAST, "\n")
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [x for x in df.select(plain.alias("a"), fast.alias("b"), "t").collect() if x.a != x.b] == []
+
+
 # --- page text ---------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

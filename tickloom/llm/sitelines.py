@@ -30,6 +30,11 @@ BLOCK = (r"(?i)</?(?:address|article|aside|blockquote|body|br|button|caption|dd|
          r"figure|footer|form|h[1-6]|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|select|summary|table|"
          r"tbody|td|tfoot|th|thead|tr|ul)\b[^<>]*>")
 TAG = r"<[^<>]*>"
+#: The same matches for less work: one sign tells where an element may begin, and a single space is left as it is.
+HIDDEN_FAST = (r"(?is)<(?:script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|head\b.*?(?:</head\s*>|\z)|!--.*?(?:-->|\z))")
+SPACES_FAST = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+BLOCK_FAST = (r"(?i)</?(?:a(?:ddress|rticle|side)|b(?:lockquote|ody|r|utton)|caption|d(?:d|etails|iv|l|t)|f(?:ieldset|igcaption|igure|ooter|orm)|"
+              r"h(?:[1-6]|eader|r|tml)|l(?:egend|i)|main|nav|o(?:l|ption)|p(?:re)?|s(?:ection|elect|ummary)|t(?:able|body|d|foot|h|head|r)|ul)\b[^<>]*>")
 
 
 def host_of(url: Column) -> Column:
@@ -38,8 +43,8 @@ def host_of(url: Column) -> Column:
 
 def page_lines(html: Column) -> Column:
     """The texts between block elements, in order."""
-    shown = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " "), r"[\x20\x09-\x0D]+", " ")
-    lines = F.split(F.regexp_replace(F.regexp_replace(shown, BLOCK, "\n"), TAG, ""), "\n")
+    shown = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN_FAST, " "), SPACES_FAST, " ")
+    lines = F.split(F.regexp_replace(F.regexp_replace(shown, BLOCK_FAST, "\n"), TAG, ""), "\n")
     return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
