@@ -185,6 +185,14 @@ def test_pieces_of_a_long_text_count_like_the_whole():
     assert np.abs(a - b).sum() == 0
 
 
+def test_short_texts_are_taken_in_small_groups():
+    texts = ["abcd " * 4000] * 40 + ["x" * 300_000, None]
+    groups = list(langmask.pieces(texts))
+    assert [x for g in groups for x in g] == list(enumerate(texts))  # nothing is cut below the old limit
+    assert max(sum(len(t or "") for _, t in g) for g in groups if len(g) > 1) <= langmask.TOGETHER + 300_000
+    assert len(groups) >= 6
+
+
 def test_bits_of_many_languages():
     cells = [np.array([i * 7919 % (1 << 21)]) for i in range(70)]
     m = langmask.Masks([f"l{i}" for i in range(70)], cells)

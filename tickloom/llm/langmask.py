@@ -33,6 +33,7 @@ ROW_BITS = 19    # rows of the filter table
 PROBES = 3
 SIZES = (3, 4)   # lengths of n-grams; a word border counts as one place
 SHARE = 2e-5
+TOGETHER = 1 << 17  # characters of short texts whose n-grams are taken at once
 UNKNOWN = "und"
 
 
@@ -105,7 +106,7 @@ def pieces(texts, limit: int = 1 << 20) -> Iterator[list[tuple[int, str]]]:
                     end = space if space > at else end
                 yield i, t[at:end]
                 at = end
-    yield from slices(cut(), lambda x: len(x[1]) if x[1] else 0, limit)
+    yield from slices(cut(), lambda x: len(x[1]) if x[1] else 0, min(limit, TOGETHER))
 
 
 def count_cells(labelled: DataFrame) -> DataFrame:
@@ -118,17 +119,20 @@ def count_cells(labelled: DataFrame) -> DataFrame:
                 cells, doc = cells_of([t for _, t in part])
                 owner = names[[i for i, _ in part]]
                 for lang in set(owner):
-                    mine = np.bincount(cells[(owner == lang)[doc]], minlength=1 << CELL_BITS)
-                    totals[lang] = totals[lang] + mine if lang in totals else mine
-            if len(totals) > 16:  # bounded state: hand over what is there
+                    if lang not in totals:
+                        totals[lang] = np.zeros(1 << CELL_BITS, np.int64)
+                    np.add.at(totals[lang], cells[(owner == lang)[doc]], 1)
+            if len(totals) > 8:  # bounded state: hand over what is there
                 yield from hand_over(totals)
                 totals = {}
         yield from hand_over(totals)
 
     def hand_over(totals: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         for lang, n in totals.items():
-            cell = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "cell": cell, "n": n[cell]})
+            found = np.flatnonzero(n)
+            for k in range(0, len(found), 1 << 16):  # batches of a few MB
+                cell = found[k:k + (1 << 16)]
+                yield pd.DataFrame({"lang": lang, "cell": cell, "n": n[cell]})
 
     return (labelled.mapInPandas(count, "lang string, cell long, n long")
             .groupBy("lang", "cell").agg(F.sum("n").alias("n")))
